@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def words(items: Iterable[str]) -> Column:
+    """A constant string array (one literal, folded by the optimizer)."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
+def contains_any(text: Column, items: Iterable[str]) -> Column:
+    return F.exists(words(items), lambda w: F.contains(text, w))
+
+
 def scan(
     items: Column,
     zero: Column,

@@ -10,12 +10,13 @@ pass per rule and stays linear in the text.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns as P
-from inkveil.functions.arrays import let, scan
+from inkveil.functions.arrays import contains_any, let, scan, words
 from inkveil.functions.patterns import CLOSE, OPEN, Rule
 from inkveil.model import SPAN_TYPE
 
@@ -37,7 +38,7 @@ def protect(text: Column) -> Column:
         e = F.replace(e, F.lit(OPEN), F.lit(ESC + "o"))
         return F.replace(e, F.lit(CLOSE), F.lit(ESC + "c"))
 
-    return let(text, lambda t: F.when(t.rlike(f"[{OPEN}{CLOSE}{ESC}]"), escape(t)).otherwise(t))
+    return let(text, lambda t: F.when(contains_any(t, (OPEN, CLOSE, ESC)), escape(t)).otherwise(t))
 
 
 def restore(text: Column) -> Column:
@@ -57,7 +58,16 @@ def mark_with(text: Column, rule: Rule, target: Column, first: Column | None = N
 def mark(text: Column, rule: Rule) -> Column:
     """Mark the matches of one rule in a (protected, maybe already marked) text."""
     pattern = f"(?=[{rule.first}{OPEN}])(?:({MARKED})|({rule.cue})({rule.target}))"
-    return _mark(text, rule, F.lit(pattern))
+    gates = []
+    if rule.hints:
+        gates.append(lambda t: contains_any(t, rule.hints))
+    if rule.gate:
+        gates.append(lambda t: t.rlike(rule.gate))
+    if not gates:
+        return _mark(text, rule, F.lit(pattern))
+    return let(text, lambda t: F.when(
+        reduce(lambda a, b: a & b, [g(t) for g in gates]), _mark(t, rule, F.lit(pattern))
+    ).otherwise(t))
 
 
 def _mark(text: Column, rule: Rule, pattern: Column) -> Column:
@@ -80,7 +90,7 @@ def mark_gated(text: Column, rules: list[Rule], gate) -> Column:
 
 
 def has_digits(text: Column) -> Column:
-    return text.rlike("[0-9]{2}|Box [0-9]")
+    return text.rlike("[0-9]")
 
 
 def mark_table_persons(text: Column) -> Column:
@@ -115,7 +125,7 @@ def mark_table_persons(text: Column) -> Column:
     def over(t: Column) -> Column:
         blocks = F.split(t, "\n\n")
         return F.when(
-            t.rlike(rf"\| *{P.NAME_HEADER} *\|[^\n]*\n\|-"),
+            t.contains("\n|-") & t.rlike(rf"\| *{P.NAME_HEADER} *\|[^\n]*\n\|-"),
             F.array_join(F.transform(blocks, in_block), "\n\n"),
         ).otherwise(t)
 
@@ -132,7 +142,7 @@ def mark_short_names(text: Column) -> Column:
             F.lit(P.NAME_LB + "(?:"), F.array_join(firsts, "|"), F.lit(")" + P.NAME_RB)
         )
         return F.when(
-            t.rlike(full), mark_with(t, P.SHORT_PERSON, target, F.lit(r"\p{Lu}"))
+            t.contains(OPEN) & t.rlike(full), mark_with(t, P.SHORT_PERSON, target, F.lit(r"\p{Lu}"))
         ).otherwise(t)
 
     return let(text, over)
@@ -150,7 +160,7 @@ def mark_personal_amounts(text: Column) -> Column:
             lambda s: F.when(s.rlike(PERSON_MARK), mark(s, P.AMOUNT)).otherwise(s),
         )
         return F.when(
-            t.rlike(PERSON_MARK) & t.rlike("(?:[$€£] ?|USD |EUR |GBP )[0-9]"),
+            t.contains(OPEN) & t.rlike(PERSON_MARK) & t.rlike("(?:[$€£] ?|USD |EUR |GBP )[0-9]"),
             F.array_join(sentences, OPEN + SENTENCE),
         ).otherwise(t)
 
@@ -171,7 +181,7 @@ def marked(
     types = set(types)
     out = protect(text)
     if "email" in types:
-        out = mark_gated(out, [P.EMAIL], lambda t: t.contains("@"))
+        out = mark(out, P.EMAIL)
     digit_rules = [r for r in P.DIGIT_RULES if r.pii_type in types]
     out = mark_gated(out, digit_rules, has_digits)
     if types & {"company", "person_name"}:
@@ -203,24 +213,22 @@ def pieces(marked_text: Column) -> Column:
 
     The values put together are the text; plain stretches have a null type.
     """
-    def of_code(code: Column, pick) -> Column:
-        cases = None
-        for r in P.RULES:
-            cases = (
-                F.when(code == r.code, pick(r)) if cases is None else cases.when(code == r.code, pick(r))
-            )
-        return cases
+    types, names = words(r.pii_type for r in P.RULES), words(r.name for r in P.RULES)
+    codes = ",".join(r.code for r in P.RULES)
 
     def piece(part: Column, i: Column) -> Column:
-        code = F.substring(part, 1, CODE_LEN)
-        is_gap = i % 2 == 0
+        # 0 for a sentence end, which is plain text.
+        which = F.when(i % 2 == 1, F.find_in_set(F.substring(part, 1, CODE_LEN), F.lit(codes)))
+        value = F.when(i % 2 == 0, part).otherwise(F.substring(part, CODE_LEN + 1, F.length(part)))
         return F.struct(
-            F.when(is_gap, None).otherwise(of_code(code, lambda r: r.pii_type)).alias("pii_type"),
-            F.when(is_gap, None).otherwise(of_code(code, lambda r: r.name)).alias("rule"),
-            restore(F.when(is_gap, part).otherwise(F.substring(part, CODE_LEN + 1, F.length(part)))).alias("value"),
+            F.get(types, which - 1).alias("pii_type"),
+            F.get(names, which - 1).alias("rule"),
+            restore(value).alias("value"),
         )
 
-    return F.transform(F.split(marked_text, f"[{OPEN}{CLOSE}]"), piece)
+    return let(marked_text, lambda m: F.transform(
+        F.when(m.contains(OPEN), F.split(m, f"[{OPEN}{CLOSE}]")).otherwise(F.array(m)), piece
+    ))
 
 
 def keep_pieces(items: Column, keep) -> Column:
@@ -237,7 +245,7 @@ def keep_pieces(items: Column, keep) -> Column:
 
 def piece_spans(items: Column) -> Column:
     """Typed pieces as spans with 0-based code-point offsets."""
-    names = F.array([F.lit(r.name) for r in P.RULES])
+    names = words(r.name for r in P.RULES)
 
     def emit(pos: Column, p: Column) -> Column:
         span = F.struct(

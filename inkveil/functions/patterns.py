@@ -34,6 +34,8 @@ class Rule:
     ``first`` is the class of characters a match (cue included) can start
     with, ``cue`` is context that must come before and stays in the text,
     ``target`` is what gets replaced. Groups inside are non-capturing.
+    A text cannot match unless it holds one of the ``hints`` (words) and a
+    match of ``gate`` (a cheap pattern); most texts fail these and skip the rule.
     """
 
     code: str
@@ -42,6 +44,8 @@ class Rule:
     first: str
     target: str
     cue: str = ""
+    hints: tuple[str, ...] = ()
+    gate: str = ""
 
 
 STREET_WORDS = (
@@ -89,6 +93,7 @@ def person_target(first_names: str) -> str:
 EMAIL = Rule(
     "em", "email", "email", "A-Za-z0-9._%+-",
     "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\\.){1,126}[A-Za-z]{2,}",
+    hints=("@",),
 )
 
 # Rules that need digits, run only on texts that have some.
@@ -106,34 +111,49 @@ CARD = Rule(
 ACCOUNT = Rule(
     "ac", "financial", "account", "AaBbRrSs",
     f"[0-9](?:[ -]?[0-9]){{4,18}}{RB}",
-    cue=f"{LB}(?i:account|acct|a/c|routing|sort code|bsb|bank account)(?i: (?:number|no|num))?[.:# ]{{1,3}}(?:is )?",
+    cue=(
+        f"{LB}(?:[Aa]ccount|ACCOUNT|[Aa]cct|ACCT|[Aa]/[Cc]|[Rr]outing|ROUTING|[Ss]ort [Cc]ode|SORT CODE|BSB|bsb)"
+        "(?: (?:[Nn]umber|NUMBER|[Nn]o|NO|[Nn]um))?[.:# ]{1,3}(?:is )?"
+    ),
+    hints=(
+        "ccount", "ACCOUNT", "cct", "ACCT", "/c", "/C", "outing", "ROUTING", "ort code", "ort Code", "SORT CODE",
+        "BSB", "bsb",
+    ),
 )
 SSN = Rule("ss", "id_numbers", "ssn", "0-9", f"{LB}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{RB}")
 CODED_ID = Rule(
     "ei", "id_numbers", "coded_id", "ECISUMP",
     f"{LB}(?:EMP|EMPL|CUST|CLIENT|STAFF|USER|MEMBER|PATIENT|ID)-?[0-9]{{3,12}}{RB}",
+    hints=("EMP", "CUST", "CLIENT", "STAFF", "USER", "MEMBER", "PATIENT", "ID"),
 )
 CUED_ID = Rule(
     "ci", "id_numbers", "cued_id", "CcDdEeMmNnPpSsTt",
     f"[A-Z]{{0,3}}[0-9](?:[A-Z0-9]|[ -][0-9]){{3,17}}{RB}",
     cue=(
-        f"{LB}(?:(?i:passport|driver'?s? licen[cs]e|ssn|social security|tfn|tax file|national insurance)"
-        "(?i: (?:number|no|num|id))?[.:# ]{1,3}(?:is )?"
-        "|(?i:customer|employee|client|member|patient|staff)(?:(?i: (?:id|number|no))[.:# ]{1,3}(?:is )?|#))"
+        f"{LB}(?:(?:[Pp]assport|PASSPORT|[Dd]river'?s? [Ll]icen[cs]e|SSN|ssn|[Ss]ocial [Ss]ecurity|TFN|tfn|"
+        "[Tt]ax [Ff]ile|[Nn]ational [Ii]nsurance)(?: (?:[Nn]umber|NUMBER|[Nn]o|NO|[Nn]um|[Ii]d|ID))?[.:# ]{1,3}(?:is )?"
+        "|(?:[Cc]ustomer|[Ee]mployee|[Cc]lient|[Mm]ember|[Pp]atient|[Ss]taff)"
+        "(?: (?:[Ii]d|ID|[Nn]umber|[Nn]o)[.:# ]{1,3}(?:is )?|#))"
+    ),
+    hints=(
+        "assport", "PASSPORT", "river", "SSN", "ssn", "ocial ", "TFN", "tfn", "ax ", "ational ", "ustomer",
+        "mployee", "lient", "ember", "atient", "taff",
     ),
 )
 DOB = Rule(
     "db", "date_of_birth", "dob", "BbDd",
     f"{DATE}{RB}",
     cue=(
-        f"{LB}(?i:born|birth ?day|birth ?date|date of birth|d\\.o\\.b\\.|dob){RB}"
-        f"[^\\n{OPEN}{CLOSE}0-9]{{0,{DOB_GAP}}}?"
+        f"{LB}(?:[Bb]orn|BORN|[Bb]irth ?[Dd]ay|[Bb]irth ?[Dd]ate|[Dd]ate [Oo]f [Bb]irth|DATE OF BIRTH|DOB|dob|Dob|"
+        f"D\\.O\\.B|d\\.o\\.b){RB}[^\\n{OPEN}{CLOSE}0-9]{{0,{DOB_GAP}}}?"
     ),
+    hints=("orn", "BORN", "irth", "BIRTH", "DOB", "dob", "Dob", "D.O.B", "d.o.b"),
 )
 AGE_DOB = Rule(
     "ag", "date_of_birth", "age_dob", "Aa",
     f"{DATE}{RB}",
-    cue=f"{LB}(?i:aged?)[ :][0-9]{{1,3}}[ ,(]{{1,3}}",
+    cue=f"{LB}(?:[Aa]ged?|AGED?)[ :][0-9]{{1,3}}[ ,(]{{1,3}}",
+    hints=("ge ", "ged ", "ge:", "ged:", "GE ", "GED ", "GE:", "GED:"),
 )
 PHONE = Rule(
     "ph", "phone", "phone", "+(0-9",
@@ -158,10 +178,12 @@ STREET = Rule(
         f"{LB}[0-9]{{1,6}}[A-Za-z]? (?:[A-Z][A-Za-z'.-]{{0,20}} ){{1,4}}(?:{STREET_WORDS}){RB}\\.?"
         f"(?:,? {UNIT})?(?:,? {CITY_STATE})?"
     ),
+    hints=tuple(" " + w for w in STREET_WORDS.split("|")),
 )
 PO_BOX = Rule(
     "po", "address", "po_box", "P",
     f"{LB}P\\.?O\\.? ?Box [0-9]{{1,8}}{RB}(?:,? {CITY_STATE})?",
+    hints=("Box ",),
 )
 CITY_ZIP = Rule(
     "cz", "address", "city_zip", "A-Z",
@@ -171,26 +193,31 @@ CITY_ZIP = Rule(
 COMPANY = Rule(
     "co", "company", "legal_form", r"\p{Lu}",
     f"{NAME_LB}(?:{COMPANY_WORD},? ){{1,4}}(?:{LEGAL_FORMS}){NAME_RB}",
+    gate=r"[\p{L}0-9&',-] \p{Lu}",
 )
 KNOWN_COMPANY = Rule(
     "kc", "company", "known_company", "A-Z", f"{NAME_LB}{any_of(COMPANIES)}{NAME_RB}",
+    gate=f"(?=[A-Z]){any_of(COMPANIES)}",
 )
 
 HONORIFIC = Rule(
     "ho", "person_name", "honorific", "MDPS",
     f"{WORD}(?: (?:{WORD}|{INITIAL})){{0,2}}{NAME_RB}",
     cue=f"{LB}(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Sir)\\.? ",
+    gate=r"(?=[MDPS])(?:Mrs?|Ms|Miss|Dr|Prof|Professor|Sir)\.? \p{Lu}",
 )
 KNOWN_PERSON = Rule(
     "kp", "person_name", "first_name_list", "A-Z", person_target(any_of(FIRST_NAMES)),
+    gate=r"\p{L} \p{Lu}",
 )
 LABELLED_PERSON = Rule(
     "lp", "person_name", "label", "NnCADHTF*",
     f"{WORD}(?: (?:{WORD}|{INITIAL})){{0,2}}{NAME_RB}",
     cue=(
-        f"(?:{LB}(?:(?i:name): ?|Contact: ?|Attn:? |Dear |Hello |Hi )"
+        f"(?:{LB}(?:(?:[Nn]ame|NAME): ?|Contact: ?|Attn:? |Dear |Hello |Hi )"
         "|\\*\\*(?:From|To|Cc):\\*\\* \"?|(?:From|To|Cc): \"?)"
     ),
+    hints=(":", "Attn", "Dear ", "Hello ", "Hi "),
 )
 
 AMOUNT = Rule(

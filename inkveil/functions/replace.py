@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkveil.functions import names as N
-from inkveil.functions.arrays import let, lookup, lookup_table
+from inkveil.functions.arrays import let, lookup, lookup_table, words
 from inkveil.functions.patterns import CITY, STATES, STREET_WORDS, ZIP
 from inkveil.model import REMOVED
 
@@ -32,7 +32,7 @@ def hash_number(key: Column, salt: Column) -> Column:
 
 
 def pick(pool: list[str], n: Column) -> Column:
-    return F.element_at(F.array([F.lit(x) for x in pool]), (n % len(pool) + 1).cast("int"))
+    return F.get(words(pool), (n % len(pool)).cast("int"))
 
 
 def fake_digits(value: Column, salt: Column, keep: Column | int = 0) -> Column:
@@ -228,9 +228,9 @@ def invent_birth_date(value: Column, salt: Column) -> Column:
 def person_key(value: Column) -> Column:
     """First and last word, lower case; middle names do not matter."""
 
-    def over(words: Column) -> Column:
-        first, last = F.element_at(words, 1), F.element_at(words, -1)
-        return F.when(F.size(words) > 1, F.concat_ws(" ", first, last)).otherwise(first)
+    def over(parts: Column) -> Column:
+        first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+        return F.when(F.size(parts) > 1, F.concat_ws(" ", first, last)).otherwise(first)
 
     return let(F.split(normal_key(value), " "), over)
 
