@@ -39,10 +39,12 @@ def from_base64(df: DataFrame, content_col: str = "payload", out_col: str = "con
     Adds ``out_col`` (null on failure).
     """
     clean = F.regexp_replace(F.col(content_col), "[^A-Za-z0-9+/=]", "")
-    # What follows the first complete padding does not count.
+    # What follows the padding does not count; padding nobody needs is ignored.
     body = F.regexp_extract(clean, "\\A([A-Za-z0-9+/]*={0,2})", 1)
-    ok = body.rlike("\\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\\z")
-    return df.withColumn(out_col, F.when(ok, F.try_to_binary(body, F.lit("base64"))))
+    whole = body.rlike("\\A(?:[A-Za-z0-9+/]{4})*={0,2}\\z")
+    padded = body.rlike("\\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)\\z")
+    data = F.when(whole, F.replace(body, F.lit("="), F.lit(""))).when(padded, body)
+    return df.withColumn(out_col, F.try_to_binary(data, F.lit("base64")))
 
 
 def from_table(
@@ -89,7 +91,7 @@ def intake_error(filename: Column, length: Column, max_bytes: int = MAX_BYTES) -
         .when(length == 0, "EMPTY")
     )
     message = (
-        F.when(no_name, "No filename provided")
+        F.when(no_name, "Filename is required")
         .when(length.isNull(), "Failed to decode content")
         .when(
             too_big,
