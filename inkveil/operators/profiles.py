@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions.arrays import let, words
 from inkveil.model import (
     ACTIONS,
     DEFAULT_ACTIONS,
@@ -215,25 +216,28 @@ def create_profiles(
 
 def parse_changes(changes: DataFrame) -> DataFrame:
     """Read changes written ``pii_type=action``; adds ``pii_type``, ``action``, ``error``."""
-    parts = F.split("change", "=", 2)
-    t, a = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    legal = F.create_map(*[
-        x
-        for ty in PII_TYPES
-        for x in (F.lit(ty), F.lit(str([b for y, b, _ in VALID_ACTIONS if y == ty])))
-    ])
-    error = (
-        F.when(~F.col("change").contains("="), F.concat(F.lit("Invalid format '"), "change", F.lit("'. Use: pii_type=action")))
-        .when(~t.isin(PII_TYPES), F.concat(F.lit("Invalid PII type '"), t, F.lit("'")))
-        .when(~a.isin(ACTIONS), F.concat(F.lit("Invalid action '"), a, F.lit("'")))
-        .when(
-            ~action_is_legal(t, a),
-            F.concat(F.lit("Invalid action '"), a, F.lit("' for "), t, F.lit(". Valid: "), F.element_at(legal, t)),
+    valid_lists = words(str([b for y, b, _ in VALID_ACTIONS if y == ty]) for ty in PII_TYPES)
+
+    def parsed(x: Column) -> Column:
+        t, a = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+        error = (
+            F.when(a.isNull(), F.concat(F.lit("Invalid format '"), t, F.lit("'. Use: pii_type=action")))
+            .when(~t.isin(PII_TYPES), F.concat(F.lit("Invalid PII type '"), t, F.lit("'")))
+            .when(~a.isin(ACTIONS), F.concat(F.lit("Invalid action '"), a, F.lit("'")))
+            .when(
+                ~action_is_legal(t, a),
+                F.concat(
+                    F.lit("Invalid action '"), a, F.lit("' for "), t, F.lit(". Valid: "),
+                    F.get(valid_lists, type_order(t) - 1),
+                ),
+            )
         )
-    )
-    return changes.withColumn("error", error).withColumn(
-        "pii_type", F.when(F.col("error").isNull(), t)
-    ).withColumn("action", F.when(F.col("error").isNull(), a))
+        return let(error, lambda e: F.struct(
+            F.when(e.isNull(), t).alias("pii_type"), F.when(e.isNull(), a).alias("action"), e.alias("error")
+        ))
+
+    read = changes.withColumn("_read", let(F.split("change", "=", 2), parsed))
+    return read.select(*changes.columns, "_read.*")
 
 
 def update_rules(

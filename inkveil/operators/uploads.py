@@ -60,7 +60,7 @@ def delete_uploads(uploads: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
 
 
 def _age_micros(now: Column, then: Column) -> Column:
-    return F.unix_micros(now) - F.unix_micros(then)
+    return F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
 
 
 def expire(uploads: DataFrame, now: Column, ttl: int = UPLOAD_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:

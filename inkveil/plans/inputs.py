@@ -159,7 +159,7 @@ UPLOADS = (
     "CAST(length(props) AS BIGINT) AS size, ts AS created_at FROM events"
 )
 # Ids asked for: one per order (some name an upload) and one malformed per customer.
-ASKED_IDS = f"SELECT {uuid_of('o_orderkey')} AS file_id FROM orders UNION ALL SELECT c_name AS file_id FROM customer"
+ASKED_IDS = f"SELECT {uuid_of('o_orderkey * 2')} AS file_id FROM orders UNION ALL SELECT c_name AS file_id FROM customer"
 
 # -- profiles: one per customer ----------------------------------------------
 
