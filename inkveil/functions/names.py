@@ -22,8 +22,8 @@ COMPANIES = (
 
 # Pools for invented values.
 INVENTED_FIRST = (
-    "Alex Maria Jordan Elena Taylor Nina Morgan Clara Casey Irene Robin Marta Avery Lucia "
-    "Quinn Petra Rowan Vera Blake Ines"
+    "Alex Elena Nina Clara Irene Marta Lucia Petra Vera Ines Anton Felix Hugo Oscar Leon Milo "
+    "Bruno Viktor Emil Ivo"
 ).split()
 INVENTED_LAST = (
     "Chen Garcia Novak Lindqvist Okafor Tanaka Moreau Rossi Haddad Kowalski Silva Petrov "

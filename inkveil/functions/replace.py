@@ -321,26 +321,37 @@ def company_keys(items: Column) -> Column:
 
 
 def invented_names(keys: Column, doc_key: Column, salt: Column, heads: list[str], tails: list[str]) -> Column:
-    """One different invented lower-case name per key, none of them among the keys."""
+    """One different invented lower-case name per key, none of them among the keys.
+
+    Words that occur in a key are not used either (unless no other is left).
+    """
+
+    def unused(pool: list[str], taken: Column) -> Column:
+        lower = words(w.lower() for w in pool)
+        return let(F.array_except(lower, taken), lambda free: F.when(F.size(free) > 0, free).otherwise(lower))
 
     def over(k: Column) -> Column:
-        start = hash_number(doc_key, salt)
+        taken = F.flatten(F.transform(k, lambda x: F.split(x, " ")))
+        pools = let(taken, lambda t: F.struct(unused(heads, t).alias("head"), unused(tails, t).alias("tail")))
+        return F.when(F.size(k) > 0, let(pools, lambda p: F.array_except(candidates(k, p["head"], p["tail"]), k))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    def candidates(k: Column, head: Column, tail: Column) -> Column:
+        # Twice as many as keys: at most half of them can be keys.
+        n_head, n_all = F.size(head), F.size(head) * F.size(tail)
+        start = hash_number(doc_key, salt) % n_all
 
         def name(i: Column) -> Column:
-            at = i + start % (len(heads) * len(tails))
-            lap = F.floor(i / (len(heads) * len(tails)))
-            return F.lower(F.concat_ws(
+            lap = F.floor(i / n_all)
+            return F.concat_ws(
                 " ",
-                pick(heads, at),
+                F.get(head, ((start + i) % n_head).cast("int")),
                 F.when(lap > 0, (lap + 1).cast("string")),
-                pick(tails, F.floor(at / len(heads))),
-            ))
+                F.get(tail, (F.floor((start + i) / n_head) % F.size(tail)).cast("int")),
+            )
 
-        # Twice as many candidates as keys: at most half of them can be keys.
-        candidates = F.transform(F.sequence(F.lit(0), F.size(k) * 2 - 1), name)
-        return F.when(F.size(k) > 0, F.array_except(candidates, k)).otherwise(
-            F.array().cast("array<string>")
-        )
+        return F.transform(F.sequence(F.lit(0), F.size(k) * 2 - 1), name)
 
     return let(keys, over)
 
