@@ -77,12 +77,22 @@ def sanitize_documents(
     return apply_actions(found, actions, salt, id_col, out_col=out_col)
 
 
+def replaced_spans(applied: DataFrame, id_cols: list[str]) -> DataFrame:
+    """One row per span of ``applied``: ``(*id_cols, pii_type, rule, value, replacement)``.
+
+    The array is filtered inside ``explode``: exploding the bare column would
+    make the optimizer test its size first and so compute it again.
+    """
+    spans = F.filter("applied", lambda p: p["pii_type"].isNotNull())
+    return applied.select(*id_cols, F.explode(spans).alias("p")).select(*id_cols, "p.*")
+
+
 def removal_counts(applied: DataFrame, id_cols: list[str] | None = None) -> DataFrame:
-    """Replaced spans by type (and by ``id_cols``); counted per row first, then summed."""
+    """Replaced spans by type (and by ``id_cols``); summed per task before the shuffle."""
     id_cols = id_cols or []
     return (
-        applied.select(*id_cols, F.explode("applied").alias("p"))
-        .where(F.col("p.pii_type").isNotNull() & (F.col("p.replacement") != F.col("p.value")))
-        .groupBy(*id_cols, F.col("p.pii_type").alias("pii_type"))
+        replaced_spans(applied, id_cols)
+        .where(F.col("replacement") != F.col("value"))
+        .groupBy(*id_cols, "pii_type")
         .agg(F.count("*").alias("replaced"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
+from inkveil.operators.actions import replaced_spans
 from inkveil.operators.entities import entity_key
 
 # Structure marks: pattern per kind.
@@ -38,14 +39,9 @@ def check_consistency(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Takes documents with ``applied``; only span rows are shuffled.
     """
-    spans = df.select(id_col, F.explode("applied").alias("p")).where(F.col("p.pii_type").isNotNull())
     return (
-        spans.select(
-            id_col,
-            F.col("p.pii_type").alias("pii_type"),
-            entity_key(F.col("p.pii_type"), F.col("p.value")).alias("entity_key"),
-            F.col("p.replacement").alias("replacement"),
-        )
+        replaced_spans(df, [id_col])
+        .withColumn("entity_key", entity_key(F.col("pii_type"), F.col("value")))
         .groupBy(id_col, "pii_type", "entity_key")
         .agg(
             F.countDistinct("replacement").alias("replacements"),

@@ -126,16 +126,30 @@ def profile_key(profile_id: Column, profile: Column, default: str = "default") -
     )
 
 
+# Profile tables up to this many rows are broadcast: a row is an id, a name and
+# at most 8 short actions, so this stays near 100 MB. The size is checked.
+BROADCAST_PROFILES = 500_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_PROFILES) -> DataFrame:
+    """Hint a broadcast when the table is known to be small; else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def resolve_profile(requests: DataFrame, profiles: DataFrame, default: str = "default") -> DataFrame:
     """Add ``resolved_id``, ``resolved_name`` and ``error`` to each request.
 
-    Requests have ``profile_id`` and ``profile`` (either may be null). One
-    equi-join on a common key; which side is broadcast is left to Spark, which
-    knows the sizes, and a profile most requests name is split by AQE.
+    Requests have ``profile_id`` and ``profile`` (either may be null). Further
+    columns of ``profiles`` come along. One equi-join on a common key, with
+    the profiles broadcast when few enough, so that documents are not
+    shuffled; beyond that AQE splits a profile that many requests name.
     """
-    known = profiles.select(
+    more = [c for c in profiles.columns if c not in ("profile_id", "name", "created_at", "modified_at")]
+    small = broadcast_if_small(profiles.select("profile_id", "name", *more))
+    known = small.select(
         F.col("profile_id").alias("resolved_id"),
         F.col("name").alias("resolved_name"),
+        *more,
         F.explode(F.array(
             F.concat(F.lit("id:"), F.col("profile_id").cast("string")),
             F.concat(F.lit("name:"), F.lower("name")),
@@ -337,14 +351,13 @@ def diff_rules(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def with_rules(documents: DataFrame, rules: DataFrame, id_col: str = "profile_id", prefix: str = "action_") -> DataFrame:
-    """Add the action of every type to each document.
+def with_rules(df: DataFrame, rules: DataFrame, id_col: str = "profile_id", prefix: str = "action_") -> DataFrame:
+    """Add the action of every type to the rows of a profile or request table.
 
-    The wide rule table is a few short columns per profile. Spark broadcasts it
-    below its size threshold; beyond that AQE splits a profile that holds many
-    documents.
+    Join it to the profiles, not to the documents: what documents are joined
+    with is then one row per profile.
     """
     wide = rules_wide(rules, ["profile_id"]).select(
         F.col("profile_id").alias(id_col), *[F.col(t).alias(prefix + t) for t in PII_TYPES]
     )
-    return documents.join(wide, id_col, "left")
+    return df.join(wide, id_col, "left")

@@ -108,10 +108,10 @@ _pair("financial", "invent", "invent_financial", extra={"person_name": "delete"}
 )
 def invent_person(spark, sf_dir):
     done = A.sanitize_documents(letters(spark, sf_dir), {"person_name": "invent"}, SALT)
-    spans = done.select("doc_id", F.explode("applied").alias("p")).where(F.col("p.pii_type") == "person_name")
+    spans = A.replaced_spans(done, ["doc_id"]).where(F.col("pii_type") == "person_name")
     return spans.groupBy("doc_id").agg(
-        F.countDistinct("p.replacement").alias("invented"),
-        F.count_if(F.contains("p.replacement", "p.value")).alias("originals_left"),
+        F.countDistinct("replacement").alias("invented"),
+        F.count_if(F.contains("replacement", "value")).alias("originals_left"),
         F.count("*").alias("mentions"),
     )
 
@@ -119,10 +119,10 @@ def invent_person(spark, sf_dir):
 @query("SELECT c_custkey AS doc_id, CAST(1 AS BIGINT) AS invented, CAST(0 AS BIGINT) AS originals_left FROM customer")
 def invent_company(spark, sf_dir):
     done = A.sanitize_documents(letters(spark, sf_dir), {"company": "invent"}, SALT)
-    spans = done.select("doc_id", F.explode("applied").alias("p")).where(F.col("p.pii_type") == "company")
+    spans = A.replaced_spans(done, ["doc_id"]).where(F.col("pii_type") == "company")
     return spans.groupBy("doc_id").agg(
-        F.countDistinct("p.replacement").alias("invented"),
-        F.count_if(F.col("p.replacement") == F.col("p.value")).alias("originals_left"),
+        F.countDistinct("replacement").alias("invented"),
+        F.count_if(F.col("replacement") == F.col("value")).alias("originals_left"),
     )
 
 
@@ -134,14 +134,14 @@ def invent_company(spark, sf_dir):
 )
 def invent_address(spark, sf_dir):
     done = A.sanitize_documents(letters(spark, sf_dir), {"address": "invent"}, SALT)
-    spans = done.select("doc_id", F.explode("applied").alias("p")).where(F.col("p.pii_type") == "address")
-    new = F.regexp_replace("p.replacement", "[0-9]", "9")
+    spans = A.replaced_spans(done, ["doc_id"]).where(F.col("pii_type") == "address")
+    new = F.regexp_replace("replacement", "[0-9]", "9")
     shape = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(new, "9 [A-Z][a-z]+ St", "9 X St"), ", [A-Z][a-z]+", ", X"),
         "(, X,?) [A-Z]{2}", "$1 XX",
     )
     return spans.select(
-        "doc_id", (F.col("p.replacement") != F.col("p.value")).alias("changed"), shape.alias("shape")
+        "doc_id", (F.col("replacement") != F.col("value")).alias("changed"), shape.alias("shape")
     )
 
 

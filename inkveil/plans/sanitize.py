@@ -34,8 +34,10 @@ def sanitize(
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
     asked = df.withColumnRenamed("error", "_read_error")
-    found = resolve_profile(asked, profiles).withColumn("error", F.coalesce("_read_error", "error"))
-    ruled = with_rules(found, rules, "resolved_id")
+    # Profiles and rules meet first, so the documents go through one join.
+    ruled = resolve_profile(asked, with_rules(profiles.select("profile_id", "name"), rules)).withColumn(
+        "error", F.coalesce("_read_error", "error")
+    )
     text = F.when(F.col("error").isNull(), F.col("content"))
     items = M.pieces(M.marked(text, PII_TYPES))
     applied = R.applied_pieces(items, action_columns(), salt, F.col("doc_id"))

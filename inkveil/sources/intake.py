@@ -60,6 +60,16 @@ def from_table(
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a small table at least one task per core.
+
+    For a bare scan only. A table of many files has tasks enough and stays as
+    it is; one that is a few files would be worked on by a few cores.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def with_extension(df: DataFrame, name_col: str = "filename") -> DataFrame:
     return df.withColumn("ext", extension(F.col(name_col)))
 
