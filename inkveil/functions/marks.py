@@ -1,10 +1,10 @@
 """Marking: every detector wraps its matches, one split turns the text into pieces.
 
 ``OPEN code value CLOSE`` stands around each match, where OPEN and CLOSE are
-Unicode noncharacters (never used for interchange; texts that hold them anyway
-are escaped first, so any text survives). A later rule skips what is already
-marked, so each character belongs to at most one span. The work is one regex
-pass per rule and stays linear in the text.
+control characters (texts that hold them anyway are escaped first, so any text
+survives). A later rule skips what is already marked, so each character belongs
+to at most one span. The work is one regex pass per rule and stays linear in
+the text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from inkveil.functions.arrays import contains_any, let, scan, words
 from inkveil.functions.patterns import CLOSE, OPEN, Rule
 from inkveil.model import SPAN_TYPE
 
-ESC = "﷓"
+ESC = "\x03"
 CODE_LEN = 2
 MARKED = f"{OPEN}[^{CLOSE}]*+{CLOSE}"
 # A sentence end that is not personal data.
@@ -50,14 +50,14 @@ def restore(text: Column) -> Column:
 
 def mark_with(text: Column, rule: Rule, target: Column, first: Column | None = None) -> Column:
     """Mark matches of a pattern that is itself a column (one pattern per row)."""
-    head = F.lit("") if first is None else F.concat(F.lit("(?=["), first, F.lit(f"{OPEN}])"))
+    head = F.lit("") if first is None else F.concat(F.lit(f"(?=[{OPEN}"), first, F.lit("])"))
     pattern = F.concat(head, F.lit(f"(?:({MARKED})|("), F.lit(rule.cue), F.lit(")("), target, F.lit("))"))
     return _mark(text, rule, pattern)
 
 
 def mark(text: Column, rule: Rule) -> Column:
     """Mark the matches of one rule in a (protected, maybe already marked) text."""
-    pattern = f"(?=[{rule.first}{OPEN}])(?:({MARKED})|({rule.cue})({rule.target}))"
+    pattern = f"(?=[{OPEN}{rule.first}])(?:({MARKED})|({rule.cue})({rule.target}))"
     gates = []
     if rule.hints:
         gates.append(lambda t: contains_any(t, rule.hints))
@@ -150,7 +150,8 @@ def mark_short_names(text: Column) -> Column:
 
 def mark_personal_amounts(text: Column) -> Column:
     """Mark money amounts standing in a sentence or line that names a person."""
-    end = F.lit(f"({MARKED})|([.!?][ \\t]+|\\n)")
+    # A title's full stop does not end a sentence.
+    end = F.lit(f"({MARKED}|{P.LB}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr)\\.[ \\t]+)|([.!?][ \\t]+|\\n)")
 
     def over(t: Column) -> Column:
         ended = F.regexp_replace(t, end, F.lit(f"$1{OPEN}{SENTENCE}$2{CLOSE}"))
@@ -179,27 +180,35 @@ def marked(
     from a gazetteer (null: none for this row).
     """
     types = set(types)
-    out = protect(text)
-    if "email" in types:
-        out = mark(out, P.EMAIL)
-    digit_rules = [r for r in P.DIGIT_RULES if r.pii_type in types]
-    out = mark_gated(out, digit_rules, has_digits)
-    if types & {"company", "person_name"}:
-        out = mark_all(out, P.COMPANY_RULES)
-        if companies is not None:
-            out = _mark_row_list(out, P.GAZETTEER_COMPANY, companies, f"{P.NAME_LB}", P.NAME_RB)
-    if "person_name" in types:
-        out = mark_all(out, P.PERSON_RULES)
-        if first_names is not None:
-            tail = f" (?:(?:{P.WORD}|{P.INITIAL}) )?{P.WORD}{P.NAME_RB}"
-            out = _mark_row_list(out, P.GAZETTEER_PERSON, first_names, P.NAME_LB, tail)
-        out = mark_table_persons(out)
-        out = mark_short_names(out)
+    names = "person_name" in types
+
+    def in_line(line: Column) -> Column:
+        out = mark(line, P.EMAIL) if "email" in types else line
+        out = mark_gated(out, [r for r in P.DIGIT_RULES if r.pii_type in types], has_digits)
+        if names or "company" in types:
+            out = mark_all(out, P.COMPANY_RULES)
+            if companies is not None:
+                out = _mark_row_list(out, P.GAZETTEER_COMPANY, companies, P.NAME_LB, P.NAME_RB)
+        if names:
+            out = mark_all(out, P.PERSON_RULES)
+            if first_names is not None:
+                tail = f" (?:(?:{P.WORD}|{P.INITIAL}) )?{P.WORD}{P.NAME_RB}"
+                out = _mark_row_list(out, P.GAZETTEER_PERSON, first_names, P.NAME_LB, tail)
+        return out
+
+    out = by_line(protect(text), in_line)
+    if names:
+        out = mark_short_names(mark_table_persons(out))
         if "financial" in types:
             out = mark_personal_amounts(out)
     return out
 
 
+def by_line(text: Column, body) -> Column:
+    """Apply ``body`` to each line: no rule looks beyond one, and most lines fail every gate."""
+    return F.array_join(F.transform(F.split(text, "\n"), body), "\n")
+
+
 def _mark_row_list(text: Column, rule: Rule, words: Column, before: str, after: str) -> Column:
     target = F.concat(F.lit(before + "(?:"), words, F.lit(")" + after))
     return let(

@@ -20,8 +20,8 @@ NAME_LB = r"(?<![\p{L}\p{N}_])"
 NAME_RB = r"(?![\p{L}\p{N}_])"
 
 # Marks around a match; see marks.py.
-OPEN = "\ufdd0"
-CLOSE = "\ufdd2"
+OPEN = "\x01"
+CLOSE = "\x02"
 
 WORD = r"(?:\p{Lu}'|Mc|Mac|De|Van )?\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
 INITIAL = r"\p{Lu}\."

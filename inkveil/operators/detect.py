@@ -34,7 +34,7 @@ def _detect(df: DataFrame, marked: Column, types: Iterable[str], id_col: str) ->
 
 
 def _detect_rules(df: DataFrame, rules: list[P.Rule], id_col: str, text_col: str) -> DataFrame:
-    marked = M.mark_all(M.protect(F.col(text_col)), rules)
+    marked = M.by_line(M.protect(F.col(text_col)), lambda line: M.mark_all(line, rules))
     return span_rows(df, M.piece_spans(M.pieces(marked)), id_col)
 
 

@@ -1,0 +1,128 @@
+"""Marks, pieces, offsets and overlaps against brute force."""
+
+import random
+import re
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from inkveil.functions import marks as M
+from inkveil.functions import patterns as P
+from inkveil.model import DEFAULT_ACTIONS, PII_TYPES
+from inkveil.operators import detect as D
+from inkveil.operators.actions import sanitize_documents
+
+ODD = "".join(chr(c) for c in (1, 2, 3)) + "eoc@.a1 \n|é😀"
+
+
+def collect_pieces(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    items = M.pieces(M.marked(F.col("text"), PII_TYPES))
+    out = df.select("doc_id", items.alias("p")).select("doc_id", "p", M.piece_spans(F.col("p")).alias("s"))
+    return [(r.p, r.s) for r in sorted(out.collect(), key=lambda r: r.doc_id)]
+
+
+def test_pieces_put_together_are_the_text(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["a\x01em b@c.de\x02 \x03o 555-1234", "John Smith\x02 and \x01kpJane Doe"]
+    for text, (pieces, spans) in zip(texts, collect_pieces(spark, texts)):
+        assert "".join(p.value for p in pieces) == text
+        for s in spans:
+            assert text[s.start:s.end] == s.value
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet=ODD, max_size=30), min_size=1, max_size=20))
+def test_protect_and_restore(texts):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    back = df.select("i", M.restore(M.protect(F.col("t"))).alias("b"), M.protect(F.col("t")).alias("p")).collect()
+    for r in back:
+        assert r.b == texts[r.i]
+        assert "\x01" not in r.p and "\x02" not in r.p
+
+
+def test_spans_equal_python_regex(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    for rule, detect in ((P.EMAIL, D.detect_email), (P.PHONE, D.detect_phone)):
+        got = sorted((r.doc_id, r.start, r.value) for r in detect(docs).collect())
+        want = sorted((r.doc_id, m.start(), m.group()) for r in rows for m in re.finditer(rule.target, r.text))
+        assert got == want and got
+
+
+def brute_overlaps(spans):
+    companies = [s for s in spans if s[0] == "company"]
+    spans = [s for s in spans if s[0] != "person_name" or not any(c[1] < s[2] and s[1] < c[2] for c in companies)]
+    kept, end = [], -1
+    for s in sorted(spans, key=lambda s: (s[1], -(s[2] - s[1]), s[3])):
+        if s[1] >= end:
+            kept.append(s)
+            end = s[2]
+    return kept
+
+
+def test_resolve_overlaps(spark):
+    rng = random.Random(3)
+    cases = []
+    for n in (0, 1, 5, 40, 700):
+        for _ in range(6):
+            spans = []
+            for _ in range(n):
+                a = rng.randrange(n * 4)
+                spans.append((rng.choice(["company", "person_name", "email"]), a, a + rng.randrange(1, 9), rng.randrange(99999)))
+            cases.append(spans)
+    schema = "id int, spans array<struct<pii_type:string,rule:string,start:int,end:int,value:string,prio:int>>"
+    df = spark.createDataFrame([(i, [(t, "r", a, b, "v", p) for t, a, b, p in c]) for i, c in enumerate(cases)], schema)
+    for r in df.select("id", D.resolve_overlaps(F.col("spans")).alias("kept")).collect():
+        assert [(s.pii_type, s.start, s.end, s.prio) for s in r.kept] == brute_overlaps(cases[r.id])
+
+
+def test_long_document_stays_linear(spark):
+    """One text of about 3 MB with 30,000 persons and e-mails: no step may be quadratic."""
+    firsts, lasts = ["John", "Sarah", "Emma"], "abcdefghij"
+    lines = [
+        f"{firsts[i % 3]} X{lasts[i % 10]}{lasts[i // 10 % 10]}{lasts[i // 100 % 10]}{lasts[i // 1000 % 10]}k, p{i}@mail.example.com, in stock"
+        for i in range(30_000)
+    ]
+    lines = [line.replace(" X", " Q") for line in lines]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")
+    begin = time.time()
+    out = sanitize_documents(df, DEFAULT_ACTIONS).select("content").first()[0].split("\n")
+    assert time.time() - begin < 120
+    seen, numbers = {}, {}
+    for line, done in zip(lines, out):
+        name = line.split(",")[0]
+        first = name.split()[0]
+        if name not in seen:
+            numbers[first] = numbers.get(first, 0) + 1
+            seen[name] = f"{first} {numbers[first]}"
+        assert done == f"{seen[name]}, [EMAIL_REDACTED]@mail.example.com, in stock"
+
+
+def test_gazetteers_short_and_long_agree(spark):
+    texts = [(i, f"Xyz{chr(97 + i % 26)} Miller of Foo{i} Works wrote; Nope Miller too") for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    names = [(f"Xyz{chr(97 + i)}",) for i in range(26)]
+    firms = [(f"Foo{i} Works",) for i in range(40)]
+    for extra in ([], [(f"Zzz{i}x",) for i in range(D.INLINE_WORDS)]):
+        people = D.detect_person(df, spark.createDataFrame(names + extra, "name string"))
+        assert sorted((r.doc_id, r.value) for r in people.collect()) == sorted((i, t.split(" of")[0]) for i, t in texts)
+        found = D.detect_company(df, spark.createDataFrame(firms + extra, "name string"))
+        assert sorted((r.doc_id, r.value) for r in found.collect()) == sorted((i, f"Foo{i} Works") for i in range(40))
+
+
+def test_table_columns_with_names(spark, sanitize_texts):
+    text = (
+        "## Sheet: a\n\n| No | Full Name | Email |\n|---|---|---|\n| 1 | Zoltan Kis | z@x.org |\n| 2 | a\\|b |  |\n| 3 |  | q@x.org |"
+        "\n\n## Sheet: b\n\n| Contact | Product name |\n|---|---|\n| Ildi | Lamp |"
+    )
+    assert sanitize_texts([text], {"person_name": "delete"}) == [
+        "## Sheet: a\n\n| No | Full Name | Email |\n|---|---|---|\n| 1 | [NAME_REMOVED] | z@x.org |\n| 2 | [NAME_REMOVED] |  |\n| 3 |  | q@x.org |"
+        "\n\n## Sheet: b\n\n| Contact | Product name |\n|---|---|\n| [NAME_REMOVED] | Lamp |"
+    ]
