@@ -235,21 +235,11 @@ def pieces(marked_text: Column) -> Column:
             restore(value).alias("value"),
         )
 
-    return let(marked_text, lambda m: F.transform(
-        F.when(m.contains(OPEN), F.split(m, f"[{OPEN}{CLOSE}]")).otherwise(F.array(m)), piece
-    ))
-
-
-def keep_pieces(items: Column, keep) -> Column:
-    """Turn spans for which ``keep(piece)`` does not hold back into plain text."""
-    return F.transform(
-        items,
-        lambda p: F.struct(
-            F.when(keep(p), p["pii_type"]).alias("pii_type"),
-            F.when(keep(p), p["rule"]).alias("rule"),
-            p["value"].alias("value"),
-        ),
-    )
+    def over(m: Column) -> Column:
+        parts = F.when(m.contains(OPEN), F.split(m, f"[{OPEN}{CLOSE}]")).otherwise(F.array(m))
+        return F.when(m.isNotNull(), F.transform(parts, piece))
+
+    return let(marked_text, over)
 
 
 def piece_spans(items: Column) -> Column:
