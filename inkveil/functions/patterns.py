@@ -124,7 +124,7 @@ SSN = Rule("ss", "id_numbers", "ssn", "0-9", f"{LB}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{
 CODED_ID = Rule(
     "ei", "id_numbers", "coded_id", "ECISUMP",
     f"{LB}(?:EMP|EMPL|CUST|CLIENT|STAFF|USER|MEMBER|PATIENT|ID)-?[0-9]{{3,12}}{RB}",
-    hints=("EMP", "CUST", "CLIENT", "STAFF", "USER", "MEMBER", "PATIENT", "ID"),
+    gate="[A-Z]-?[0-9]{3}",
 )
 CUED_ID = Rule(
     "ci", "id_numbers", "cued_id", "CcDdEeMmNnPpSsTt",
@@ -178,7 +178,7 @@ STREET = Rule(
         f"{LB}[0-9]{{1,6}}[A-Za-z]? (?:[A-Z][A-Za-z'.-]{{0,20}} ){{1,4}}(?:{STREET_WORDS}){RB}\\.?"
         f"(?:,? {UNIT})?(?:,? {CITY_STATE})?"
     ),
-    hints=tuple(" " + w for w in STREET_WORDS.split("|")),
+    gate="[0-9][A-Za-z]? [A-Z]",
 )
 PO_BOX = Rule(
     "po", "address", "po_box", "P",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
 from inkveil.functions import replace as R
+from inkveil.functions.arrays import built_once
 from inkveil.model import DEFAULT_ACTIONS, PII_TYPES, VALID_ACTIONS
 from inkveil.operators.detect import active_types, detect_all
 
@@ -41,10 +42,16 @@ def apply_actions(
     entities are numbered inside the row, the text is never shuffled.
     """
     check_actions(actions)
-    applied = R.applied_pieces(F.col(pieces_col), actions, salt, F.col(id_col).cast("string"))
+    fixed = isinstance(salt, str) and all(isinstance(a, str) for a in actions.values())
+    applied = (applied_of if fixed else applied_of.__wrapped__)(pieces_col, tuple(actions.items()), salt, id_col)
     return df.withColumn("applied", applied).withColumn(out_col, R.replaced_text(F.col("applied")))
 
 
+@built_once
+def applied_of(pieces_col: str, actions: tuple, salt: str | Column, id_col: str) -> Column:
+    return R.applied_pieces(F.col(pieces_col), dict(actions), salt, F.col(id_col).cast("string"))
+
+
 def sanitize_text(
     text: Column, actions: dict | None = None, salt: str | Column = "", doc_key: Column | None = None
 ) -> Column:
@@ -57,10 +64,20 @@ def sanitize_text(
 
 
 def sanitize_columns(
-    df: DataFrame, columns: list[str], actions: dict | None = None, salt: str = "", key: Column | None = None
+    df: DataFrame, columns: list[str], actions: dict | None = None, salt: str = "", id_col: str | None = None
 ) -> DataFrame:
-    """Sanitize plain string columns of any table in place; nulls stay null."""
-    return df.withColumns({c: sanitize_text(F.col(c), actions, salt, key) for c in columns})
+    """Sanitize plain string columns of any table in place; nulls stay null.
+
+    Entities are those of one value; ``id_col`` keys the names invented for them.
+    """
+    fixed = tuple((DEFAULT_ACTIONS if actions is None else actions).items())
+    return df.withColumns({c: sanitized_column(c, fixed, salt, id_col) for c in columns})
+
+
+@built_once
+def sanitized_column(column: str, actions: tuple, salt: str, id_col: str | None) -> Column:
+    key = None if id_col is None else F.col(id_col).cast("string")
+    return sanitize_text(F.col(column), dict(actions), salt, key)
 
 
 def sanitize_documents(

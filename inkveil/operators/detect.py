@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
 from inkveil.functions import patterns as P
-from inkveil.functions.arrays import let, scan
+from inkveil.functions.arrays import built_once, let, scan
 from inkveil.model import PII_TYPES, SPAN_TYPE
 
 # Gazetteers up to this many words go into the pattern itself.
@@ -170,8 +170,12 @@ def detect_all(df: DataFrame, actions: dict, text_col: str = "text", out_col: st
 
     ``actions`` maps a type to a fixed action or to a column.
     """
-    marked = M.marked(F.col(text_col), active_types(actions))
-    return df.withColumn(out_col, M.pieces(marked))
+    return df.withColumn(out_col, pieces_of(text_col, tuple(active_types(actions))))
+
+
+@built_once
+def pieces_of(text_col: str, types: tuple[str, ...]) -> Column:
+    return M.pieces(M.marked(F.col(text_col), types))
 
 
 def resolve_overlaps(spans: Column) -> Column:

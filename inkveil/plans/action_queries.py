@@ -198,7 +198,7 @@ def removals_by_type(spark, sf_dir):
 )
 def sanitize_columns(spark, sf_dir):
     wide = rows(spark, sf_dir, f"SELECT *, {I.letter_text()} AS note FROM customer")
-    return A.sanitize_columns(wide, ["c_name", "note"], DEFAULT_ACTIONS, key=F.col("c_custkey").cast("string"))
+    return A.sanitize_columns(wide, ["c_name", "note"], DEFAULT_ACTIONS, id_col="c_custkey")
 
 
 # -- entities ----------------------------------------------------------------

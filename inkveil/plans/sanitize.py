@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
 from inkveil.functions import replace as R
+from inkveil.functions.arrays import built_once
 from inkveil.model import PII_TYPES
 from inkveil.operators.actions import action_columns
 from inkveil.operators.output import frontmatter, output_name
@@ -15,6 +16,14 @@ from inkveil.operators.profiles import resolve_profile, with_rules
 RULES_MODEL = "spark-rules"
 
 
+@built_once
+def applied_by_columns(salt: str) -> Column:
+    """The pieces of readable documents with replacements by their own action columns."""
+    text = F.when(F.col("error").isNull(), F.col("content"))
+    items = M.pieces(M.marked(text, PII_TYPES))
+    return R.applied_pieces(items, action_columns(), salt, F.col("doc_id"))
+
+
 def sanitize(
     documents: DataFrame,
     profiles: DataFrame,
@@ -38,11 +47,8 @@ def sanitize(
     ruled = resolve_profile(asked, with_rules(profiles.select("profile_id", "name"), rules)).withColumn(
         "error", F.coalesce("_read_error", "error")
     )
-    text = F.when(F.col("error").isNull(), F.col("content"))
-    items = M.pieces(M.marked(text, PII_TYPES))
-    applied = R.applied_pieces(items, action_columns(), salt, F.col("doc_id"))
     head = frontmatter(F.col("source_type"), now, F.lit(model), F.col("resolved_name"))
-    return ruled.withColumn("applied", applied).select(
+    return ruled.withColumn("applied", applied_by_columns(salt)).select(
         "doc_id",
         output_name(F.col("filename")).alias("output_name"),
         "source_type",
