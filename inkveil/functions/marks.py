@@ -100,27 +100,26 @@ def mark_table_persons(text: Column) -> Column:
     each has its own header.
     """
     head = r"^(\n?\|[^\n]*\n\|[-|]+\|\n)"
-    # A cell may hold escaped pipes.
-    cell = r"[^|\n\\]*(?:\\[^\n][^|\n\\]*)*"
-    plain = rf"[^|\n\\{OPEN}{CLOSE}]"
-    value = rf"(?=[^ |\n{OPEN}{CLOSE}]){plain}*(?:\\[^\n]{plain}*)*(?<! )"
+    pipe = r"(?<!\\)\|"
+    open_, close = OPEN + P.TABLE_PERSON.code, CLOSE
 
     def in_block(block: Column) -> Column:
         header = F.regexp_extract(block, head, 1)
-        return let(header, lambda h: F.when(h == "", block).otherwise(in_table(block, h)))
-
-    def in_table(block: Column, header: Column) -> Column:
-        # The cells that come before the name column.
-        before = F.regexp_extract(
-            header, rf"(?:^|\n)(\|(?:{cell}\|)*?) *{P.NAME_HEADER} *\|", 1
-        )
-        n_before = F.length(F.regexp_replace(F.replace(before, F.lit("\\|"), F.lit("")), "[^|]", "")) - 1
-        rows = F.substring(block, F.length(header) + 1, F.length(block))
-        pattern = F.concat(
-            F.lit(rf"(?m)^(\|(?:{cell}\|){{"), n_before.cast("string"), F.lit(rf"}} *)({value})(?= *\|)")
-        )
-        names = F.regexp_replace(rows, pattern, F.lit(f"$1{OPEN}{P.TABLE_PERSON.code}$2{CLOSE}"))
-        return F.when(before != "", F.concat(header, names)).otherwise(block)
+        return let(header, lambda h: F.when(h == "", block).otherwise(let(name_columns(h), lambda at: F.when(
+            F.size(at) == 0, block
+        ).otherwise(F.concat(h, by_line(F.substring(block, F.length(h) + 1, F.length(block)), lambda x: in_row(x, at)))))))
+
+    def name_columns(header: Column) -> Column:
+        cells = F.split(F.regexp_extract(header, r"\A\n?(\|[^\n]*)\n", 1), pipe)
+        is_name = F.transform(cells, lambda c, j: F.when(c.rlike(rf"\A *{P.NAME_HEADER} *\z"), j))
+        return F.filter(is_name, lambda j: j.isNotNull())
+
+    def in_row(row: Column, at: Column) -> Column:
+        cells = F.transform(F.split(row, pipe), lambda c, j: F.when(
+            F.array_contains(at, j) & (F.trim(c) != "") & ~c.contains(OPEN),
+            F.regexp_replace(c, r"\A( *)(.*?)( *)\z", f"$1{open_}$2{close}$3"),
+        ).otherwise(c))
+        return F.when(row.startswith("|"), F.array_join(cells, "|")).otherwise(row)
 
     def over(t: Column) -> Column:
         blocks = F.split(t, "\n\n")

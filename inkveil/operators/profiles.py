@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.arrays import let, words
@@ -211,10 +211,11 @@ def create_profiles(
             F.when(F.col("_source_id").isNull(), no_source),
         ),
     )
-    # Of the requests that pass on their own, the first per name wins.
-    turn = F.row_number().over(Window.partitionBy("_lower", F.col("_error").isNull()).orderBy("ord"))
-    judged = single.withColumn(
-        "error", F.coalesce(F.col("_error"), F.when(turn > 1, exists))
+    # Of the requests that pass on their own, the first per name wins. The
+    # minimum is taken per task first, so a name asked for often costs little.
+    first = single.where(F.col("_error").isNull()).groupBy("_lower").agg(F.min("ord").alias("_first"))
+    judged = single.join(first, "_lower", "left").withColumn(
+        "error", F.coalesce(F.col("_error"), F.when(F.col("ord") > F.col("_first"), exists))
     ).select("ord", "name", "_source_id", "error")
     accepted = number_rows(judged.where(F.col("error").isNull()), "ord", next_id, "profile_id")
     created = accepted.select("profile_id", "name", now.alias("created_at"), now.alias("modified_at"))

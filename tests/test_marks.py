@@ -126,3 +126,12 @@ def test_table_columns_with_names(spark, sanitize_texts):
         "## Sheet: a\n\n| No | Full Name | Email |\n|---|---|---|\n| 1 | [NAME_REMOVED] | z@x.org |\n| 2 | [NAME_REMOVED] |  |\n| 3 |  | q@x.org |"
         "\n\n## Sheet: b\n\n| Contact | Product name |\n|---|---|\n| [NAME_REMOVED] | Lamp |"
     ]
+
+
+def test_tables_with_several_name_columns_and_many_cells(spark, sanitize_texts):
+    wide = "| " + " | ".join(f"c{i}" for i in range(3000)) + " | Contact |\n|" + "---|" * 3001 + "\n"
+    row = "| " + "\\| | " * 3000 + "Ildi |"
+    two = "| First name | Last name | City |\n|---|---|---|\n| Ildi | Kis | Györ |"
+    out = sanitize_texts([wide + row, two], {"person_name": "delete"})
+    assert out[0] == wide + row.replace("Ildi", "[NAME_REMOVED]")
+    assert out[1] == "| First name | Last name | City |\n|---|---|---|\n| [NAME_REMOVED] | [NAME_REMOVED] | Györ |"
