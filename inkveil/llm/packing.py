@@ -3,7 +3,9 @@
 Each task packs its own documents: no shuffle. What a document has beyond whole
 sequences is cut into pieces, pieces are held until they fill about ``WINDOWS``
 sequences, and the batch is divided into that many windows by multiway differencing;
-when a window comes out above the capacity, it is divided into one more.
+when a window comes out above the capacity, the batch is divided into one more. Every
+``FINE``-th document is cut into halves of halves, as differencing needs small pieces to
+level the windows, and a batch ends ``SLACK`` ids a window short of full.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from inkveil.llm.token_counts import VOCABULARY, vocabulary_path
 CAPACITY = 2048
 END = 1
 WINDOWS = 128
-PIECE = 512
+PIECE = 1024
+FINE, SMALLEST = 4, 8
+SLACK = 4
 SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -78,6 +82,18 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def pieces(rest: int, largest: int, fine: bool) -> list[int]:
+    """Lengths that ``rest`` ids are cut into: equal ones, or each half of what is left."""
+    if not fine:
+        n = -(-rest // largest)
+        return [rest // n + (k < rest % n) for k in range(n)]
+    out = []
+    while rest > SMALLEST:
+        out.append(min(largest, -(-rest // 2)))
+        rest -= out[-1]
+    return out + [rest] * (rest > 0)
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str = VOCABULARY,
@@ -101,7 +117,7 @@ def pack(
         stop = np.array([end], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []  # doc_id, start, doc_tokens, ids
-        held_tokens = 0
+        held_tokens = documents = 0
         out: list[tuple] = []
 
         def close() -> None:
@@ -128,13 +144,16 @@ def pack(
                 for start in range(0, whole, capacity):
                     out.append((doc, start, capacity, total, sequence, 0, ids[4 * start : 4 * (start + capacity)]))
                     sequence += 1
-                if rest := total - whole:
-                    # Pieces of one document differ by one id at most.
-                    cuts = np.linspace(whole, total, -(-rest // piece) + 1).astype(int).tolist()
-                    if held_tokens + rest > WINDOWS * capacity:
+                start = whole
+                while start < total:
+                    room = WINDOWS * max(1, capacity - SLACK) - held_tokens
+                    for n in pieces(min(total - start, room), piece, documents % FINE == 0):
+                        held.append((doc, start, total, ids[4 * start : 4 * (start + n)]))
+                        held_tokens += n
+                        start += n
+                    if held_tokens == WINDOWS * max(1, capacity - SLACK):
                         close()
-                    held += [(doc, a, total, ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                    held_tokens += rest
+                documents += 1
             if out:
                 yield flush()
         close()
