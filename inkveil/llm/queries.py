@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import apply_settings
+from inkveil.llm.ngram_join import ngram_components
 from inkveil.llm.packing import pack
 from inkveil.llm.token_counts import token_counts
 
@@ -44,3 +45,8 @@ def op6_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query()
+def op10_ngram_join(spark, sf_dir):
+    return ngram_components(table(spark, sf_dir, "documents"))
