@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import apply_settings
+from inkveil.llm.decontaminate import contamination
+from inkveil.llm.license_scan import license_scan
 from inkveil.llm.ngram_join import ngram_components
 from inkveil.llm.packing import pack
+from inkveil.llm.pii import BASE_KINDS, as_text, pii_spans
+from inkveil.llm.quality import quality_scores
 from inkveil.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +54,33 @@ def op6_packing(spark, sf_dir):
 @query()
 def op10_ngram_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).withColumn("expressions", F.array_join("expressions", ";"))
+
+
+@query()
+def op9_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_pii(spark, sf_dir):
+    spans = F.col("spans")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return pii_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *map(count, BASE_KINDS),
+        F.sha2(as_text(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
+        as_text(spans).alias("spans"),
+    )
+
+
+@query()
+def op8_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
