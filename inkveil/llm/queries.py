@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import apply_settings
 from inkveil.llm.decontaminate import contamination
+from inkveil.llm.embedding_dedup import embedding_components
 from inkveil.llm.license_scan import license_scan
 from inkveil.llm.ngram_join import ngram_components
 from inkveil.llm.packing import pack
@@ -84,3 +85,24 @@ def op4_pii(spark, sf_dir):
 @query()
 def op8_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+VALID_VECTORS = """
+    valid AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) > 0)"""
+
+
+@query(f"""
+WITH RECURSIVE {VALID_VECTORS},
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label
+              WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+       vec_id <= coalesce(low.b, vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN low ON e.vec_id = low.a""")
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_components(table(spark, sf_dir, "embeddings"))
