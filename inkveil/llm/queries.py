@@ -16,6 +16,7 @@ from inkveil.llm.packing import pack
 from inkveil.llm.pii import BASE_KINDS, as_text, pii_spans
 from inkveil.llm.quality import quality_scores
 from inkveil.llm.token_counts import token_counts
+from inkveil.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,59 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low.b, ve
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN low ON e.vec_id = low.a""")
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+@query(r"""
+WITH p AS (
+    SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS mark FROM pages),
+h AS (
+    SELECT page_id, url, mark,
+           CASE WHEN mark > 0 THEN translate(regexp_extract(substr(url, mark + 3), '^[^/?#]*'),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+           CASE WHEN mark > 0 THEN regexp_extract(regexp_replace(substr(url, mark + 3), '^[^/?#]*', ''), '^[^?#]*')
+                ELSE '' END AS path
+    FROM p),
+listed AS (SELECT * FROM (VALUES ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'),
+    ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'),
+    ('net', '/fr/', 'net/fr/', 'block')) t(name, prefix, rule, verdict)),
+fits AS (
+    SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+    FROM (SELECT DISTINCT page_id, host, path FROM h) h JOIN listed l
+      ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix)
+    GROUP BY page_id),
+t AS (
+    SELECT page_id, token FROM (
+        SELECT page_id, 'scheme:' || split_part(url, '://', 1) AS token FROM h WHERE mark > 0
+        UNION SELECT page_id, 'host:' || unnest(list_filter(string_split(host, '.'), lambda x: x <> '')) FROM h
+        UNION SELECT page_id, 'path:' || unnest(list_filter(
+            string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> '')) FROM h
+        UNION SELECT page_id, 'query:' || unnest(list_filter(list_transform(
+            string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1)),
+            lambda x: x <> '')) FROM h)),
+known AS (SELECT t.page_id, token, verdict FROM t JOIN fits USING (page_id)),
+least AS (SELECT ceil(0.01::DOUBLE * count(DISTINCT page_id)) AS n FROM known),
+sets AS (
+    SELECT page_id, verdict, [token] AS tokens FROM known
+    UNION ALL SELECT a.page_id, a.verdict, [a.token, b.token] FROM known a
+        JOIN known b ON a.page_id = b.page_id AND a.token < b.token
+    UNION ALL SELECT a.page_id, a.verdict, [a.token, b.token, c.token] FROM known a
+        JOIN known b ON a.page_id = b.page_id AND a.token < b.token
+        JOIN known c ON a.page_id = c.page_id AND b.token < c.token),
+counts AS (SELECT tokens, verdict, count(*) AS n FROM sets GROUP BY ALL),
+rules AS (
+    SELECT tokens, verdict, n, n / sum(n) OVER (PARTITION BY tokens) AS confidence FROM counts),
+strong AS (SELECT * FROM rules WHERE n >= (SELECT n FROM least) AND confidence >= 0.8),
+kept AS (
+    SELECT * FROM strong r WHERE NOT EXISTS (
+        SELECT 1 FROM strong s WHERE s.verdict = r.verdict AND len(s.tokens) < len(r.tokens)
+           AND list_has_all(r.tokens, s.tokens) AND s.confidence >= r.confidence)),
+open AS (SELECT page_id, list(token) AS tokens FROM t WHERE page_id NOT IN (SELECT page_id FROM fits) GROUP BY page_id),
+best AS (
+    SELECT page_id, r.verdict, array_to_string(r.tokens, ' ') AS mined_rule,
+           row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, n DESC, len(r.tokens),
+                              array_to_string(r.tokens, ' '), r.verdict) AS k
+    FROM open JOIN kept r ON list_has_all(open.tokens, r.tokens))
+SELECT h.page_id, host, path, rule, coalesce(fits.verdict, best.verdict, 'allow') AS verdict, mined_rule
+FROM h LEFT JOIN fits ON h.page_id = fits.page_id LEFT JOIN best ON h.page_id = best.page_id AND k = 1""")
+def op1_url_filter(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
