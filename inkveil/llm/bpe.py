@@ -34,6 +34,8 @@ class Merger:
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         self.special = {a["content"]: a["id"] for a in model["added_tokens"]}
         self.of_byte = np.array([vocab[c] for c in byte_characters()], np.int32)
+        space = byte_characters()[32]
+        self.space_first = np.array([i for t, i in vocab.items() if t.startswith(space)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)

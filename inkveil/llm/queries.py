@@ -11,6 +11,7 @@ from inkveil.llm.common import apply_settings
 from inkveil.llm.decontaminate import contamination
 from inkveil.llm.embedding_dedup import embedding_components
 from inkveil.llm.license_scan import license_scan
+from inkveil.llm.lm_scoring import lm_scores
 from inkveil.llm.ngram_join import ngram_components
 from inkveil.llm.packing import pack
 from inkveil.llm.pii import BASE_KINDS, as_text, pii_spans
@@ -163,3 +164,8 @@ SELECT h.page_id, host, path, rule, coalesce(fits.verdict, best.verdict, 'allow'
 FROM h LEFT JOIN fits ON h.page_id = fits.page_id LEFT JOIN best ON h.page_id = best.page_id AND k = 1""")
 def op1_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
