@@ -100,3 +100,34 @@ def mix(h: np.ndarray) -> np.ndarray:
 def crc_mod(id_column, modulus: int):
     """``crc32(id as text) mod modulus``, the fold of a row."""
     return F.crc32(id_column.cast("string").cast("binary")) % modulus
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Integers in as few bytes each as they need, the size first."""
+    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + a.astype(f"<u{kind.itemsize}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def map_texts(docs: DataFrame, text_col: str, change) -> DataFrame:
+    """Rows of ``docs`` with all their columns, after ``change(texts) -> (keep, texts)``.
+
+    ``texts`` are strings, null ones empty; ``keep`` says per row whether it stays (null:
+    all do), the new texts replace the old ones (null: they stay as they are).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            kind = batch.schema.field(at).type
+            keep, texts = change([t or "" for t in batch.column(at).to_pylist()])
+            if texts is not None:
+                null = batch.column(at).is_null().to_pylist()
+                new = pa.array([None if n else t for n, t in zip(null, texts, strict=True)], kind)
+                batch = batch.set_column(at, batch.schema.field(at), new)
+            yield batch if keep is None else batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,9 +1,9 @@
 """Documents of similar word shingles, by a parity-sketch join.
 
-1. *Sketch.* A document's distinct shingles are hashed to the bits of ``K`` words of 64
-   bits; each bit is the parity of the shingles on it. A shingle in one set only changes
-   one bit, so two sketches differ in at most ``|A xor B|`` bits, and so do their words.
-   A similarity of ``t`` allows ``|A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)``: any
+1. *Sketch.* A document's distinct shingles are hashed to ``K`` words; a word is the XOR of
+   the 64-bit hashes of its shingles, so each bit is a parity. A shingle in one set only
+   changes one word, so the number of words in which two sketches differ (their Hamming
+   distance by words) is at most ``|A xor B|``. A similarity of ``t`` allows ``|A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)``: any
    two similar documents have all words but ``d`` in common (pigeonhole). ``K`` is fixed
    per size band (sizes ``2**b .. 2**(b+1) - 1``); a document that may have a partner in
    the band below is sketched for that band too.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batch_of, id_and_text, mix, saved, text_batches
+from inkveil.llm.common import batch_of, id_and_text, mix, packed, saved, text_batches, unpacked
 from inkveil.llm.components import components, local_components
 from inkveil.llm.words import shingle_sets, words_of
 
@@ -40,9 +40,7 @@ BUCKET_BYTES = 32 << 20
 PART_SETS, PART_SHINGLES = 4096, 1 << 20
 
 U8, I8 = np.uint64, np.int64
-HEAD = np.dtype([("set", "<u8"), ("spare", "<u4")])
-ITEM = np.dtype([("key", "<u4"), ("head", "<u4")])
-COUNTED = np.dtype([("key", "<u4"), ("size", "<u4")])
+FILTER_BITS = 1 << 26  # of a filter of fixed size, 8 MB
 ROWS = pa.schema([("bucket", pa.int32()), ("heads", pa.binary()), ("items", pa.binary()), ("docs", pa.binary())])
 ROWS_DDL = "bucket int, heads binary, items binary, docs binary"
 DOC = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("set", "<u8"), ("n", "<i8")])
@@ -84,15 +82,15 @@ def elements(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int):
     x = mix(h[at])
     offset = np.concatenate(([0], np.cumsum(words)))
     word = ((x >> U8(32)) * words[em].astype(U8) >> U8(32)).astype(I8) + offset[em]
-    bits = np.sort(word.astype(U8) << U8(6) | (x & U8(63)))
-    word = (bits >> U8(6)).astype(I8)
+    order = np.argsort(word)
+    word = word[order]
     starts = np.flatnonzero(np.diff(word, prepend=-1))
     value = np.zeros(offset[-1], U8)
     if len(starts):
-        value[word[starts]] = np.bitwise_xor.reduceat(U8(1) << (bits & U8(63)), starts)
+        value[word[starts]] = np.bitwise_xor.reduceat(mix(x[order]), starts)
     em = np.repeat(np.arange(len(of)), words)
     filled = np.bincount(em[value != 0], minlength=len(of))
-    # Words without a set bit are alike everywhere; they count only where the others do not suffice.
+    # Words without a shingle are alike everywhere; they count only where the others do not suffice.
     scarce = filled < most + 1
     used = (value != 0) | scarce[em]
     spare = np.where(scarce, 0, filled - most - 1)
@@ -101,6 +99,18 @@ def elements(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int):
     return em[used], key, of, lower, spare
 
 
+def sections(*parts) -> bytes:
+    """Arrays or bytes in one value, their lengths first."""
+    parts = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def sections_of(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum([0, *np.frombuffer(data, "<u4", n, 4).tolist()])
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def sketch(n_buckets: int, percent: int, width: int):
     """Rows of elements by bucket, and rows of documents."""
 
@@ -128,25 +138,13 @@ def sketch(n_buckets: int, percent: int, width: int):
                 if not len(some):
                     continue
                 mine, head = np.unique(em[some], return_inverse=True)
-                heads, items = np.zeros(len(mine), HEAD), np.zeros(len(some), ITEM)
-                heads["set"] = sets[of[mine]] | lower[mine].astype(U8)
-                heads["spare"] = spare[mine]
-                items["key"], items["head"] = (key[some] & U8(0xFFFFFFFF)), head
-                rows.append((k, heads.tobytes(), items.tobytes(), None))
+                heads = sections(sets[of[mine]] | lower[mine].astype(U8), packed(spare[mine]))
+                rows.append((k, heads, sections((key[some] & U8(0xFFFFFFFF)).astype("<u4"), packed(head)), None))
             yield batch_of(ROWS, *map(list, zip(*rows, strict=True)))
 
     return run
 
 
-def unpacked(t: pa.Table, item: np.dtype):
-    """``(items, heads)`` of all rows of a bucket."""
-    items, heads = [], []
-    for a, b in zip(t["heads"].to_pylist(), t["items"].to_pylist(), strict=True):
-        items.append(np.frombuffer(b, item))
-        heads.append(np.frombuffer(a, HEAD))
-    return items, heads
-
-
 def counted(n_buckets: int):
     """For each element of at least two sets: how many sets have it; rows by set."""
 
@@ -154,41 +152,41 @@ def counted(n_buckets: int):
         bucket = t["bucket"][0].as_py()
         if bucket < 0:
             return t
-        items, heads = unpacked(t, ITEM)
-        base = np.concatenate(([0], np.cumsum([len(h) for h in heads])))
-        key = np.concatenate([i["key"] for i in items])
-        head = np.concatenate([i["head"] + b for i, b in zip(items, base, strict=False)])
-        heads = np.concatenate(heads)
+        set_of, spare, keys, heads, base = [], [], [], [], 0
+        for a, b in zip(t["heads"].to_pylist(), t["items"].to_pylist(), strict=True):
+            ids, spared = sections_of(a)
+            own, head = sections_of(b)
+            set_of.append(np.frombuffer(ids, "<u8"))
+            spare.append(unpacked(spared))
+            keys.append(np.frombuffer(own, "<u4"))
+            heads.append(unpacked(head) + base)
+            base += len(set_of[-1])
+        set_of, spare, key, head = map(np.concatenate, (set_of, spare, keys, heads))
         order = np.argsort(key)
         key, head = key[order], head[order]
         same = key[1:] == key[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
         key, head = key[shared], head[shared]
         # Equal sets of several batches count once.
-        order = np.lexsort((heads["set"][head], key))
+        order = np.lexsort((set_of[head], key))
         key, head = key[order], head[order]
-        sets = heads["set"][head]
+        sets = set_of[head]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])
         key, head = key[new], head[new]
         starts = np.flatnonzero(np.diff(key.astype(I8), prepend=-1))
         size = np.repeat(np.diff(starts, append=len(key)), np.diff(starts, append=len(key)))
         key, head, size = key[size > 1], head[size > 1], size[size > 1]
-        to = (mix(heads["set"][head]) >> U8(20)) % U8(n_buckets)
-        order = np.argsort(to, kind="stable")
+        to = (mix(set_of[head]) >> U8(20)) % U8(n_buckets)
+        order = np.lexsort((set_of[head], to))
         ends = np.searchsorted(to[order], np.arange(n_buckets + 1))
         rows = []
         for k in range(n_buckets):
             some = order[ends[k] : ends[k + 1]]
             if len(some):
-                some = some[np.argsort(heads["set"][head[some]], kind="stable")]
-                mine, first, count = np.unique(heads["set"][head[some]], return_index=True, return_counts=True)
-                out = heads[head[some[first]]]
-                items = np.zeros(len(some), COUNTED)
-                items["key"], items["size"] = key[some], size[some]
-                # The row says which bucket its keys are of, and how many each set has.
-                tail = np.concatenate(([bucket], count)).astype("<u4").tobytes()
-                rows.append((k, out.tobytes() + tail, items.tobytes(), None))
+                mine, first, count = np.unique(set_of[head[some]], return_index=True, return_counts=True)
+                row = sections(mine, packed(spare[head[some[first]]]), packed(count), packed(np.array([bucket])))
+                rows.append((k, row, sections(key[some], packed(size[some])), None))
         return pa.Table.from_batches([batch_of(ROWS, *map(list, zip(*rows, strict=True)))] if rows else [], ROWS)
 
     return run
@@ -198,28 +196,28 @@ def kept(t: pa.Table) -> pa.Table:
     """The elements that stay of each set when its most common ones are spared; rows by the keys' bucket."""
     sets, spare, keys, sizes, buckets = [], [], [], [], []
     for a, b in zip(t["heads"].to_pylist(), t["items"].to_pylist(), strict=True):
-        n = (len(a) - 4) // (HEAD.itemsize + 4)
-        heads = np.frombuffer(a[: n * HEAD.itemsize], HEAD)
-        tail = np.frombuffer(a[n * HEAD.itemsize :], "<u4")
-        items = np.frombuffer(b, COUNTED)
-        sets.append(np.repeat(heads["set"], tail[1:]))
-        spare.append(np.repeat(heads["spare"], tail[1:]))
-        buckets.append(np.full(len(items), tail[0], np.int32))
-        keys.append(items["key"])
-        sizes.append(items["size"])
+        ids, spared, count, bucket = sections_of(a)
+        count = unpacked(count)
+        own, size = sections_of(b)
+        keys.append(np.frombuffer(own, "<u4"))
+        sizes.append(unpacked(size))
+        sets.append(np.repeat(np.frombuffer(ids, "<u8"), count))
+        spare.append(np.repeat(unpacked(spared), count))
+        buckets.append(np.full(len(keys[-1]), unpacked(bucket)[0], np.int32))
     sets, spare, keys, sizes, buckets = map(np.concatenate, (sets, spare, keys, sizes, buckets))
     order = np.lexsort((keys, sizes, sets))
     sets, spare, keys, buckets = sets[order], spare[order], keys[order], buckets[order]
     starts = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1])))
     count = np.diff(starts, append=len(sets))
     rank = np.arange(len(sets)) - np.repeat(starts, count)
-    stays = rank < np.repeat(count, count) - spare.astype(I8)
+    stays = rank < np.repeat(count, count) - spare
     sets, keys, buckets = sets[stays], keys[stays], buckets[stays]
     order = np.argsort(buckets, kind="stable")
     rows = []
     for k in np.unique(buckets).tolist():
         some = order[slice(*np.searchsorted(buckets[order], [k, k + 1]))]
-        rows.append((k, sets[some].astype("<u8").tobytes(), keys[some].astype("<u4").tobytes(), None))
+        mine, head = np.unique(sets[some], return_inverse=True)
+        rows.append((k, mine.tobytes(), sections(keys[some], packed(head)), None))
     return pa.Table.from_batches([batch_of(ROWS, *map(list, zip(*rows, strict=True)))] if rows else [], ROWS)
 
 
@@ -228,8 +226,12 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def linked(t: pa.Table) -> pa.Table:
     """Sets that share a kept element, as stars of this bucket's components."""
-    sets = np.concatenate([np.frombuffer(x, "<u8") for x in t["heads"].to_pylist()]) & U8(0xFFFFFFFFFFFFFFFE)
-    keys = np.concatenate([np.frombuffer(x, "<u4") for x in t["items"].to_pylist()])
+    sets, keys = [], []
+    for a, b in zip(t["heads"].to_pylist(), t["items"].to_pylist(), strict=True):
+        own, head = sections_of(b)
+        keys.append(np.frombuffer(own, "<u4"))
+        sets.append(np.frombuffer(a, "<u8")[unpacked(head)] & U8(0xFFFFFFFFFFFFFFFE))
+    sets, keys = np.concatenate(sets), np.concatenate(keys)
     sets = sets.view(I8)
     order = np.argsort(keys, kind="stable")
     keys, sets = keys[order], sets[order]
@@ -238,24 +240,40 @@ def linked(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nodes, pa.int64()), "b": pa.array(roots, pa.int64())}, EDGES)
 
 
-MEMBER = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("set", pa.int64()), ("shingles", pa.binary())])
+MEMBER = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
+
+
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """Bits set for the ids of a table. Its size is fixed: with very many ids more bits are set and more
+    documents pass, to be sorted out by a join; none is missed."""
+    words = (
+        ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS)).alias("place"))
+        .select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(FILTER_BITS // 64, I8)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits
 
 
-def block_sets(width: int):
-    """Shingles of the documents that stand for the sets of blocks."""
+def block_sets(width: int, wanted):
+    """Shingles of the documents whose ids pass the filter (third column: the id's place in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+        bits = wanted.value
+
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column(2).to_numpy()
+                yield batch.filter(pa.array((bits[place >> 6] >> (place & 63) & 1).astype(bool)))
+
+        for _, texts in text_batches(passing()):
             doc, h = shingle_sets(words_of(texts), width)
-            # A doc_id may stand at several texts; only the one meant counts.
-            meant = set_ids(doc, h, len(texts)).view(I8) == batch.column("set").to_numpy()
+            sets = set_ids(doc, h, len(texts)).view(I8)
             ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-            shingles = [h[a:b].astype("<u8").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            whole = batch_of(MEMBER, batch.column("block"), batch.column("part"), batch.column("set"), shingles)
-            yield whole.filter(pa.array(meant))
+            yield batch_of(MEMBER, sets, [h[a:b].astype("<u8").tobytes() for a, b in zip(ends, ends[1:], strict=False)])
 
     return run
 
@@ -312,6 +330,8 @@ def verified(percent: int):
         starts = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (p[1:] != p[:-1]))))
         nodes, roots = [], []
         for some in np.split(order, starts[1:]):
+            # A set may come from several documents.
+            some = some[np.concatenate(([True], ids[some][1:] != ids[some][:-1]))]
             if len(some) > 1:
                 root = search([np.frombuffer(shingles[i], "<u8") for i in some.tolist()], percent)
                 nodes.append(ids[some])
@@ -380,12 +400,11 @@ def ngram_components(
         F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
         lambda k: F.least(k, F.col("chunk")) * F.col("parts") + F.greatest(k, F.col("chunk")),
     )
-    texts = rows.join(members.hint("shuffle_hash"), "doc_id")
-    sets = (
-        texts.select(F.explode(pairs).alias("part"), "block", "set", "text")
-        .select("block", "part", "set", "text")
-        .mapInArrow(block_sets(width), "block long, part long, set long, shingles binary")
-    )
+    wanted = spark.sparkContext.broadcast(filter_of(members.select("doc_id")))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    sets = rows.where("doc_id is not null").select("doc_id", "text", place.alias("place"))
+    sets = sets.mapInArrow(block_sets(width, wanted), "set long, shingles binary")
+    sets = sets.join(members, "set").select(F.explode(pairs).alias("part"), "block", "set", "shingles")
     found = (
         sets.withColumn("bucket", F.pmod(F.xxhash64("block", "part"), F.lit(n_buckets)))
         .groupBy("bucket")
