@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batch_of, id_and_text, saved, text_batches
+from inkveil.llm.common import batch_of, id_and_text, map_texts, saved, text_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "national_id", "secret")
@@ -282,6 +282,22 @@ def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(FOUND, ids, *([list(r[k]) for r in rows] for k in range(5)))
 
 
+def proposed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return saved(id_and_text(docs, id_col, text_col).mapInArrow(propose, FOUND_DDL), "pii")
+
+
+def accepted_patterns(found: DataFrame, threshold: float = THRESHOLD) -> list[int]:
+    """Patterns that the classifier, fitted on all candidates, gives at least ``threshold``."""
+    counts = found.select(F.explode("pattern").alias("pattern")).groupBy("pattern").count().collect()
+    counts.sort(key=lambda r: r["pattern"])
+    if not counts:
+        return []
+    p = np.array([r["pattern"] for r in counts], np.int64)
+    weights = train(p, np.array([r["count"] for r in counts], float))
+    chance = 1 / (1 + np.exp(-(features(p) @ weights)))
+    return p[chance >= threshold].tolist()
+
+
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, spans)``, one row per input row: ``spans`` is an array of ``(kind, start, stop, base)``
     ordered by kind as in :data:`KINDS`, then start; offsets in code points, stop exclusive.
@@ -291,37 +307,51 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
     spans; null ids stay null, repeated rows come out as often as they come in, other
     columns are ignored. The classifier is fitted on all candidates of the input.
     """
-    found = saved(id_and_text(docs, id_col, text_col).mapInArrow(propose, FOUND_DDL), "pii")
-    counts = found.select(F.explode("pattern").alias("pattern")).groupBy("pattern").count().collect()
-    counts.sort(key=lambda r: r["pattern"])
-    p = np.array([r["pattern"] for r in counts], np.int64)
-    weights = train(p, np.array([r["count"] for r in counts], float))
-    chance = 1 / (1 + np.exp(-(features(p) @ weights))) if len(p) else []
-    accepted = [int(x) for x, c in zip(p, chance, strict=True) if c >= threshold]
+    found = proposed(docs, id_col, text_col)
+    accepted = accepted_patterns(found, threshold)
     names = F.array(*map(F.lit, KINDS))
-    spans = F.filter(
+    stays = F.filter(
+        F.arrays_zip("kind", "start", "stop", "base", "pattern"),
+        lambda s: s["base"] | (s["pattern"].isin(accepted) if accepted else F.lit(False)),
+    )
+    ordered = F.array_sort(F.transform(stays, lambda s: F.struct(s["kind"], s["start"], s["stop"], s["base"])))
+    return found.select(
+        "doc_id",
         F.transform(
-            F.arrays_zip("kind", "start", "stop", "base", "pattern"),
+            ordered,
             lambda s: F.struct(
-                s["kind"].alias("rank"),
                 F.get(names, s["kind"].cast("int")).alias("kind"),
                 s["start"].alias("start"),
                 s["stop"].alias("stop"),
                 s["base"].alias("base"),
-                (s["base"] | (s["pattern"].isin(accepted) if accepted else F.lit(False))).alias("stays"),
             ),
-        ),
-        lambda s: s["stays"],
-    )
-    ordered = F.array_sort(
-        F.transform(spans, lambda s: F.struct(s["rank"], s["start"], s["stop"], s["kind"], s["base"]))
-    )
-    return found.select(
-        "doc_id",
-        F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base"))).alias("spans"),
+        ).alias("spans"),
     )
 
 
+def masked(text: str, accepted: frozenset[int]) -> str:
+    """A text with every span that stays replaced by its kind in brackets; spans that overlap become one."""
+    out, last = [], 0
+    for kind, a, b, pattern_, base in sorted(candidates(text), key=lambda c: (c[1], -c[2])):
+        if not base and pattern_ not in accepted:
+            continue
+        if a >= last:
+            out += [text[last:a], f"[{KINDS[kind].upper()}]"]
+        last = max(last, b)
+    return "".join(out) + text[last:]
+
+
+def mask_pii(
+    docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """All rows and columns of ``docs``, personal data in the text masked; null texts stay null.
+
+    Spans as in :func:`pii_spans`; each row is masked where it is, texts are not shuffled.
+    """
+    accepted = frozenset(accepted_patterns(proposed(docs, id_col, text_col), threshold))
+    return map_texts(docs, text_col, lambda texts: (None, [masked(t, accepted) for t in texts]))
+
+
 def as_text(spans):
     """Spans as ``kind:start:end``, comma-joined."""
     return F.array_join(

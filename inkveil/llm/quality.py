@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import BATCH_BYTES, batch_of, crc_mod, id_and_text, saved, text_batches
+from inkveil.llm.common import BATCH_BYTES, batch_of, crc_mod, id_and_text, map_texts, saved, text_batches
 from inkveil.llm.words import shingles, words_of
 
 THRESHOLD = 0.7
@@ -181,6 +181,11 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, r
 ROW = pa.schema([("doc_id", pa.int64()), ("statistics", pa.list_(pa.float64()))])
 
 
+def cut_batches(texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+    whole = pa.record_batch([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    return text_batches(iter([whole]))
+
+
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_batches(batches, BATCH_BYTES):
         x = statistics(texts)
@@ -200,6 +205,28 @@ def score_rows(forest: Trees):
     return run
 
 
+def fit(
+    found: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality"
+) -> Trees:
+    """Trees from measured documents and their labels, on at most ``sample`` rows of the training folds."""
+    label = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    chosen = (
+        found.join(label.where("doc_id is not null and y in (0, 1)"), "doc_id")
+        .where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "statistics")
+        .limit(sample)
+        .select("statistics", "y")
+        .toPandas()
+    )
+    x = np.array(chosen["statistics"].tolist()).reshape(len(chosen), len(STATISTICS))
+    return grow(x, chosen["y"].to_numpy(float))
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = id_and_text(docs, id_col, text_col)
+    return saved(rows.mapInArrow(measure, "doc_id long, statistics array<double>"), "quality")
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -219,21 +246,35 @@ def quality_scores(
     out as often as they come in; other columns are ignored. Without labels of both
     kinds every document gets the smoothed share of label 1.
     """
-    found = saved(id_and_text(docs, id_col, text_col).mapInArrow(measure, "doc_id long, statistics array<double>"), "quality")
-    label = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    chosen = (
-        found.join(label.where("doc_id is not null and y in (0, 1)"), "doc_id")
-        .where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "statistics")
-        .limit(sample)
-        .select("statistics", "y")
-        .toPandas()
-    )
-    x = np.array(chosen["statistics"].tolist()).reshape(len(chosen), len(STATISTICS))
-    forest = grow(x, chosen["y"].to_numpy(float))
+    found = measured(docs, id_col, text_col)
+    forest = fit(found, labels, sample, id_col, label_col)
     return found.mapInArrow(score_rows(forest), "doc_id long, score double").select(
         "doc_id",
         (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
         "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores at least ``threshold``.
+
+    Fitted as in :func:`quality_scores`. Every row is decided by its own text, where it
+    is: texts are not shuffled, repeated rows and null ids need no care.
+    """
+    forest = fit(measured(docs, id_col, text_col), labels, sample, id_col)
+
+    def good(texts: list[str]):
+        data, out = [t.encode() for t in texts], []
+        for _, some in cut_batches(data):
+            out.append(forest.probability(statistics(some)) >= threshold)
+        return np.concatenate(out) if out else np.zeros(0, bool), None
+
+    return map_texts(docs, text_col, good)

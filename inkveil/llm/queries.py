@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from inkveil.llm.common import apply_settings
 from inkveil.llm.decontaminate import contamination
 from inkveil.llm.embedding_dedup import embedding_components
@@ -42,6 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Words and distinct shingles of a text in SQL.
+WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+SHINGLES = """unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3),
+        lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)"""
+
+
 @query()
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
@@ -54,7 +62,18 @@ def op6_packing(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, {SHINGLES} AS sh FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh
+              WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+              WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN low ON d.doc_id = low.a""")
 def op10_ngram_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -64,7 +83,15 @@ def op5_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).withColumn("expressions", F.array_join("expressions", ";"))
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, {SHINGLES} AS sh FROM w),
+    v AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+    t AS (SELECT DISTINCT item_id, {SHINGLES} AS sh FROM v),
+    m AS (SELECT item_id, count(*) AS n_item FROM t GROUP BY item_id),
+    c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN t USING (sh) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM c JOIN m USING (item_id) WHERE 100 * n_shared >= 75 * n_item""")
 def op9_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -169,3 +196,8 @@ def op1_url_filter(spark, sf_dir):
 @query()
 def op7_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
