@@ -415,6 +415,8 @@ def ngram_components(
     least = in_comp.groupBy("root").agg(F.min("smallest").alias("component"))
     of_set = in_comp.join(least, "root").select("set", "component")
     of_set = smallest.join(of_set, "set", "left").select("set", F.coalesce("component", "smallest").alias("component"))
+    # Written, so that the join with documents is a plain one, in which a set of many copies can be split.
+    of_set = saved(of_set, "ngram-sets")
     return of_doc.join(of_set, "set", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
