@@ -23,6 +23,13 @@ def check_actions(actions: dict) -> None:
             raise ValueError(f"Invalid action '{a}' for {t}. Valid: {valid}")
 
 
+def check_salt(salt: str | Column, actions: dict | None = None) -> None:
+    """Refuse an empty salt where values may be invented: without one they could be found by trying."""
+    invents = actions is None or any(not isinstance(a, str) or a == "invent" for a in actions.values())
+    if invents and isinstance(salt, str) and not salt:
+        raise ValueError("A salt is needed to invent values")
+
+
 def action_columns(prefix: str = "action_") -> dict[str, Column]:
     """Actions read from one column per type, as :func:`with_rules` adds them."""
     return {t: F.col(prefix + t) for t in PII_TYPES}
@@ -42,6 +49,7 @@ def apply_actions(
     entities are numbered inside the row, the text is never shuffled.
     """
     check_actions(actions)
+    check_salt(salt, actions)
     fixed = isinstance(salt, str) and all(isinstance(a, str) for a in actions.values())
     applied = (applied_of if fixed else applied_of.__wrapped__)(pieces_col, tuple(actions.items()), salt, id_col)
     return df.withColumn("applied", applied).withColumn(out_col, R.replaced_text(F.col("applied")))
@@ -58,6 +66,7 @@ def sanitize_text(
     """The sanitized form of a text column, as one expression."""
     actions = DEFAULT_ACTIONS if actions is None else actions
     check_actions(actions)
+    check_salt(salt, actions)
     items = M.pieces(M.marked(text, active_types(actions)))
     doc_key = F.lit("") if doc_key is None else doc_key
     return R.replaced_text(R.applied_pieces(items, actions, salt, doc_key))

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 100_000
+RANGES = 256
 
 
 def number_rows(df: DataFrame, order_col: str, start: int, out_col: str) -> DataFrame:
     """Number rows ``start``, ``start + 1``, ... in the order of a unique long column.
 
-    Rows are numbered within value ranges of ``order_col``; only the row
-    counts per range go through one task. Unlike a numbering by partition this
-    gives the same numbers when a lost task is run again.
+    Rows are numbered within ranges of ``order_col`` that hold about as many
+    rows each, however sparse its values (one job finds the ranges); only the
+    row counts per range go through one task. Unlike a numbering by partition
+    this gives the same numbers when a lost task is run again. A number beyond
+    the int range is an error.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order_col) / BUCKET))
+    steps = [k / RANGES for k in range(1, RANGES)]
+    marks = df.agg(F.percentile_approx(F.col(order_col).cast("long"), steps, 100_000)).first()[0] or []
+    bounds = F.array(*[F.lit(m).cast("long") for m in sorted(set(marks))]).cast("array<long>")
+    bucketed = df.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < F.col(order_col))))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

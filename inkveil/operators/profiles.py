@@ -103,58 +103,83 @@ def save_profiles(profiles: DataFrame, rules: DataFrame, next_id: int, path: str
 
 
 def load_profiles(spark: SparkSession, path: str, now: dt.datetime) -> tuple[DataFrame, DataFrame, int]:
-    """Read a snapshot; the default store when there is none."""
-    try:
-        next_id = spark.read.parquet(f"{path}/next_id").first()[0]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return default_profile(spark, now)
-        raise
-    return spark.read.parquet(f"{path}/profiles"), spark.read.parquet(f"{path}/rules"), next_id
+    """Read a snapshot; the default store when there is none.
+
+    A snapshot of which a part is missing (the writing broke off) is an error,
+    and so are rules that are not legal.
+    """
+    parts, missing = {}, []
+    for name in ("profiles", "rules", "next_id"):
+        try:
+            parts[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            missing.append(name)
+    if len(missing) == 3:
+        return default_profile(spark, now)
+    if missing:
+        raise ValueError(f"Incomplete profile snapshot in {path}: no {', '.join(missing)}")
+    bad = validate_rules(parts["rules"]).first()
+    if bad is not None:
+        raise ValueError(f"Invalid action '{bad.action}' for {bad.pii_type} in the snapshot {path}")
+    return parts["profiles"], parts["rules"], parts["next_id"].first()[0]
 
 
 # -- lookup -----------------------------------------------------------------
 
 def profile_key(profile_id: Column, profile: Column, default: str = "default") -> Column:
-    """What a request asks for: the id if given (a numeric name is an id), else the name."""
-    by_id = F.coalesce(
-        profile_id.cast("long"), F.when(profile.rlike("\\A[0-9]{1,18}\\z"), profile.cast("long"))
-    )
+    """What a request asks for: the id if given, else the name."""
     name = F.coalesce(F.when(profile != "", profile), F.lit(default))
-    return F.when(by_id.isNotNull(), F.concat(F.lit("id:"), by_id.cast("string"))).otherwise(
+    return F.when(profile_id.isNotNull(), F.concat(F.lit("id:"), profile_id.cast("string"))).otherwise(
         F.concat(F.lit("name:"), F.lower(name))
     )
 
 
-# Profile tables up to this many rows are broadcast: a row is an id, a name and
-# at most 8 short actions, so this stays near 100 MB. The size is checked.
-BROADCAST_PROFILES = 500_000
+def profile_keys(profiles: DataFrame) -> DataFrame:
+    """The profiles with every ``_key`` they answer to.
+
+    A profile is asked for by its id, by its name in any case, and by its id
+    written as a name unless another profile has that name.
+    """
+    named = F.concat(F.lit("name:"), F.lower("name"))
+    number = F.concat(F.lit("name:"), F.col("profile_id").cast("string"))
+    taken = profiles.where(F.col("name").rlike("\\A[0-9]+\\z")).select(named.alias("_key"))
+    by_name = profiles.select("*", F.explode(F.array(
+        F.concat(F.lit("id:"), F.col("profile_id").cast("string")), named
+    )).alias("_key"))
+    by_number = profiles.withColumn("_key", number).join(taken, "_key", "left_anti")
+    return by_name.unionByName(by_number)
+
+
+# Tables whose files hold up to so many bytes, by Spark's own estimate, are
+# broadcast: three keys and eight short actions a profile make a few times that.
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_PROFILES) -> DataFrame:
-    """Hint a broadcast when the table is known to be small; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(*tables: DataFrame) -> bool:
+    """Whether the sources that tables are read from are known to be small; runs no job."""
+    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
+    return sum(sizes) <= BROADCAST_BYTES
 
 
-def resolve_profile(requests: DataFrame, profiles: DataFrame, default: str = "default") -> DataFrame:
+def resolve_profile(
+    requests: DataFrame, profiles: DataFrame, default: str = "default", small: bool | None = None
+) -> DataFrame:
     """Add ``resolved_id``, ``resolved_name`` and ``error`` to each request.
 
     Requests have ``profile_id`` and ``profile`` (either may be null). Further
     columns of ``profiles`` come along. One equi-join on a common key, with
-    the profiles broadcast when few enough, so that documents are not
-    shuffled; beyond that AQE splits a profile that many requests name.
+    the profiles broadcast when their files are small (``small`` says so for
+    derived tables), so that documents are not shuffled; beyond that AQE
+    splits a profile that many requests name.
     """
     more = [c for c in profiles.columns if c not in ("profile_id", "name", "created_at", "modified_at")]
-    small = broadcast_if_small(profiles.select("profile_id", "name", *more))
-    known = small.select(
-        F.col("profile_id").alias("resolved_id"),
-        F.col("name").alias("resolved_name"),
-        *more,
-        F.explode(F.array(
-            F.concat(F.lit("id:"), F.col("profile_id").cast("string")),
-            F.concat(F.lit("name:"), F.lower("name")),
-        )).alias("_key"),
+    known = profile_keys(profiles.select("profile_id", "name", *more)).select(
+        F.col("profile_id").alias("resolved_id"), F.col("name").alias("resolved_name"), *more, "_key"
     )
+    if is_small(profiles) if small is None else small:
+        known = F.broadcast(known)
     asked = requests.withColumn("_key", profile_key(F.col("profile_id"), F.col("profile"), default))
     missing = F.concat(
         F.lit("Profile not found: "),
@@ -273,7 +298,8 @@ def update_rules(
     verdict = parsed.groupBy("profile_id").agg(F.count("error").alias("_bad"))
     good = parsed.join(verdict, "profile_id").where(F.col("_bad") == 0)
     last = good.groupBy("profile_id", "pii_type").agg(F.max_by("action", "ord").alias("_new"))
-    new_rules = rules.join(last, ["profile_id", "pii_type"], "left").select(
+    # Full: a change of a type that the profile has no rule for makes one.
+    new_rules = rules.join(last, ["profile_id", "pii_type"], "full_outer").select(
         "profile_id",
         "pii_type",
         F.coalesce("_new", "action").alias("action"),
@@ -353,12 +379,21 @@ def diff_rules(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_rules(df: DataFrame, rules: DataFrame, id_col: str = "profile_id", prefix: str = "action_") -> DataFrame:
-    """Add the action of every type to the rows of a profile or request table.
+    """Add the action of every type, and ``rule_error``, to the rows of a profile or request table.
 
+    A type without a rule has its default action, so that no text passes for
+    want of a rule; ``rule_error`` names a rule that is not legal, else null.
     Join it to the profiles, not to the documents: what documents are joined
     with is then one row per profile.
     """
-    wide = rules_wide(rules, ["profile_id"]).select(
-        F.col("profile_id").alias(id_col), *[F.col(t).alias(prefix + t) for t in PII_TYPES]
+    legal = F.coalesce(action_is_legal(F.col("pii_type"), F.col("action")), F.lit(False))
+    bad = F.concat(
+        F.lit("Invalid action '"), F.coalesce("action", F.lit("")), F.lit("' for "), F.coalesce("pii_type", F.lit(""))
+    )
+    wide = rules.groupBy("profile_id").agg(
+        *[F.min(F.when(F.col("pii_type") == t, F.col("action"))).alias(prefix + t) for t in PII_TYPES],
+        F.min(F.when(~legal, bad)).alias("rule_error"),
+    ).withColumnRenamed("profile_id", id_col)
+    return df.join(wide, id_col, "left").withColumns(
+        {prefix + t: F.coalesce(prefix + t, F.lit(DEFAULT_ACTIONS[t])) for t in PII_TYPES}
     )
-    return df.join(wide, id_col, "left")

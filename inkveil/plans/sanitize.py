@@ -9,9 +9,9 @@ from inkveil.functions import marks as M
 from inkveil.functions import replace as R
 from inkveil.functions.arrays import built_once
 from inkveil.model import PII_TYPES
-from inkveil.operators.actions import action_columns
+from inkveil.operators.actions import action_columns, check_salt
 from inkveil.operators.output import frontmatter, output_name
-from inkveil.operators.profiles import resolve_profile, with_rules
+from inkveil.operators.profiles import is_small, resolve_profile, with_rules
 
 RULES_MODEL = "spark-rules"
 
@@ -29,31 +29,34 @@ def sanitize(
     profiles: DataFrame,
     rules: DataFrame,
     now: Column,
-    salt: str = "",
-    model: str = RULES_MODEL,
+    salt: str,
 ) -> DataFrame:
     """Sanitize documents, each by the profile it asks for.
 
     ``documents`` follow the document schema, with optional ``profile_id`` and
     ``profile`` columns. Every input row comes out: those that could not be
-    read, or whose profile is unknown, with ``error`` and no content.
+    read, whose profile is unknown or has a rule that is not legal, with
+    ``error`` and no content. ``salt`` keeps invented values from being found
+    by trying; it may not be empty, as any profile may invent.
     """
+    check_salt(salt)
     df = documents
     for c, t in (("profile_id", "long"), ("profile", "string"), ("error", "string")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
     asked = df.withColumnRenamed("error", "_read_error")
     # Profiles and rules meet first, so the documents go through one join.
-    ruled = resolve_profile(asked, with_rules(profiles.select("profile_id", "name"), rules)).withColumn(
-        "error", F.coalesce("_read_error", "error")
+    known = with_rules(profiles.select("profile_id", "name"), rules)
+    ruled = resolve_profile(asked, known, small=is_small(profiles, rules)).withColumn(
+        "error", F.coalesce("_read_error", "error", "rule_error")
     )
-    head = frontmatter(F.col("source_type"), now, F.lit(model), F.col("resolved_name"))
+    head = frontmatter(F.col("source_type"), now, F.lit(RULES_MODEL), F.col("resolved_name"))
     return ruled.withColumn("applied", applied_by_columns(salt)).select(
         "doc_id",
         output_name(F.col("filename")).alias("output_name"),
         "source_type",
         now.alias("sanitization_timestamp"),
-        F.lit(model).alias("model_used"),
+        F.lit(RULES_MODEL).alias("model_used"),
         F.col("resolved_name").alias("profile_used"),
         F.when(F.col("applied").isNotNull(), F.concat(head, R.replaced_text(F.col("applied")))).alias("content"),
         "error",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkveil.model import FORMATS, MAX_BYTES
+from inkveil.model import FORMATS
 from inkveil.operators.actions import sanitize_text
 from inkveil.plans import inputs as I
 from inkveil.plans import sample_files as S
@@ -18,10 +18,23 @@ from inkveil.streaming.files import stream_files as run_stream
 SUPPORTED = "(VALUES " + ", ".join(f"('{e}', '{t}')" for e, t in FORMATS) + ") AS f(ext, source_type)"
 
 
-@query()
+FILE_LIMIT = 3000
+
+
+@query(
+    f"SELECT doc_id, strlen(text) + 1 AS length, CASE WHEN strlen(text) + 1 > {FILE_LIMIT} THEN 'TOO_LARGE' END AS error_code, "
+    f"CASE WHEN strlen(text) + 1 <= {FILE_LIMIT} THEN text || chr(10) END AS content FROM documents"
+)
 def read_files(spark, sf_dir):
-    """The table files themselves, as files."""
-    return intake.read_files(spark, sf_dir, MAX_BYTES).select("filename", "length")
+    """Each document a file; those over the limit come as rejects, unread."""
+    folder = new_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.write.partitionBy("doc_id").text(folder)
+    files = intake.check_intake(intake.read_files(spark, folder, FILE_LIMIT), FILE_LIMIT)
+    return files.select(
+        F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
+        "length", "error_code", F.col("content").cast("string").alias("content"),
+    )
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN text END AS text FROM documents")
@@ -266,6 +279,33 @@ def extract(spark, sf_dir):
     return router.extract(files).select("doc_id", "source_type", "content", "error_code")
 
 
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CASE doc_id % 2 WHEN 0 THEN 'docx' ELSE 'excel' END END AS kind, "
+    "CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 2 WHEN 0 THEN 'DOCX_READ' ELSE 'XLSX_READ' END END AS error_code, "
+    "doc_id % 3 <> 0 AS has_text FROM documents"
+)
+def extract_broken_files(spark, sf_dir):
+    """Word and Excel files, one in three with a part cut off: an error, never an empty document."""
+    word, cut = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    files = (
+        table(spark, sf_dir, "documents")
+        .withColumn("_a", S.docx_file(F.when(word & ~cut, F.col("text"))))
+        .withColumn("_b", S.broken_docx_file(F.when(word & cut, F.col("text"))))
+        .withColumn("_c", S.xlsx_file(F.when(~word & ~cut, F.col("text"))))
+        .withColumn("_d", S.broken_xlsx_file(F.when(~word & cut, F.col("text"))))
+        .select(
+            "doc_id", F.when(word, "f.docx").otherwise("f.xlsx").alias("filename"),
+            F.coalesce("_a", "_b", "_c", "_d").alias("content"),
+        )
+        .withColumn("length", F.length("content"))
+    )
+    return router.extract(files).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.when(F.col("error_code").isNull(), F.col("source_type")).alias("kind"),
+        "error_code", F.coalesce(F.length("content") > 0, F.lit(False)).alias("has_text"),
+    )
+
+
 # -- streams -----------------------------------------------------------------
 
 @query(f"SELECT {DEFAULT_DOCS} || chr(10) AS content, 'text' AS source_type FROM documents")

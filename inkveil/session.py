@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,8 +23,15 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share for intermediate tables, named by ``spark.checkpoint.dir``."""
+    """The folder all executors share for intermediate tables, named by ``spark.checkpoint.dir``.
+
+    On one machine without it (tests) a temporary folder is taken and the setting made.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set; it names the folder for intermediate tables")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it names the folder for intermediate tables")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -20,17 +20,23 @@ def extension(filename: Column) -> Column:
 def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Files under ``path`` as ``(path, filename, modificationTime, length, content)``.
 
-    With ``max_bytes`` the size test goes into the file scan, so larger files
-    are listed but never read. A missing path is an error. (Files of no bytes
-    are not listed by the source.)
+    With ``max_bytes`` the size test goes into the file scan: larger files are
+    never read and come as rows without content, which :func:`check_intake`
+    rejects. A missing path is an error. (Files of no bytes are not listed by
+    the source.)
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .withColumn("filename", file_name(F.col("path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return sized(files, max_bytes).withColumn("filename", file_name(F.col("path")))
+
+
+def sized(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    """Files up to ``max_bytes`` with their content, larger ones without: two scans, one of them of names only."""
+    if max_bytes is None:
+        return files
+    large = files.where(F.col("length") > max_bytes).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
     )
-    return files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    return files.where(F.col("length") <= max_bytes).unionByName(large)
 
 
 def from_base64(df: DataFrame, content_col: str = "payload", out_col: str = "content") -> DataFrame:

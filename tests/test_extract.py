@@ -71,13 +71,55 @@ def test_size_limit(spark):
     assert {r.filename: r.error_code for r in bad.collect()} == {"a.txt": "TOO_LARGE", "c.txt": "EMPTY", "": "NO_FILENAME"}
 
 
+def test_broken_parts_are_errors(spark):
+    """Truncated or foreign XML in a part that is needed must not become an empty document."""
+    good_doc = '<w:document xmlns:w="x"><w:body><w:p><w:r><w:t>text</w:t></w:r></w:p></w:body></w:document>'
+    book = '<workbook><sheets><sheet name="A" r:id="r1" xmlns:r="y"/></sheets></workbook>'
+    relations = '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>'
+    sheet = "<worksheet><sheetData><row><c><v>1</v></c></row><row><c><v>2</v></c></row></sheetData></worksheet>"
+
+    def packed(parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    def excel(**changed):
+        parts = {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": relations, "xl/worksheets/s.xml": sheet, "xl/media/p.png": "x" * 999}
+        return packed({k: changed.get(k.split("/")[-1].split(".")[0], v) for k, v in parts.items()})
+
+    files = {
+        "good.docx": packed({"word/document.xml": good_doc}),
+        "cut.docx": packed({"word/document.xml": good_doc[:-20]}),
+        "other.docx": packed({"word/document.xml": "<x/>"}),
+        "empty.docx": packed({"word/document.xml": ""}),
+        "style.docx": packed({"word/document.xml": good_doc, "word/styles.xml": "<w:styles><w:style"}),
+        "good.xlsx": excel(),
+        "book.xlsx": excel(workbook=book[:-9]),
+        "sheet.xlsx": excel(s=sheet[:40]),
+        "bom.csv": "\ufeffName,x\nZed Quux,1\n".encode(),
+    }
+    df = spark.createDataFrame([(n, n, len(b), b) for n, b in files.items()], "doc_id string, filename string, length long, content binary")
+    out = {r.filename: r for r in extract(df).collect()}
+    assert {n: r.error_code for n, r in out.items()} == {
+        "good.docx": None, "cut.docx": "DOCX_READ", "other.docx": "DOCX_READ", "empty.docx": "DOCX_READ", "style.docx": "DOCX_READ",
+        "good.xlsx": None, "book.xlsx": "XLSX_READ", "sheet.xlsx": "XLSX_READ", "bom.csv": None,
+    }
+    assert all((r.content is None) == (r.error_code is not None) for r in out.values())
+    assert out["good.docx"].content == "text"
+    assert out["bom.csv"].content.startswith("| Name | x |")
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.txt").write_bytes(b"abc")
     (tmp_path / "big.txt").write_bytes(b"x" * 100)
     assert {r.filename for r in intake.read_files(spark, str(tmp_path)).collect()} == {"a.txt", "big.txt"}
     small = intake.read_files(spark, str(tmp_path), max_bytes=50)
-    assert [r.filename for r in small.collect()] == ["a.txt"]
+    assert {r.filename: (r.length, r.content) for r in small.collect()} == {"a.txt": (3, b"abc"), "big.txt": (100, None)}
+    codes = {r.filename: r.error_code for r in intake.check_intake(small, 50).collect()}
+    assert codes == {"a.txt": None, "big.txt": "TOO_LARGE"}
     assert "LessThanOrEqual(length,50)" in small._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception):
         intake.read_files(spark, str(tmp_path / "none")).collect()

@@ -107,6 +107,65 @@ def test_create_copy_update_delete(spark, store):
     assert {r.error for r in out.collect()} == {None, "Cannot delete the default profile", "Profile not found: nobody"}
 
 
+def test_numeric_names(spark):
+    """A name in digits is found by name first; only without such a name it is an id."""
+    profiles = spark.createDataFrame(
+        [(1, "default", NOW, NOW), (2, "123", NOW, NOW), (3, "2", NOW, NOW), (123, "x", NOW, NOW)],
+        "profile_id int, name string, created_at timestamp, modified_at timestamp",
+    )
+    asked = [(0, None, "123"), (1, None, "2"), (2, None, "3"), (3, 2, None), (4, 123, None), (5, None, "77")]
+    got = P.resolve_profile(spark.createDataFrame(asked, "i int, profile_id long, profile string"), profiles).collect()
+    assert {r.i: r.resolved_id for r in got} == {0: 2, 1: 3, 2: 3, 3: 2, 4: 123, 5: None}
+    assert len(got) == len(asked)
+
+
+def test_change_of_an_absent_rule(spark, store):
+    profiles, rules, _ = store
+    changes = spark.createDataFrame([(1, 0, "email=delete")], "profile_id int, ord long, change string")
+    _, new_rules, done = P.update_rules(profiles, rules.where("pii_type <> 'email'"), changes, later())
+    assert done.first().applied
+    assert actions_of(new_rules, 1) == {**DEFAULT_ACTIONS, "email": "delete"}
+
+
+def test_missing_and_illegal_rules(spark):
+    profiles = spark.createDataFrame([(1, "none"), (2, "one"), (3, "bad")], "profile_id int, name string")
+    rules = spark.createDataFrame(
+        [(2, "email", "delete", None), (3, "email", "invent", None), (3, "phone", "delete", None)],
+        "profile_id int, pii_type string, action string, description string",
+    )
+    got = {r.profile_id: r for r in P.with_rules(profiles, rules).collect()}
+    assert {t: got[1][f"action_{t}"] for t in DEFAULT_ACTIONS} == DEFAULT_ACTIONS
+    assert got[2].action_email == "delete" and got[2].action_phone == DEFAULT_ACTIONS["phone"]
+    assert [got[k].rule_error for k in (1, 2, 3)] == [None, None, "Invalid action 'invent' for email"]
+
+
+def test_incomplete_snapshot(spark, store, tmp_path):
+    profiles, rules, next_id = store
+    for k, part in enumerate(("profiles", "rules", "next_id")):
+        path = tmp_path / f"v{k}"
+        P.save_profiles(profiles, rules, next_id, str(path))
+        (path / part).rename(path / "gone")
+        with pytest.raises(ValueError, match=part):
+            P.load_profiles(spark, str(path), NOW)
+
+
+def test_salt_is_needed(spark):
+    from inkveil.operators.actions import sanitize_documents
+
+    df = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    with pytest.raises(ValueError, match="salt"):
+        sanitize_documents(df, {"phone": "invent"})
+    sanitize_documents(df, {"phone": "delete"})
+
+
+def test_numbering_of_sparse_values(spark):
+    """Values far apart do not make a range each."""
+    rows = spark.range(20_000).select((F.col("id") * 1_000_003 * 977).alias("ord"))
+    out = number_rows(rows, "ord", 5, "n")
+    assert out.where("n <> ord / (1000003 * 977) + 5").count() == 0
+    assert out.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first() == (5, 20_004, 20_000)
+
+
 def test_persistence(spark, store, tmp_path):
     profiles, rules, next_id = store
     P.save_profiles(profiles, rules, next_id, str(tmp_path / "v1"))

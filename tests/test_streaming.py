@@ -57,7 +57,7 @@ def test_whole_way(spark):
         "doc_id string, filename string, source_type string, content string, profile string, error string",
     )
     now = F.lit("2024-01-02 03:04:05.5").cast("timestamp")
-    out = {r.doc_id: r for r in sanitize(docs, profiles, rules, now).collect()}
+    out = {r.doc_id: r for r in sanitize(docs, profiles, rules, now, "salt").collect()}
     assert out["1"].output_name == "a_sanitized.md"
     assert out["1"].content == (
         "---\nsource_type: text\nsanitization_timestamp: 2024-01-02T03:04:05.500000Z\nmodel_used: spark-rules\n"
