@@ -9,6 +9,7 @@ the text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns as P
-from inkveil.functions.arrays import contains_any, let, scan, words
+from inkveil.functions.arrays import contains_any, let, lookup, lookup_table, scan, words
 from inkveil.functions.patterns import CLOSE, OPEN, Rule
 from inkveil.model import SPAN_TYPE
 
@@ -93,64 +94,127 @@ def has_digits(text: Column) -> Column:
     return text.rlike("[0-9]")
 
 
-def mark_table_persons(text: Column) -> Column:
-    """Mark the cells of Markdown table columns headed name, contact and the like.
+def mark_table_columns(text: Column, types: Iterable[str]) -> Column:
+    """Mark the cells of Markdown table columns whose header says what they hold.
 
     Tables are taken block by block (blocks are parted by an empty line), as
-    each has its own header.
+    each has its own header. Cells with a mark already keep it.
     """
+    rules = [(r, h, need) for r, h, need in P.COLUMN_RULES if r.pii_type in types]
+    if not rules:
+        return text
     head = r"^(\n?\|[^\n]*\n\|[-|]+\|\n)"
     pipe = r"(?<!\\)\|"
-    open_, close = OPEN + P.TABLE_PERSON.code, CLOSE
+    any_header = "(?:" + "|".join(h for _, h, _ in rules) + ")"
 
     def in_block(block: Column) -> Column:
         header = F.regexp_extract(block, head, 1)
-        return let(header, lambda h: F.when(h == "", block).otherwise(let(name_columns(h), lambda at: F.when(
+        return let(header, lambda h: F.when(h == "", block).otherwise(let(columns(h), lambda at: F.when(
             F.size(at) == 0, block
         ).otherwise(F.concat(h, by_line(F.substring(block, F.length(h) + 1, F.length(block)), lambda x: in_row(x, at)))))))
 
-    def name_columns(header: Column) -> Column:
+    def columns(header: Column) -> Column:
+        """Number of each column and code of its rule, for columns that have one."""
         cells = F.split(F.regexp_extract(header, r"\A\n?(\|[^\n]*)\n", 1), pipe)
-        is_name = F.transform(cells, lambda c, j: F.when(c.rlike(rf"\A *{P.NAME_HEADER} *\z"), j))
-        return F.filter(is_name, lambda j: j.isNotNull())
+
+        def code(c: Column) -> Column:
+            out = None
+            for rule, h, _ in rules:
+                fits = c.rlike(rf"\A *(?:{h}) *\z")
+                out = F.when(fits, rule.code) if out is None else out.when(fits, rule.code)
+            return out
+
+        coded = F.transform(cells, lambda c, j: F.struct(j.alias("j"), code(c).alias("code")))
+        return F.filter(coded, lambda x: x["code"].isNotNull())
+
+    def marked_cell(c: Column, code: Column) -> Column:
+        needs = F.lit(True)
+        for rule, _, need in rules:
+            if need:
+                needs = F.when(code == rule.code, c.rlike(need)).otherwise(needs)
+        start, stop = F.regexp_extract(c, r"\A( *)", 1), F.regexp_extract(c, r"( *)\z", 1)
+        inside = F.concat(start, F.lit(OPEN), code, F.trim(c), F.lit(CLOSE), stop)
+        return F.when((F.trim(c) != "") & ~c.contains(OPEN) & needs, inside).otherwise(c)
 
     def in_row(row: Column, at: Column) -> Column:
-        cells = F.transform(F.split(row, pipe), lambda c, j: F.when(
-            F.array_contains(at, j) & (F.trim(c) != "") & ~c.contains(OPEN),
-            F.regexp_replace(c, r"\A( *)(.*?)( *)\z", f"$1{open_}$2{close}$3"),
-        ).otherwise(c))
-        return F.when(row.startswith("|"), F.array_join(cells, "|")).otherwise(row)
+        # Only the columns with a rule are looked at; the rest of the row is put back as it is.
+        def cells(parts: Column) -> Column:
+            return let(
+                F.map_from_entries(at),
+                lambda codes: F.transform(parts, lambda c, j: let(
+                    F.try_element_at(codes, j), lambda code: F.when(code.isNull(), c).otherwise(marked_cell(c, code))
+                )),
+            )
+
+        return F.when(row.startswith("|"), F.array_join(cells(F.split(row, pipe)), "|")).otherwise(row)
 
     def over(t: Column) -> Column:
         blocks = F.split(t, "\n\n")
         return F.when(
-            t.contains("\n|-") & t.rlike(rf"\| *{P.NAME_HEADER} *\|[^\n]*\n\|-"),
+            t.contains("\n|-") & t.rlike(rf"\| *{any_header} *\|[^\n]*\n\|-"),
             F.array_join(F.transform(blocks, in_block), "\n\n"),
         ).otherwise(t)
 
     return let(text, over)
 
 
+def column_rule(name: str, types: Iterable[str]) -> tuple[Rule, str] | None:
+    """The rule that a table column's name stands for, as a header would; and what a value must hold."""
+    shown = re.sub(r"[_\s]+", " ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)).strip()
+    for rule, header, need in P.COLUMN_RULES:
+        if rule.pii_type in types and re.fullmatch(header, shown):
+            return rule, need
+    return None
+
+
 def mark_short_names(text: Column) -> Column:
-    """Mark bare first names of persons whose full name stands in the same text."""
-    full = PERSON_MARK + r"([\p{L}'-]+) "
+    """Mark bare first names of persons whose full name stands in the same text.
+
+    The plain stretches are cut into capitalised words once; each word is looked
+    up among the first names, so the work grows with the words, not with names
+    times text.
+    """
+    full = PERSON_MARK + r"([\p{L}'’-]+) "
+    word = rf"{P.NAME_LB}(\p{{Lu}}\p{{L}}*(?:['’-]\p{{L}}+)*){P.NAME_RB}"
+    open_ = OPEN + P.SHORT_PERSON.code
+
+    def in_plain(part: Column, known: Column) -> Column:
+        pieces = F.split(F.regexp_replace(part, word, f"{OPEN}$1{OPEN}"), OPEN)
+
+        def piece(w: Column, i: Column) -> Column:
+            # Of a compound (or a genitive) that is no name itself, the first part counts.
+            lead = F.regexp_extract(w, r"\A(\p{L}+)", 1)
+            return (
+                F.when(i % 2 == 0, w)
+                .when(is_known(known, w), F.concat(F.lit(open_), w, F.lit(CLOSE)))
+                .when(
+                    (lead != w) & is_known(known, lead),
+                    F.concat(F.lit(open_), lead, F.lit(CLOSE), F.substring(w, F.length(lead) + 1, F.length(w))),
+                )
+                .otherwise(w)
+            )
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    def is_known(known: Column, w: Column) -> Column:
+        return lookup(known, lambda x: x, w).isNotNull()
 
     def over(t: Column) -> Column:
         firsts = F.array_distinct(F.regexp_extract_all(t, F.lit(full), 1))
-        target = F.concat(
-            F.lit(P.NAME_LB + "(?:"), F.array_join(firsts, "|"), F.lit(")" + P.NAME_RB)
-        )
-        return F.when(
-            t.contains(OPEN) & t.rlike(full), mark_with(t, P.SHORT_PERSON, target, F.lit(r"\p{Lu}"))
-        ).otherwise(t)
+        # Between marks: plain text at even places, a mark's code and value at odd ones.
+        parts = F.split(t, f"[{OPEN}{CLOSE}]")
+        marked_ = let(lookup_table(firsts, lambda x: x), lambda known: F.array_join(F.transform(
+            parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(in_plain(p, known))
+        ), ""))
+        return F.when(t.contains(OPEN) & t.rlike(full), marked_).otherwise(t)
 
     return let(text, over)
 
 
 def mark_personal_amounts(text: Column) -> Column:
     """Mark money amounts standing in a sentence or line that names a person."""
-    # A title's full stop does not end a sentence.
-    end = F.lit(f"({MARKED}|{P.LB}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr)\\.[ \\t]+)|([.!?][ \\t]+|\\n)")
+    # A full stop after a title or a legal form does not end a sentence.
+    end = F.lit(f"({MARKED}|{P.LB}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Inc|Ltd|Corp|Co)\\.[ \\t]+)|([.!?][ \\t]+|\\n)")
 
     def over(t: Column) -> Column:
         ended = F.regexp_replace(t, end, F.lit(f"$1{OPEN}{SENTENCE}$2{CLOSE}"))
@@ -160,7 +224,7 @@ def mark_personal_amounts(text: Column) -> Column:
             lambda s: F.when(s.rlike(PERSON_MARK), mark(s, P.AMOUNT)).otherwise(s),
         )
         return F.when(
-            t.contains(OPEN) & t.rlike(PERSON_MARK) & t.rlike("(?:[$€£] ?|USD |EUR |GBP )[0-9]"),
+            t.contains(OPEN) & t.rlike(PERSON_MARK) & t.rlike(P.AMOUNT_GATE),
             F.array_join(sentences, OPEN + SENTENCE),
         ).otherwise(t)
 
@@ -195,14 +259,27 @@ def marked(
                 out = _mark_row_list(out, P.GAZETTEER_PERSON, first_names, P.NAME_LB, tail)
         return out
 
-    out = by_line(protect(text), in_line)
+    out = mark_table_columns(by_line(protect(text), in_line), types)
     if names:
-        out = mark_short_names(mark_table_persons(out))
+        out = mark_short_names(out)
         if "financial" in types:
             out = mark_personal_amounts(out)
     return out
 
 
+def marked_value(text: Column, types: Iterable[str], column: str) -> Column:
+    """A value of a table column: marked whole where the column's name says what it holds, else by the rules."""
+    types = set(types)
+    found = column_rule(column, types)
+    out = marked(text, types)
+    if found is None:
+        return out
+    rule, need = found
+    whole = F.concat(F.lit(OPEN + rule.code), protect(text), F.lit(CLOSE))
+    fits = (F.trim(text) != "") & (text.rlike(need) if need else F.lit(True))
+    return F.when(fits, whole).otherwise(out)
+
+
 def by_line(text: Column, body) -> Column:
     """Apply ``body`` to each line: no rule looks beyond one, and most lines fail every gate."""
     return F.array_join(F.transform(F.split(text, "\n"), body), "\n")

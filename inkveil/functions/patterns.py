@@ -23,8 +23,9 @@ NAME_RB = r"(?![\p{L}\p{N}_])"
 OPEN = "\x01"
 CLOSE = "\x02"
 
-WORD = r"(?:\p{Lu}'|Mc|Mac|De|Van )?\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
+WORD = r"(?:\p{Lu}['’]|Mc|Mac|De|Van )?\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
 INITIAL = r"\p{Lu}\."
+UPPER_NAME = r"\p{Lu}{2,30}(?: \p{Lu}{2,30}){1,2}"
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,10 @@ STATES = (
     "AL|AK|AZ|AR|CA|CO|CT|DE|DC|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|"
     "NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY"
 )
-CITY = "[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2}"
+# Street words that are no common words may be lower case.
+LOWER_STREET_WORDS = "street|avenue|road|boulevard|lane|terrace|highway|parkway"
+UPPER_STREET_WORDS = STREET_WORDS.upper()
+CITY = "(?:[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2}|[A-Z]{3,20}(?: [A-Z]{3,20}){0,2})"
 ZIP = "[0-9]{5}(?:-[0-9]{4})?"
 CITY_STATE = f"{CITY},? (?:{STATES})(?: {ZIP})?{RB}"
 UNIT = "(?:Apt|Suite|Ste|Unit)\\.? [A-Za-z0-9-]{1,8}"
@@ -66,17 +70,21 @@ MONTHS = (
     "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 )
 DATE = (
-    "(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+    "(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
     "|[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{4}|[0-9]{2})"
-    f"|(?:{MONTHS})\\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}"
-    f"|[0-9]{{1,2}}(?:st|nd|rd|th)? (?:of )?(?:{MONTHS})\\.?,? [0-9]{{4}})"
+    f"|(?i:{MONTHS})\\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}"
+    f"|[0-9]{{1,2}}(?:st|nd|rd|th)? (?:of )?(?i:{MONTHS})\\.?,? [0-9]{{4}}"
+    f"|(?i:{MONTHS})\\.?,? [0-9]{{4}})"
 )
 # A birth cue may stand up to this far before its date, in the same line.
 DOB_GAP = 20
 
-LEGAL_FORMS = (
-    "Incorporated|Inc|Corporation|Corp|Company|Co|LLC|LLP|Limited|Ltd|GmbH|PLC|Plc|AG|Group|"
-    "Holdings|Industries|Partners|Bank"
+LEGAL_FORMS = "Incorporated|Inc|Corporation|Corp|LLC|LLP|Limited|Ltd|GmbH|PLC|Plc|AG"
+# These are common words too: no comma, no person and no title of office around them.
+COMPANY_NOUNS = "Company|Co|Group|Holdings|Industries|Partners|Bank"
+OFFICES = (
+    "Manager|Secretary|Director|Officer|Head|Lead|Leader|President|Chair|Chairman|Chairwoman|Executive|Analyst|"
+    "Clerk|Teller|Assistant|Accountant|Lawyer|Counsel|Partner"
 )
 COMPANY_WORD = r"\p{Lu}[\p{L}0-9&'-]{0,30}"
 
@@ -92,7 +100,7 @@ def person_target(first_names: str) -> str:
 
 EMAIL = Rule(
     "em", "email", "email", "A-Za-z0-9._%+-",
-    "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\\.){1,126}[A-Za-z]{2,}",
+    "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:['’][A-Za-z0-9._%+-]++){0,3}@(?:[A-Za-z0-9-]+\\.){1,126}[A-Za-z]{2,}",
     hints=("@",),
 )
 
@@ -130,7 +138,7 @@ CUED_ID = Rule(
     "ci", "id_numbers", "cued_id", "CcDdEeMmNnPpSsTt",
     f"[A-Z]{{0,3}}[0-9](?:[A-Z0-9]|[ -][0-9]){{3,17}}{RB}",
     cue=(
-        f"{LB}(?:(?:[Pp]assport|PASSPORT|[Dd]river'?s? [Ll]icen[cs]e|SSN|ssn|[Ss]ocial [Ss]ecurity|TFN|tfn|"
+        f"{LB}(?:(?:[Pp]assport|PASSPORT|[Dd]river['’]?s? [Ll]icen[cs]e|SSN|ssn|[Ss]ocial [Ss]ecurity|TFN|tfn|"
         "[Tt]ax [Ff]ile|[Nn]ational [Ii]nsurance)(?: (?:[Nn]umber|NUMBER|[Nn]o|NO|[Nn]um|[Ii]d|ID))?[.:# ]{1,3}(?:is )?"
         "|(?:[Cc]ustomer|[Ee]mployee|[Cc]lient|[Mm]ember|[Pp]atient|[Ss]taff)"
         "(?: (?:[Ii]d|ID|[Nn]umber|[Nn]o)[.:# ]{1,3}(?:is )?|#))"
@@ -165,6 +173,11 @@ PHONE = Rule(
         # area code with separators, leading 1 allowed
         f"|{LB}(?:1[ .-])?[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}"
         f"|{LB}1[ .-]\\([0-9]{{3}}\\) ?[0-9]{{3}}[ .-][0-9]{{4}}"
+        # international with 00
+        f"|{LB}00[0-9]{{1,3}}[ .-]?[0-9]{{1,4}}(?:[ .-]?[0-9]{{3,4}}){{2}}"
+        # ten digits in a row, or a leading 0 and pairs
+        f"|{LB}(?:[2-9][0-9]{{9}}|0[1-9][0-9]{{8}})"
+        f"|{LB}0[1-9](?:[ .-][0-9]{{2}}){{4}}"
         # leading 0
         f"|{LB}0[0-9]{{1,4}}[ -][0-9]{{3,4}}[ -][0-9]{{3,4}}|{LB}0[0-9]{{3,4}}[ -][0-9]{{6}}"
         # seven digits
@@ -175,15 +188,16 @@ PHONE = Rule(
 STREET = Rule(
     "st", "address", "street", "0-9",
     (
-        f"{LB}[0-9]{{1,6}}[A-Za-z]? (?:[A-Z][A-Za-z'.-]{{0,20}} ){{1,4}}(?:{STREET_WORDS}){RB}\\.?"
+        f"{LB}[0-9]{{1,6}}[A-Za-z]? (?:(?:[A-Z][A-Za-z'’.-]{{0,20}}|[0-9]{{1,3}}(?:st|nd|rd|th|ST|ND|RD|TH)) ){{1,4}}"
+        f"(?:{STREET_WORDS}|{UPPER_STREET_WORDS}|{LOWER_STREET_WORDS}){RB}\\.?"
         f"(?:,? {UNIT})?(?:,? {CITY_STATE})?"
     ),
-    gate="[0-9][A-Za-z]? [A-Z]",
+    gate="[0-9][A-Za-z]? [A-Z0-9]",
 )
 PO_BOX = Rule(
     "po", "address", "po_box", "P",
-    f"{LB}P\\.?O\\.? ?Box [0-9]{{1,8}}{RB}(?:,? {CITY_STATE})?",
-    hints=("Box ",),
+    f"{LB}P\\.?O\\.? ?(?:Box|BOX) [0-9]{{1,8}}{RB}(?:,? {CITY_STATE})?",
+    hints=("Box ", "BOX "),
 )
 CITY_ZIP = Rule(
     "cz", "address", "city_zip", "A-Z",
@@ -192,7 +206,10 @@ CITY_ZIP = Rule(
 
 COMPANY = Rule(
     "co", "company", "legal_form", r"\p{Lu}",
-    f"{NAME_LB}(?:{COMPANY_WORD},? ){{1,4}}(?:{LEGAL_FORMS}){NAME_RB}",
+    (
+        f"{NAME_LB}(?:(?:{COMPANY_WORD} ){{0,3}}{COMPANY_WORD},? (?:{LEGAL_FORMS}){NAME_RB}"
+        f"|(?!{any_of(FIRST_NAMES)} )(?:{COMPANY_WORD} ){{1,4}}(?:{COMPANY_NOUNS}){NAME_RB}(?! (?:{OFFICES}){NAME_RB}))"
+    ),
     gate=r"[\p{L}0-9&',-] \p{Lu}",
 )
 KNOWN_COMPANY = Rule(
@@ -212,7 +229,7 @@ KNOWN_PERSON = Rule(
 )
 LABELLED_PERSON = Rule(
     "lp", "person_name", "label", "NnCADHTF*",
-    f"{WORD}(?: (?:{WORD}|{INITIAL})){{0,2}}{NAME_RB}",
+    f"(?:{WORD}(?: (?:{WORD}|{INITIAL})){{0,2}}|{UPPER_NAME}){NAME_RB}",
     cue=(
         f"(?:{LB}(?:(?:[Nn]ame|NAME): ?|Contact: ?|Attn:? |Dear |Hello |Hi )"
         "|\\*\\*(?:From|To|Cc):\\*\\* \"?|(?:From|To|Cc): \"?)"
@@ -220,13 +237,17 @@ LABELLED_PERSON = Rule(
     hints=(":", "Attn", "Dear ", "Hello ", "Hi "),
 )
 
+# The whole number, whatever parts its thousands and decimals.
+NUMBER = "[0-9](?:[0-9.,’]*[0-9])?(?: [0-9]{3}(?![0-9]))*"
+CURRENCY = "(?:[$€£]|(?:USD|EUR|GBP|[Dd]ollars|[Ee]uros?|[Pp]ounds)" + RB + ")"
 AMOUNT = Rule(
-    "am", "financial", "personal_amount", "$€£UEG",
+    "am", "financial", "personal_amount", "$€£UEG0-9",
     (
-        "(?:[$€£] ?|(?:USD|EUR|GBP) )"
-        "[0-9]{1,3}(?:,?[0-9]{3}){0,6}(?:\\.[0-9]{1,2})?(?: ?(?:million|thousand))?"
+        f"(?:(?:[$€£] ?|(?:USD|EUR|GBP) ){NUMBER}(?: ?(?:million|thousand))?"
+        f"|{LB}(?<![.,’0-9]){NUMBER}(?: ?(?:million|thousand))? ?{CURRENCY})"
     ),
 )
+AMOUNT_GATE = "(?:[$€£] ?|USD |EUR |GBP )[0-9]|[0-9](?: ?(?:million|thousand))? ?" + CURRENCY
 
 DIGIT_RULES = [
     IBAN, CARD, ACCOUNT, SSN, CODED_ID, CUED_ID, DOB, AGE_DOB, PHONE, STREET, PO_BOX, CITY_ZIP,
@@ -236,6 +257,13 @@ PERSON_RULES = [HONORIFIC, KNOWN_PERSON, LABELLED_PERSON]
 
 # Marks that are not single-pattern rules.
 TABLE_PERSON = Rule("tp", "person_name", "table_column", "", "")
+TABLE_EMAIL = Rule("te", "email", "email_column", "", "")
+TABLE_PHONE = Rule("th", "phone", "phone_column", "", "")
+TABLE_COMPANY = Rule("tc", "company", "company_column", "", "")
+TABLE_ADDRESS = Rule("ta", "address", "address_column", "", "")
+TABLE_FINANCIAL = Rule("tf", "financial", "financial_column", "", "")
+TABLE_ID = Rule("ti", "id_numbers", "id_column", "", "")
+TABLE_DOB = Rule("td", "date_of_birth", "dob_column", "", "")
 SHORT_PERSON = Rule("sp", "person_name", "short_name", "", "")
 GAZETTEER_PERSON = Rule("gp", "person_name", "gazetteer_person", "", "")
 GAZETTEER_COMPANY = Rule("gc", "company", "gazetteer_company", "", "")
@@ -243,6 +271,7 @@ GAZETTEER_COMPANY = Rule("gc", "company", "gazetteer_company", "", "")
 RULES = [
     EMAIL, *DIGIT_RULES, *COMPANY_RULES, GAZETTEER_COMPANY, *PERSON_RULES, GAZETTEER_PERSON,
     TABLE_PERSON, SHORT_PERSON, AMOUNT,
+    TABLE_EMAIL, TABLE_PHONE, TABLE_COMPANY, TABLE_ADDRESS, TABLE_FINANCIAL, TABLE_ID, TABLE_DOB,
 ]
 
 # Header cells whose column holds person names.
@@ -250,3 +279,26 @@ NAME_HEADER = (
     "(?i:(?:(?:full|first|last|customer|client|employee|contact|patient|manager) ?)?name"
     "|contact(?: person)?|employee|manager)"
 )
+
+# For the other types: what headers say, and what a cell must hold to count.
+_NO = "(?: ?(?:no\\.?|num|number|#|id))?"
+COLUMN_RULES = [
+    (TABLE_PERSON, NAME_HEADER, ""),
+    (TABLE_EMAIL, "(?i:e-?mail(?: address)?)", "@"),
+    (TABLE_PHONE, f"(?i:(?:(?:home|work|cell|mobile|contact|office) ?)?(?:tele)?phone{_NO}|mobile{_NO}|cell{_NO}|tel\\.?{_NO}|fax{_NO})", "[0-9]"),
+    (TABLE_COMPANY, "(?i:company(?: name)?|employer|firm|organi[sz]ation)", ""),
+    (TABLE_ADDRESS, "(?i:(?:(?:home|street|mailing|postal|billing|shipping) ?)?address|street)", ""),
+    (
+        TABLE_FINANCIAL,
+        f"(?i:(?:(?:bank|card|credit card|debit card|savings) ?)?(?:account|acct\\.?|a/c|card){_NO}|iban|sort code|routing{_NO}|"
+        "salary|wage|income|balance)",
+        "[0-9]",
+    ),
+    (
+        TABLE_ID,
+        f"(?i:ssn|social security{_NO}|passport{_NO}|tfn|tax file{_NO}|tax{_NO}|national id|national insurance{_NO}|"
+        f"driver['’]?s? licen[cs]e{_NO}|(?:employee|customer|client|member|patient|staff) ?(?:id|no\\.?|number))",
+        "[0-9]",
+    ),
+    (TABLE_DOB, "(?i:dob|d\\.o\\.b\\.?|date of birth|birth ?date|birth ?day|born)", "[0-9]"),
+]

@@ -61,13 +61,18 @@ def applied_of(pieces_col: str, actions: tuple, salt: str | Column, id_col: str)
 
 
 def sanitize_text(
-    text: Column, actions: dict | None = None, salt: str | Column = "", doc_key: Column | None = None
+    text: Column,
+    actions: dict | None = None,
+    salt: str | Column = "",
+    doc_key: Column | None = None,
+    column: str = "",
 ) -> Column:
-    """The sanitized form of a text column, as one expression."""
+    """The sanitized form of a text column, as one expression; ``column`` is the name of a table's column."""
     actions = DEFAULT_ACTIONS if actions is None else actions
     check_actions(actions)
     check_salt(salt, actions)
-    items = M.pieces(M.marked(text, active_types(actions)))
+    types = active_types(actions)
+    items = M.pieces(M.marked_value(text, types, column) if column else M.marked(text, types))
     doc_key = F.lit("") if doc_key is None else doc_key
     return R.replaced_text(R.applied_pieces(items, actions, salt, doc_key))
 
@@ -77,6 +82,8 @@ def sanitize_columns(
 ) -> DataFrame:
     """Sanitize plain string columns of any table in place; nulls stay null.
 
+    A column's name counts as a table's header does (``ssn``, ``home_phone``,
+    ``DateOfBirth``): its values are taken whole.
     Entities are those of one value; ``id_col`` keys the names invented for them.
     """
     fixed = tuple((DEFAULT_ACTIONS if actions is None else actions).items())
@@ -86,7 +93,7 @@ def sanitize_columns(
 @built_once
 def sanitized_column(column: str, actions: tuple, salt: str, id_col: str | None) -> Column:
     key = None if id_col is None else F.col(id_col).cast("string")
-    return sanitize_text(F.col(column), dict(actions), salt, key)
+    return sanitize_text(F.col(column), dict(actions), salt, key, column)
 
 
 def sanitize_documents(

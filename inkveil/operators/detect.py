@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
 from inkveil.functions import patterns as P
-from inkveil.functions.arrays import built_once, let, scan
+from inkveil.functions.arrays import built_once, let, scan, words
 from inkveil.model import PII_TYPES, SPAN_TYPE
 
-# Gazetteers up to this many words go into the pattern itself.
-INLINE_WORDS = 500
+# Gazetteers up to this size go into the expression itself.
+INLINE_BYTES = 256 * 1024
 
 
 def span_rows(df: DataFrame, spans: Column, id_col: str = "doc_id") -> DataFrame:
-    """One row per span; the text itself is not carried along."""
+    """One row per span; the text itself is not carried along.
+
+    The array is filtered inside ``explode``: of a bare one the optimizer
+    would test the size first, and so compute it twice.
+    """
     return (
-        df.select(id_col, F.explode(spans).alias("s"))
+        df.select(id_col, F.explode(F.filter(spans, lambda s: s.isNotNull())).alias("s"))
         .select(id_col, "s.pii_type", "s.rule", "s.start", "s.end", "s.value", "s.prio")
     )
 
@@ -86,7 +90,7 @@ def detect_company(
     """Company names by legal form and list; ``gazetteer`` (column ``name``) adds more."""
     words = None
     if gazetteer is not None:
-        df, words = gazetteer_words(df, gazetteer, id_col, text_col, "company_words", max_words=4)
+        df, words = gazetteer_words(df, gazetteer, id_col, text_col, "company_words")
     return _detect(df, M.marked(F.col(text_col), ["company"], companies=words), ["company"], id_col)
 
 
@@ -99,7 +103,7 @@ def detect_person(
     """
     words = None
     if gazetteer is not None:
-        df, words = gazetteer_words(df, gazetteer, id_col, text_col, "first_name_words", max_words=1)
+        df, words = gazetteer_words(df, gazetteer, id_col, text_col, "first_name_words")
     marked = M.marked(F.col(text_col), ["person_name"], first_names=words)
     return _detect(df, marked, ["person_name"], id_col)
 
@@ -112,47 +116,47 @@ def detect_personal_amounts(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def gazetteer_words(
-    df: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str, out_col: str, max_words: int
+    df: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str, out_col: str
 ) -> tuple[DataFrame, Column]:
     """The gazetteer names to look for in each row, as a regex alternation.
 
-    A short list (its size is checked) becomes one constant pattern. A longer
-    one is joined with the capitalised word groups of the texts, which leaves
-    each row with just the names that occur in it; only candidate words are
-    shuffled for that, and Spark broadcasts the list when it is small enough.
+    A name is looked for where its first run of letters and digits is a word
+    of the text; so any script, any case and any number of words will do, and
+    what is found does not depend on the length of the list. A list of up to
+    ``INLINE_BYTES`` (its size is checked) stands in the expression, and no
+    row is shuffled. A longer one is joined with the distinct words of the
+    texts, and only the rows that have one of its words get names by a second
+    join on the id.
     """
-    names = gazetteer.select(F.trim("name").alias("name")).where(F.length("name") > 0).distinct()
-    head = names.limit(INLINE_WORDS + 1).collect()
-    if len(head) <= INLINE_WORDS:
-        if not head:
-            return df, F.lit(None).cast("string")
-        quoted = sorted((r.name for r in head), key=lambda n: (-len(n), n))
-        return df, F.lit("|".join(f"\\Q{n}\\E" for n in quoted))
-
-    word = r"\p{Lu}[\p{L}0-9&'-]{0,30}"
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(f"{P.NAME_LB}{word}(?: {word})*"), 0)
-
-    def groups(run: Column) -> Column:
-        # Every group of 1 to max_words neighbouring words of a run.
-        return let(F.split(run, " "), lambda w: F.flatten(F.transform(
-            F.sequence(F.lit(1), F.least(F.size(w), F.lit(max_words))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")
-            ),
-        )))
-
-    candidates = df.select(
-        id_col, F.explode(F.array_distinct(F.flatten(F.transform(runs, groups)))).alias("name")
-    )
-    hits = candidates.join(names, "name").groupBy(id_col).agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_set(F.struct(-F.length("name"), F.col("name").alias("name")))),
-                lambda x: F.concat(F.lit("\\Q"), x["name"], F.lit("\\E")),
-            ),
-            "|",
-        ).alias(out_col)
+    first = F.regexp_extract("name", r"([\p{L}\p{N}_]+)", 1)
+    names = (
+        gazetteer.select(F.trim("name").alias("name"))
+        .distinct()
+        .select("name", first.alias("first"))
+        .where(F.col("first") != "")
     )
+    tokens = F.array_distinct(F.split(F.col(text_col), r"[^\p{L}\p{N}_]+"))
+    size = names.agg(F.sum(F.octet_length("name") + F.octet_length("first"))).first()[0] or 0
+    if size == 0:
+        return df, F.lit(None).cast("string")
+
+    def pattern(found: Column) -> Column:
+        # Longer names first, so that a name inside another does not win.
+        quoted = F.transform(found, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E")))
+        return F.when(F.size(found) > 0, F.array_join(quoted, "|"))
+
+    if size <= INLINE_BYTES:
+        listed = sorted(names.collect(), key=lambda r: (-len(r.name), r.name))
+        all_names, firsts = words(r.name for r in listed), words(r.first for r in listed)
+        return df, let(F.array_intersect(tokens, words(sorted({r.first for r in listed}))), lambda seen: F.when(
+            F.size(seen) > 0,
+            pattern(F.filter(all_names, lambda n, i: F.array_contains(seen, F.get(firsts, i)))),
+        ))
+
+    seen = df.select(id_col, F.explode(tokens).alias("first"))
+    hits = seen.join(names, "first").groupBy(id_col).agg(
+        F.sort_array(F.collect_set(F.struct((-F.length("name")).alias("n"), F.col("name").alias("name")))).alias("found")
+    ).select(id_col, pattern(F.transform("found", lambda x: x["name"])).alias(out_col))
     return df.join(hits, id_col, "left"), F.col(out_col)
 
 
@@ -204,12 +208,35 @@ def resolve_overlaps(spans: Column) -> Column:
         )
         return kept
 
+    flagged = f"struct<span:{SPAN_TYPE},hit:boolean>"
+
+    def sweep(items: Column, zero: Column, reach, meets) -> Column:
+        """Flag persons that meet what the companies before them in ``items`` reach."""
+        is_company = lambda x: x["span"]["pii_type"] == "company"
+        return scan(
+            items,
+            zero,
+            lambda far, x: F.when(is_company(x), reach(far, x["span"])).otherwise(far),
+            lambda far, x: F.array(F.struct(
+                x["span"].alias("span"),
+                (x["hit"] | ((x["span"]["pii_type"] == "person_name") & meets(far, x["span"]))).alias("hit"),
+            )),
+            flagged,
+        )
+
     def without_shielded(s: Column) -> Column:
-        companies = F.filter(s, lambda x: x["pii_type"] == "company")
-        return let(companies, lambda c: F.when(F.size(c) == 0, s).otherwise(
-            F.filter(s, lambda x: (x["pii_type"] != "person_name") | ~F.exists(
-                c, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])
-            ))
+        # By start, companies first: the farthest end so far; then from the right: the nearest start.
+        keyed = F.transform(s, lambda x: F.struct(
+            x["start"].alias("a"), (x["pii_type"] != "company").alias("b"), x.alias("span"), F.lit(False).alias("hit")
+        ))
+        items = F.transform(F.sort_array(keyed), lambda x: F.struct(x["span"].alias("span"), x["hit"].alias("hit")))
+        left = let(items, lambda i: sweep(
+            i, F.lit(-1), lambda far, c: F.greatest(far, c["end"]), lambda far, p: far > p["start"]
+        ))
+        both = let(F.reverse(left), lambda i: sweep(
+            i, F.lit(2**31 - 1), lambda far, c: F.least(far, c["start"]), lambda far, p: far < p["end"]
         ))
+        kept = F.transform(F.filter(both, lambda x: ~x["hit"]), lambda x: x["span"])
+        return F.when(F.exists(s, lambda x: x["pii_type"] == "company"), kept).otherwise(s)
 
     return let(spans, lambda s: let(sorted_spans(without_shielded(s)), greedy))

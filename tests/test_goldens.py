@@ -15,16 +15,25 @@ DELETE = {
         ("Emma O'Brien and Peter Van Dyke", "[NAME_REMOVED] and [NAME_REMOVED]"),
         ("Sarah Müller-Lüdenscheidt wrote", "[NAME_REMOVED] wrote"),
         ("John Smith's car", "[NAME_REMOVED]'s car"),
+        ("Contact John Smith, Group Manager", "Contact [NAME_REMOVED], Group Manager"),
+        ("Sarah Johnson, Company Secretary", "[NAME_REMOVED], Company Secretary"),
+        ("John Smith, Bank Manager", "[NAME_REMOVED], Bank Manager"),
+        ("Michael O’Brien wrote", "[NAME_REMOVED] wrote"),
+        ("Contact: JOHN SMITH", "Contact: [NAME_REMOVED]"),
+        ("John Smith; John’s, Johnny and John-Boy", "[NAME_REMOVED]; [NAME_REMOVED]’s, Johnny and [NAME_REMOVED]-Boy"),
     ],
     "email": [
         ("Contact john.smith@company.com", "Contact [EMAIL_REMOVED]"),
         ("a@b.co,c+d@e-f.example.org.", "[EMAIL_REMOVED],[EMAIL_REMOVED]."),
         ("no@mail here @ all", "no@mail here @ all"),
+        ("'a@b.org' o'brien@x.com", "'[EMAIL_REMOVED]' [EMAIL_REMOVED]"),
     ],
     "phone": [
         ("call +1 (555) 123-4567 now", "call [PHONE_REMOVED] now"),
         ("555.123.4567", "[PHONE_REMOVED]"),
         ("+61 2 1234 5678, (555) 123-4567; 555-123-4567", "[PHONE_REMOVED], [PHONE_REMOVED]; [PHONE_REMOVED]"),
+        ("5551234567, 0412345678; 01 23 45 67 89", "[PHONE_REMOVED], [PHONE_REMOVED]; [PHONE_REMOVED]"),
+        ("0044 20 7946 0958 but 1234567890, a5551234567", "[PHONE_REMOVED] but 1234567890, a5551234567"),
         ("555-1234 or +33 1 23 45 67 89 or 07911 123456", "[PHONE_REMOVED] or [PHONE_REMOVED] or [PHONE_REMOVED]"),
     ],
     "address": [
@@ -32,6 +41,9 @@ DELETE = {
         ("PO Box 456, Seattle WA", "[ADDRESS_REMOVED]"),
         ("in Portland, OR 97201-1234 today", "in [ADDRESS_REMOVED] today"),
         ("12 Old Mill Road, Apt 4B", "[ADDRESS_REMOVED]"),
+        ("PO BOX 123, Seattle WA; 350 5th Ave, now", "[ADDRESS_REMOVED]; [ADDRESS_REMOVED], now"),
+        ("123 MAIN ST, NEW YORK, NY 10001", "[ADDRESS_REMOVED]"),
+        ("123 Main street but 5 Good way", "[ADDRESS_REMOVED] but 5 Good way"),
     ],
     "financial": [
         ("card 4111 1111 1111 1111 or 4465758382889437", "card [FINANCIAL_REMOVED] or [FINANCIAL_REMOVED]"),
@@ -42,12 +54,15 @@ DELETE = {
         ("badge EMP-12345, SSN 123-45-6789", "badge [ID_REMOVED], SSN [ID_REMOVED]"),
         ("passport no. X1234567; driver's license D123-4567", "passport no. [ID_REMOVED]; driver's license [ID_REMOVED]"),
         ("Customer#000000001", "Customer#[ID_REMOVED]"),
+        ("driver’s license number D1234567", "driver’s license number [ID_REMOVED]"),
         ("customer 2024 report", "customer 2024 report"),
     ],
     "date_of_birth": [
         ("born on 1980-02-03 in Rome", "born on [DOB_REMOVED] in Rome"),
         ("DOB: 03/04/1975", "DOB: [DOB_REMOVED]"),
         ("birthday March 5, 1990", "birthday [DOB_REMOVED]"),
+        ("DOB: 1980/05/01, DOB: 5 MARCH 1980", "DOB: [DOB_REMOVED], DOB: [DOB_REMOVED]"),
+        ("born in March 1980, met in March 1999", "born in [DOB_REMOVED], met in March 1999"),
         ("aged 45 (1979-01-02)", "aged 45 ([DOB_REMOVED])"),
     ],
 }

@@ -105,16 +105,84 @@ def test_long_document_stays_linear(spark):
         assert done == f"{seen[name]}, [EMAIL_REDACTED]@mail.example.com, in stock"
 
 
-def test_gazetteers_short_and_long_agree(spark):
-    texts = [(i, f"Xyz{chr(97 + i % 26)} Miller of Foo{i} Works wrote; Nope Miller too") for i in range(60)]
+def test_gazetteers_of_any_size_agree(spark, monkeypatch):
+    """Lower case, digits, dots, many words, other scripts; a list in the expression and one that is joined."""
+    firms = ["3M", "Acmeco Works", "Bank of America", "One Two Three Four Five", "St. Jude Works", "Yahoo!", "eBay", "金山 办公", "x"]
+    texts = [(i, f"we like {n} and {n}s, 9{n} and ({n}) too") for i, n in enumerate(firms)] + [(99, "nothing here"), (100, None)]
     df = spark.createDataFrame(texts, "doc_id int, text string")
-    names = [(f"Xyz{chr(97 + i)}",) for i in range(26)]
-    firms = [(f"Foo{i} Works",) for i in range(40)]
-    for extra in ([], [(f"Zzz{i}x",) for i in range(D.INLINE_WORDS)]):
-        people = D.detect_person(df, spark.createDataFrame(names + extra, "name string"))
-        assert sorted((r.doc_id, r.value) for r in people.collect()) == sorted((i, t.split(" of")[0]) for i, t in texts)
-        found = D.detect_company(df, spark.createDataFrame(firms + extra, "name string"))
-        assert sorted((r.doc_id, r.value) for r in found.collect()) == sorted((i, f"Foo{i} Works") for i in range(40))
+    people = spark.createDataFrame(
+        [(i, f"Xyz{chr(97 + i % 26)} Miller of Foo{i} wrote; Nope Miller too; 李 Tarkov") for i in range(30)], "doc_id int, text string"
+    )
+    firsts = [(f"Xyz{chr(97 + i)}",) for i in range(26)] + [("李",)]
+    got = []
+    for extra, inline in (([], 1 << 20), ([(f"Zzz{i}x",) for i in range(5000)], 1 << 20), ([], 0)):
+        monkeypatch.setattr(D, "INLINE_BYTES", inline)
+        found = D.detect_company(df, spark.createDataFrame([(n,) for n in firms] + extra, "name string")).collect()
+        named = D.detect_person(people, spark.createDataFrame(firsts + extra, "name string")).collect()
+        got.append(
+            (sorted((r.doc_id, r.start, r.value) for r in found), sorted((r.doc_id, r.value) for r in named))
+        )
+    assert got[0] == got[1] == got[2]
+    companies, persons = got[0]
+    for i, n in enumerate(firms):
+        assert [v for d, _, v in companies if d == i] == [n, n]
+    assert [v for d, v in persons if d == 3] == ["Xyzd Miller", "李 Tarkov"]
+
+
+def test_many_first_names_stay_linear(spark):
+    """Distinct first names in one text: four times as many may cost little more than four times the time."""
+    def took(n):
+        lines = [f"Mr. Q{i:06d}".replace("0", "a").replace("1", "b").replace("2", "c").replace("3", "d").replace("4", "e").replace("5", "f").replace("6", "g").replace("7", "h").replace("8", "i").replace("9", "j") + " Smith, in stock" for i in range(n)]
+        lines += [line.split()[1] + " called" for line in lines[:100]]
+        df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")
+        begin = time.time()
+        out = sanitize_documents(df, {"person_name": "delete"}).select("content").first()[0].split("\n")
+        assert out[-1] == "[NAME_REMOVED] called"
+        return time.time() - begin
+
+    took(100)
+    took(200_000 // 8)
+    assert took(200_000) < 100
+
+
+def test_many_overlaps_stay_linear(spark):
+    n = 50_000
+    spans = [("company" if k % 2 else "person_name", "r", 10 * k, 10 * k + 5 + k % 7, "v", k) for k in range(n)]
+    schema = "spans array<struct<pii_type:string,rule:string,start:int,end:int,value:string,prio:int>>"
+    df = spark.createDataFrame([(spans,)], schema)
+    begin = time.time()
+    kept = df.select(D.resolve_overlaps(F.col("spans")).alias("k")).first().k
+    assert time.time() - begin < 60
+    assert [(s.pii_type, s.start, s.end, s.prio) for s in kept] == brute_overlaps([(t, a, b, p) for t, _, a, b, _, p in spans])
+
+
+def test_columns_of_all_types(spark, sanitize_texts):
+    head = "| Name | D.O.B. | SSN | Account number | Phone no | E-mail | Home address | Employer | Item |\n" + "|---" * 9 + "|\n"
+    row = "| Zed Quux | 1980-05-01 | 123456789 | 12345678 | 5 55 12 34 | me@x.org | 7 Elm | Quuxco | 12345678 |"
+    actions = dict.fromkeys(PII_TYPES, "delete") | {"company": "invent"}
+    out = sanitize_texts([head + row], actions)[0].split("\n")[2].split(" | ")
+    assert out[:7] == [
+        "| [NAME_REMOVED]", "[DOB_REMOVED]", "[ID_REMOVED]", "[FINANCIAL_REMOVED]", "[PHONE_REMOVED]", "[EMAIL_REMOVED]", "[ADDRESS_REMOVED]"
+    ]
+    assert out[7] != "Quuxco"
+    assert out[8] == "12345678 |"
+    only = sanitize_texts([head + row], {"date_of_birth": "delete"})[0]
+    assert only == head + row.replace("1980-05-01", "[DOB_REMOVED]")
+
+
+def test_column_names_as_headers(spark):
+    from inkveil.operators.actions import sanitize_columns
+
+    df = spark.createDataFrame(
+        [(1, "123456789", "1980-05-01", "Zed Quux", "call 555-123-4567", "n/a"), (2, None, "", "Ann", "x", "77")],
+        "id int, ssn string, DateOfBirth string, customer_name string, note string, home_phone string",
+    )
+    actions = {"id_numbers": "delete", "date_of_birth": "delete", "person_name": "delete", "phone": "delete"}
+    got = [tuple(r)[1:] for r in sanitize_columns(df, df.columns[1:], actions).orderBy("id").collect()]
+    assert got == [
+        ("[ID_REMOVED]", "[DOB_REMOVED]", "[NAME_REMOVED]", "call [PHONE_REMOVED]", "n/a"),
+        (None, "", "[NAME_REMOVED]", "x", "[PHONE_REMOVED]"),
+    ]
 
 
 def test_table_columns_with_names(spark, sanitize_texts):
