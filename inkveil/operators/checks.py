@@ -67,6 +67,55 @@ def check_leaks(df: DataFrame, actions: dict, text_col: str = "content", id_col:
     )
 
 
+def check_values(
+    df: DataFrame, actions: dict, before: str = "text", after: str = "content", id_col: str = "doc_id"
+) -> DataFrame:
+    """Values of any type that an action was to replace and that the output still holds (expect none).
+
+    One row per value: ``(id, pii_type, value, left)``. A value is left where
+    the output holds it more often than the plain stretches of the input do, so
+    equal text that was no personal data does not count. ``actions`` may hold
+    columns (one rule set per row). What an action keeps is not looked at:
+    companies under keep_part and single names of persons under keep_part.
+    """
+    columns = {t: F.lit(a) if isinstance(a, str) else a for t, a in actions.items()}
+    items = M.pieces(M.marked(F.col(before), list(actions)))
+
+    def times(text: Column, value: Column) -> Column:
+        return F.regexp_count(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")))
+
+    def action_of(kind: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for t, a in columns.items():
+            out = F.when(kind == t, a).otherwise(out)
+        return out
+
+    found = (
+        df.select(id_col, F.col(after).alias("_after"), *[a.alias(f"_{t}") for t, a in columns.items()], items.alias("_items"))
+    )
+    columns = {t: F.col(f"_{t}") for t in columns}
+    plain = F.array_join(F.transform(F.filter("_items", lambda p: p["pii_type"].isNull()), lambda p: p["value"]), "\n")
+    values = F.array_distinct(F.transform(
+        F.filter("_items", lambda p: p["pii_type"].isNotNull()),
+        lambda p: F.struct(p["pii_type"].alias("pii_type"), p["value"].alias("value")),
+    ))
+    rows = (
+        found.withColumn("_plain", plain)
+        .withColumn("_v", F.explode(F.filter(values, lambda v: v.isNotNull())))
+        .select("*", F.col("_v.pii_type").alias("pii_type"), F.col("_v.value").alias("value"))
+        .withColumn("_action", action_of(F.col("pii_type")))
+    )
+    kept = (F.col("_action") == "keep_part") & (
+        (F.col("pii_type") == "company") | ((F.col("pii_type") == "person_name") & (F.instr("value", " ") == 0))
+    )
+    left = times(F.col("_after"), F.col("value")) - times(F.col("_plain"), F.col("value"))
+    return (
+        rows.where(F.col("_action").isNotNull() & ~kept)
+        .select(id_col, "pii_type", "value", left.alias("left"))
+        .where("left > 0")
+    )
+
+
 def check_output_only(df: DataFrame, before: str = "text", after: str = "content", id_col: str = "doc_id") -> DataFrame:
     """True where the output with the original values put back is the input, and nothing else was added."""
     applied = F.col("applied")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.replace import first_word, normal_key, person_key
+from inkveil.functions.replace import first_word, last_word, normal_key, person_key
 
 
 def entity_key(pii_type: Column, value: Column) -> Column:
@@ -34,17 +34,19 @@ def entity_map(spans: DataFrame, scope: str = "document", id_col: str = "doc_id"
 def number_entities(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Number the persons of each document per first name, by first appearance.
 
-    Bare names that are the first name of a fully named person of the document
-    belong to that person and get no number of their own.
+    The same persons as replacing counts: a bare name or a titled surname that
+    is the first or last name of a fully named person of the document is that
+    person and gets no number of its own.
     """
     persons = entity_map(spans.where(F.col("pii_type") == "person_name"), id_col=id_col).withColumn(
         "first_name", first_word(F.col("entity_key"))
     )
-    by_name = Window.partitionBy(id_col, "first_name")
     full = F.instr("entity_key", " ") > 0
-    return (
-        persons.withColumn("has_full", F.max(full).over(by_name))
-        .where(full | ~F.col("has_full"))
-        .withColumn("num", F.dense_rank().over(by_name.orderBy("first_start")))
-        .select(id_col, "entity_key", "first_name", "first_start", "mentions", "num")
+    parts = persons.where(full).select(
+        id_col, F.explode(F.array(first_word(F.col("entity_key")), last_word(F.col("entity_key")))).alias("entity_key")
+    ).distinct()
+    own = persons.where(full).unionByName(persons.where(~full).join(parts, [id_col, "entity_key"], "left_anti"))
+    order = Window.partitionBy(id_col, "first_name").orderBy("first_start")
+    return own.withColumn("num", F.dense_rank().over(order)).select(
+        id_col, "entity_key", "first_name", "first_start", "mentions", "num"
     )

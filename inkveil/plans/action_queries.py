@@ -243,7 +243,8 @@ def entity_map_of_corpus(spark, sf_dir):
     f"SELECT doc_id, {_KEY} AS entity_key, split_part({_KEY}, ' ', 1) AS first_name, min(start) AS first_start, "
     f"count(*) AS mentions FROM ({_SPANS}) WHERE pii_type = 'person_name' GROUP BY 1, 2, 3) e "
     f"WHERE strpos(entity_key, ' ') > 0 OR NOT EXISTS (SELECT 1 FROM ({_SPANS}) o "
-    "WHERE o.doc_id = e.doc_id AND o.pii_type = 'person_name' AND lower(o.value) LIKE e.first_name || ' %')"
+    "WHERE o.doc_id = e.doc_id AND o.pii_type = 'person_name' AND (lower(o.value) LIKE e.first_name || ' %' "
+    "OR lower(o.value) LIKE '% ' || e.first_name))"
 )
 def number_persons(spark, sf_dir):
     return E.number_entities(letter_span_rows(spark, sf_dir)).withColumn("num", F.col("num").cast("long"))
@@ -292,6 +293,18 @@ def check_leaks(spark, sf_dir):
     )
 
 
+# Letters of even customers are left as they are: each planted value must be reported.
+@query(
+    "SELECT doc_id, pii_type, value FROM (SELECT DISTINCT doc_id, pii_type, value FROM "
+    f"({_SPANS})) WHERE doc_id % 2 = 0 AND pii_type <> 'company' AND (pii_type <> 'person_name' OR strpos(value, ' ') > 0)"
+)
+def check_values(spark, sf_dir):
+    """Values that were to be replaced and stand in the output, under the default profile."""
+    done = A.sanitize_documents(letters(spark, sf_dir), DEFAULT_ACTIONS)
+    done = done.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("content")))
+    return C.check_values(done, DEFAULT_ACTIONS).select("doc_id", "pii_type", "value")
+
+
 @query("SELECT doc_id, true AS output_only, CAST(0 AS INTEGER) AS changed_gaps FROM documents")
 def check_output_only(spark, sf_dir):
     return C.check_output_only(A.sanitize_documents(table(spark, sf_dir, "documents"), DEFAULT_ACTIONS))
