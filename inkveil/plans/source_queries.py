@@ -331,8 +331,8 @@ def expire_stream_uploads(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     stream = (
         spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .parquet(sf_dir)
+        # As a pattern, so that the table may be a file or a folder of part files.
+        .parquet(f"{sf_dir}/events.parque[t]")
         .select(F.expr(I.uuid_of("event_id")).alias("file_id"), F.col("ts").cast("timestamp").alias("created_at"))
     )
     done = (
