@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from inkveil.model import DEFAULT_ACTIONS  # noqa: E402
 from inkveil.operators.actions import removal_counts, sanitize_documents  # noqa: E402
-from inkveil.plans import output_queries, profile_queries, registry, source_queries  # noqa: E402, F401
+from inkveil.plans import inputs, output_queries, profile_queries, registry, source_queries  # noqa: E402, F401
 from inkveil.session import apply_settings  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -71,6 +71,8 @@ def main() -> None:
     size = registry.table(spark, SF_DIR, "documents").agg(
         F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")
     ).first()
+    # Letters are dense in personal data, documents are prose with little of it.
+    letter_bytes = registry.rows(spark, SF_DIR, inputs.LETTERS).agg(F.sum(F.octet_length("text"))).first()[0]
     seconds = {}
     for name, build in HEADLINE.items():
         # The second of two runs counts: the first also warms up the JVM.
@@ -87,6 +89,8 @@ def main() -> None:
         "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1],
         "documents_per_second": round(size["n"] / main_seconds, 1),
         "megabytes_per_second": round(size["bytes"] / 1e6 / main_seconds, 2),
+        "prose_default_profile_megabytes_per_second": round(size["bytes"] / 1e6 / seconds["documents_default_profile"], 2),
+        "letters_megabytes_per_second": round(letter_bytes / 1e6 / seconds["letters_default_profile"], 2),
     }))
     spark.stop()
 
