@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import apply_settings, saved
+from inkveil.llm.common import apply_settings, saved, without_ids
 from inkveil.llm.decontaminate import contamination
 from inkveil.llm.ngram_join import ngram_components
 from inkveil.llm.packing import pack
@@ -31,12 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     apply_settings(spark)
     groups = saved(ngram_components(docs), "groups")
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = saved(gone, "gone")
+    kept = without_ids(docs, gone)
     again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     again = saved(again.join(gone, "doc_id", "left_anti"), "repeated")
     if not again.head(1):
         return kept
-    rest = kept.join(again, "doc_id", "left_anti").select(docs.columns)
+    rest = without_ids(kept, again)
     texts = kept.join(again, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
     once = texts.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
     return rest.unionAll(once)
@@ -47,7 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     apply_settings(spark)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = saved(found.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, gone)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,3 +131,32 @@ def map_texts(docs: DataFrame, text_col: str, change) -> DataFrame:
             yield batch if keep is None else batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+ID_BITS = 1 << 22
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (one column); null ids stay.
+
+    A table of ``ID_BITS`` bits, at most 65,536 rows of two numbers whatever the size of
+    ``gone``, is broadcast and lets the rows pass whose bit is not set; only the others
+    meet ``gone`` in a join. So texts are shuffled only where an id may be in it.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(ID_BITS))
+    bit = F.expr("shiftleft(1L, cast(__place & 63 as int))")
+    known = gone.select(F.col(gone.columns[0]).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    words = (
+        known.select(place.alias("__place"))
+        .select(F.shiftright("__place", 6).alias("__word"), bit.alias("__bit"))
+        .groupBy("__word")
+        .agg(F.bit_or("__bit").alias("__bits"))
+    )
+    marked = (
+        docs.withColumn("__place", place)
+        .withColumn("__word", F.shiftright("__place", 6))
+        .join(F.broadcast(words), "__word", "left")
+        .withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)))
+    )
+    passing = marked.where(~F.col("__hit")).select(docs.columns)
+    return passing.unionAll(marked.where("__hit").select(docs.columns).join(known, id_col, "left_anti").select(docs.columns))

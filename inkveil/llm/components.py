@@ -42,7 +42,13 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one partition as ``(node, root)``, nodes that are their own root included."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    parts = []
+    for b in batches:
+        if b.num_columns == 1:
+            pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            parts.append((pairs[:, 0], pairs[:, 1]))
+        else:
+            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
     if parts:
         nodes, roots = local_components(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         for k in range(0, len(nodes), 100_000):
@@ -61,14 +67,15 @@ def _state(edges: DataFrame):
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``(node, root)`` for every node of ``edges`` (two columns of long ids); ``root`` is the smallest id reachable.
+    """``(node, root)`` for every node of ``edges``; ``root`` is the smallest id reachable.
 
-    Edges from a node to itself are allowed and make it a node; repeated edges do no harm.
+    ``edges`` has two columns of long ids, or one binary column of many such pairs
+    (little-endian) a row. Edges from a node to itself are allowed and make it a node; repeated edges do no harm.
     No edges give no rows. Null ends are not allowed.
     """
-    a, b = edges.columns
-    edges = saved(edges.select(F.col(a).alias("node"), F.col(b).alias("root")), name)
-    parts = max(1, -(-edges.count() // EDGES_PER_TASK))
+    edges = saved(edges, name)
+    size = F.count("*") if len(edges.columns) == 2 else F.sum(F.octet_length(edges.columns[0])) / 16
+    parts = max(1, -(-int(edges.agg(size).first()[0] or 0) // EDGES_PER_TASK))
     state = saved(edges.repartition(parts).mapInArrow(stars, "node long, root long"), name)
     if parts == 1:
         return state

@@ -115,7 +115,7 @@ def sketch(n_buckets: int, percent: int, width: int):
     """Rows of elements by bucket, and rows of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches, 8 << 20):
+        for ids, texts in text_batches(batches, 3 << 20):
             doc, h = shingle_sets(words_of(texts), width)
             n = np.bincount(doc, minlength=len(ids))
             sets = set_ids(doc, h, len(ids))
@@ -137,9 +137,10 @@ def sketch(n_buckets: int, percent: int, width: int):
                 some = order[ends[k] : ends[k + 1]]
                 if not len(some):
                     continue
-                mine, head = np.unique(em[some], return_inverse=True)
-                heads = sections(sets[of[mine]] | lower[mine].astype(U8), packed(spare[mine]))
-                rows.append((k, heads, sections((key[some] & U8(0xFFFFFFFF)).astype("<u4"), packed(head)), None))
+                # Elements stand in the order of their sets, so a set needs only say how many it has.
+                mine, count = np.unique(em[some], return_counts=True)
+                heads = sections(sets[of[mine]] | lower[mine].astype(U8), packed(spare[mine]), packed(count))
+                rows.append((k, heads, (key[some] & U8(0xFFFFFFFF)).astype("<u4").tobytes(), None))
             yield batch_of(ROWS, *map(list, zip(*rows, strict=True)))
 
     return run
@@ -154,12 +155,11 @@ def counted(n_buckets: int):
             return t
         set_of, spare, keys, heads, base = [], [], [], [], 0
         for a, b in zip(t["heads"].to_pylist(), t["items"].to_pylist(), strict=True):
-            ids, spared = sections_of(a)
-            own, head = sections_of(b)
+            ids, spared, count = sections_of(a)
             set_of.append(np.frombuffer(ids, "<u8"))
             spare.append(unpacked(spared))
-            keys.append(np.frombuffer(own, "<u4"))
-            heads.append(unpacked(head) + base)
+            keys.append(np.frombuffer(b, "<u4"))
+            heads.append(np.repeat(np.arange(base, base + len(set_of[-1])), unpacked(count)))
             base += len(set_of[-1])
         set_of, spare, key, head = map(np.concatenate, (set_of, spare, keys, heads))
         order = np.argsort(key)
@@ -216,28 +216,32 @@ def kept(t: pa.Table) -> pa.Table:
     rows = []
     for k in np.unique(buckets).tolist():
         some = order[slice(*np.searchsorted(buckets[order], [k, k + 1]))]
-        mine, head = np.unique(sets[some], return_inverse=True)
-        rows.append((k, mine.tobytes(), sections(keys[some], packed(head)), None))
+        mine, count = np.unique(sets[some], return_counts=True)
+        rows.append((k, sections(mine, packed(count)), keys[some].tobytes(), None))
     return pa.Table.from_batches([batch_of(ROWS, *map(list, zip(*rows, strict=True)))] if rows else [], ROWS)
 
 
-EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+EDGES = pa.schema([("edges", pa.binary())])
+
+
+def edge_row(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"edges": pa.array([np.stack((a, b), 1).astype("<i8").tobytes()], pa.binary())}, EDGES)
 
 
 def linked(t: pa.Table) -> pa.Table:
     """Sets that share a kept element, as stars of this bucket's components."""
     sets, keys = [], []
     for a, b in zip(t["heads"].to_pylist(), t["items"].to_pylist(), strict=True):
-        own, head = sections_of(b)
-        keys.append(np.frombuffer(own, "<u4"))
-        sets.append(np.frombuffer(a, "<u8")[unpacked(head)] & U8(0xFFFFFFFFFFFFFFFE))
+        own, count = sections_of(a)
+        keys.append(np.frombuffer(b, "<u4"))
+        sets.append(np.repeat(np.frombuffer(own, "<u8"), unpacked(count)) & U8(0xFFFFFFFFFFFFFFFE))
     sets, keys = np.concatenate(sets), np.concatenate(keys)
     sets = sets.view(I8)
     order = np.argsort(keys, kind="stable")
     keys, sets = keys[order], sets[order]
     next_ = np.flatnonzero((keys[1:] == keys[:-1]) & (sets[1:] != sets[:-1]))
     nodes, roots = local_components(sets[next_], sets[next_ + 1])
-    return pa.table({"a": pa.array(nodes, pa.int64()), "b": pa.array(roots, pa.int64())}, EDGES)
+    return edge_row(nodes, roots)
 
 
 MEMBER = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
@@ -337,7 +341,7 @@ def verified(percent: int):
                 nodes.append(ids[some])
                 roots.append(ids[some][root])
         got = [np.concatenate(x) if x else np.zeros(0, I8) for x in (nodes, roots)]
-        return pa.table({"a": pa.array(got[0], pa.int64()), "b": pa.array(got[1], pa.int64())}, EDGES)
+        return edge_row(*got)
 
     return run
 
@@ -381,7 +385,7 @@ def ngram_components(
         .groupBy("bucket")
         .applyInArrow(kept, ROWS_DDL)
         .groupBy("bucket")
-        .applyInArrow(linked, "a long, b long")
+        .applyInArrow(linked, "edges binary")
     )
     blocks = components(edges, "ngram-blocks")
     # One document stands for each set of a block.
@@ -408,7 +412,7 @@ def ngram_components(
     found = (
         sets.withColumn("bucket", F.pmod(F.xxhash64("block", "part"), F.lit(n_buckets)))
         .groupBy("bucket")
-        .applyInArrow(verified(percent), "a long, b long")
+        .applyInArrow(verified(percent), "edges binary")
     )
     comps = components(found, "ngram-found").select(F.col("node").alias("set"), "root")
     in_comp = saved(smallest.join(comps, "set"), "ngram-smallest")

@@ -16,7 +16,7 @@ import numpy as np
 
 from inkveil.llm.bpe import merger
 
-REMEMBERED = 600_000
+REMEMBERED, REMEMBERED_TOKENS = 400_000, 100_000  # words, and what words are cut into
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or re.match(r"\s", c))]
 FIRST = "\x00"  # marks the first word of a text: no space stands before it
 
@@ -85,8 +85,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list:
         """For each text its ids as little-endian unsigned 32-bit integers, or their number."""
-        for memory in (self.of_word, self.of_token):
-            if len(memory) > REMEMBERED:
+        for memory, most in ((self.of_word, REMEMBERED), (self.of_token, REMEMBERED_TOKENS)):
+            if len(memory) > most:
                 memory.clear()
         split = [words(t) if t else [] for t in texts]
         seen: set[str] = set()

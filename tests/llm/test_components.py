@@ -21,5 +21,24 @@ def test_as_union_find(spark, monkeypatch, per_task):
     assert got == {x: groups.find(x) for x in groups.of}
 
 
+def test_packed_edges(spark):
+    import numpy as np
+
+    rows = [(bytearray(np.array(p, "<i8").tobytes()),) for p in ([[1, 2], [5, 5]], [[2, 3]], [])]
+    got = {r.node: r.root for r in components(spark.createDataFrame(rows, "edges binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5}
+
+
+def test_without_ids(spark, monkeypatch):
+    from inkveil.llm import common
+
+    docs = spark.createDataFrame([(k, "t") for k in [*range(300), 7, 8, None]], "doc_id long, text string")
+    gone = spark.createDataFrame([(k,) for k in [*range(0, 300, 7), 999, None]], "g long")
+    for bits in (common.ID_BITS, 64):
+        monkeypatch.setattr(common, "ID_BITS", bits)
+        got = sorted((r.doc_id for r in common.without_ids(docs, gone).collect()), key=repr)
+        assert got == sorted((k for k in [*range(300), 7, 8, None] if k is None or k % 7), key=repr)
+
+
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []

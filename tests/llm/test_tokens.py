@@ -37,6 +37,7 @@ def test_long_word(library):
 
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "REMEMBERED_TOKENS", 2)
     encode = Encoder(PATH)
     for k in range(5):
         texts = [f"word{k} and another one{k}\nline two.", f"x{k}  y"]
