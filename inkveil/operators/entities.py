@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.replace import first_word, last_word, normal_key, person_key
+from inkveil.functions.arrays import let, lookup, lookup_table
+from inkveil.functions.replace import first_word, is_full_name, last_word, normal_key, person_key
 
 
 def entity_key(pii_type: Column, value: Column) -> Column:
@@ -41,11 +42,21 @@ def number_entities(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     persons = entity_map(spans.where(F.col("pii_type") == "person_name"), id_col=id_col).withColumn(
         "first_name", first_word(F.col("entity_key"))
     )
-    full = F.instr("entity_key", " ") > 0
-    parts = persons.where(full).select(
-        id_col, F.explode(F.array(first_word(F.col("entity_key")), last_word(F.col("entity_key")))).alias("entity_key")
-    ).distinct()
-    own = persons.where(full).unionByName(persons.where(~full).join(parts, [id_col, "entity_key"], "left_anti"))
+    rows = persons.groupBy(id_col).agg(
+        F.collect_list(F.struct("entity_key", "first_name", "first_start", "mentions")).alias("all")
+    )
+
+    def remaining(people: Column) -> Column:
+        """Without the bare keys that are a name of a fully named person; lookups are hashed."""
+        full = F.transform(F.filter(people, lambda p: is_full_name(p["entity_key"])), lambda p: p["entity_key"])
+        known = F.concat(F.transform(full, first_word), F.transform(full, last_word))
+        bare = F.transform(F.filter(people, lambda p: ~is_full_name(p["entity_key"])), lambda p: p["entity_key"])
+        return let(
+            lookup_table(F.array_intersect(bare, known), lambda k: k),
+            lambda dropped: F.filter(people, lambda p: lookup(dropped, lambda k: k, p["entity_key"]).isNull()),
+        )
+
+    own = rows.select(id_col, F.explode(remaining(F.col("all"))).alias("p")).select(id_col, "p.*")
     order = Window.partitionBy(id_col, "first_name").orderBy("first_start")
     return own.withColumn("num", F.dense_rank().over(order)).select(
         id_col, "entity_key", "first_name", "first_start", "mentions", "num"
