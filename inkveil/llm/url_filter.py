@@ -27,7 +27,7 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
 DEFAULT = "allow"
 LABEL = "label="
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,13 +83,11 @@ def mine(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
-    max_tokens: int = MAX_TOKENS,
 ) -> DataFrame:
     """``(rule, tokens, verdict, confidence, n, index)`` from ``(tokens, verdict)``.
 
     ``n`` counts the labelled urls that hold the tokens and the label, ``index`` is the
-    rarest of the tokens. Rules of more than ``max_tokens`` tokens are not used. No rows
-    give no rules.
+    rarest of the tokens. Rules may have any number of tokens. No rows give no rules.
     """
     spark = labelled.sparkSession
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items"))
@@ -102,7 +100,7 @@ def mine(
     is_label = lambda i: i.startswith(LABEL)
     n_labels = F.size(F.filter("items", is_label))
     plain = sets.where(n_labels == 0).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
-    with_label = sets.where((n_labels == 1) & (F.size("items") > 1) & (F.size("items") <= max_tokens + 1)).select(
+    with_label = sets.where((n_labels == 1) & (F.size("items") > 1)).select(
         F.array_sort(F.filter("items", lambda i: ~is_label(i))).alias("tokens"),
         F.substring(F.filter("items", is_label)[0], len(LABEL) + 1, 1 << 30).alias("verdict"),
         F.col("freq").alias("n"),

@@ -77,3 +77,38 @@ def test_given_labels_decide(spark):
 def test_no_labels_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://x.org/")], "page_id long, url string")
     assert filter_urls(pages).first().verdict == "allow"
+
+
+def test_rules_of_any_size_by_brute_force(spark):
+    """Only all four tokens together say block: each set of three is as often allowed."""
+    four = ("a", "b", "c", "d")
+    known = [(four, "block")] * 8 + [(some, "allow") for some in combinations(four, 3)] * 8
+    known += [(("e", "f", "g", "h", "i"), "block")] * 8 + [(some, "allow") for some in combinations("efghi", 4)] * 8
+    everything, with_label = Counter(), Counter()
+    for tokens, verdict in known:
+        for n in range(1, len(tokens) + 1):
+            for some in combinations(tokens, n):
+                everything[some] += 1
+                with_label[some, verdict] += 1
+    strong = {k: (c / everything[k[0]], c) for k, c in with_label.items() if c >= 0.01 * len(known) and c / everything[k[0]] >= 0.8}
+    kept = {
+        k: v
+        for k, v in strong.items()
+        if not any(s[1] == k[1] and set(s[0]) < set(k[0]) and w[0] >= v[0] for s, w in strong.items())
+    }
+    assert kept[four, "block"] == (1, 8) and kept[tuple("efghi"), "block"] == (1, 8)
+    df = spark.createDataFrame([(list(t), v) for t, v in known], "tokens array<string>, verdict string")
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.n) for r in mine(df).collect()}
+    assert got == kept
+
+
+def test_rule_of_four_tokens_decides(spark):
+    def url(sub, host, path, name):
+        return f"http://{sub}.{host}.org/{path}?{name}=1"
+
+    block = ("www", "bad", "x", "q")
+    allow = [block[:k] + ("other",) + block[k + 1 :] for k in range(4)]
+    labels = [(url(*block), "block")] * 4 + [(url(*s), "allow") for s in allow] * 4
+    pages = spark.createDataFrame([(1, url(*block)), (2, url(*allow[0]))], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in filter_urls(pages, labels=spark.createDataFrame(labels, "url string, verdict string")).collect()}
+    assert got == {1: "block", 2: "allow"}
