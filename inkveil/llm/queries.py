@@ -13,6 +13,7 @@ from inkveil.llm.decontaminate import contamination
 from inkveil.llm.embedding_dedup import embedding_components
 from inkveil.llm.license_scan import license_scan
 from inkveil.llm.lm_scoring import lm_scores
+from inkveil.llm.mixing import mix_sources
 from inkveil.llm.ngram_join import ngram_components
 from inkveil.llm.packing import pack
 from inkveil.llm.pii import BASE_KINDS, as_text, pii_spans
@@ -198,6 +199,45 @@ def op7_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query(r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+keyed AS (
+    SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS size,
+           md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), md5(text))) AS drawn,
+           greatest(0.05::DOUBLE, coalesce(length(translate(text, '0123456789<>{}[]()=;:/|_#@*+~^%$&', ''))::DOUBLE
+               / nullif(length(text), 0) * (len(list_distinct(string_split(text, chr(10))))::DOUBLE
+               / len(string_split(text, chr(10)))), 0)) AS weight FROM d),
+docs AS (
+    SELECT doc_id, source, size, drawn,
+           -ln((('0x' || substr(drawn, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight AS key FROM keyed),
+sizes AS (
+    SELECT source, sum(size)::BIGINT AS size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+    FROM docs GROUP BY source),
+-- Sources above their limit are set to it, until none is.
+shared AS (
+    SELECT 0 AS step, source, size, w, false AS capped, (SELECT sum(size) FROM sizes)::DOUBLE / (SELECT sum(w) FROM sizes) AS level
+    FROM sizes
+    UNION ALL
+    SELECT step + 1, source, size, w, above, ((SELECT sum(size) FROM sizes) - sum(CASE WHEN above THEN 3 * size ELSE 0 END) OVER ())::DOUBLE
+           / nullif(sum(CASE WHEN above THEN 0 ELSE w END) OVER (), 0)
+    FROM (SELECT *, capped OR level * w > 3 * size AS above, bool_or(NOT capped AND level * w > 3 * size) OVER () AS again FROM shared)
+    WHERE again),
+targets AS (
+    SELECT source, size AS source_size, CASE WHEN capped THEN 3.0 * size ELSE w * level END::DOUBLE AS target
+    FROM shared WHERE step = (SELECT max(step) FROM shared)),
+whole AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+placed AS (
+    SELECT d.*, t.source_size, t.target, t.epochs, t.target - t.epochs * t.source_size AS rest,
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, drawn, doc_id, size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM docs d JOIN whole t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN epochs < 3 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed""")
+def op11_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query()
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
