@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkveil.llm.common import apply_settings
+from inkveil.llm.conversations import conversation_audit, damage
 from inkveil.llm.decontaminate import contamination
 from inkveil.llm.embedding_dedup import embedding_components
 from inkveil.llm.license_scan import license_scan
@@ -238,6 +239,68 @@ def op11_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(r"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+-- CRC-32, bit by bit.
+kinds AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)),
+        lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind FROM named),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id
+               ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS i,
+           regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM damaged),
+rows AS (
+    SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier,
+           CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+stats AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+-- States: 0 nothing yet, 1 behind s, 2 behind u, 3 behind a.
+inserts AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'),
+    (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 3, 'I', chr(10) || 'user:'),
+    (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''),
+    (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 3, 'I', chr(10) || 'user:')) t(a, b, price, sign, turns)),
+steps AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) t(b, initial, c)),
+best AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0, 'audit': '', 'kept': ''} AS way FROM stats
+    UNION ALL
+    SELECT conv_id, i, state, min(way) FROM (
+        SELECT r.conv_id, r.i, e.state, {'cost': best.way.cost + inserts.price + e.price,
+               'audit': best.way.audit || inserts.sign || e.sign, 'kept': best.way.kept || inserts.turns || e.turn} AS way
+        FROM best JOIN inserts ON inserts.a = best.state
+        JOIN rows r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i + 1,
+        LATERAL (
+            SELECT inserts.b AS state, 4 AS price, 'D' AS sign, '' AS turn
+            UNION ALL SELECT c, CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || r.role || ':' || r.text
+            FROM steps WHERE steps.b = inserts.b AND steps.initial = r.initial AND coalesce(r.fault, 'truncated') = 'truncated'
+            UNION ALL SELECT c, CASE WHEN r.fault = 'truncated' THEN 6 ELSE 3 END, 'R',
+                chr(10) || CASE WHEN steps.initial = 'u' THEN 'user:' ELSE 'assistant:' END || r.text
+            FROM steps WHERE steps.b = inserts.b AND steps.initial <> 's' AND coalesce(r.fault, 'truncated') = 'truncated') e) x
+    GROUP BY conv_id, i, state),
+ended AS (
+    SELECT s.conv_id, min({'cost': way.cost + price, 'audit': way.audit || sign, 'kept': way.kept || turns}) AS way
+    FROM stats s JOIN best ON s.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = s.n JOIN inserts ON inserts.a = best.state
+    WHERE inserts.b IN (0, 3) GROUP BY s.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0)::BIGINT AS cost,
+       coalesce(way.audit, '') AS audit, sha256(coalesce(substr(way.kept, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id""")
+def op12_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_audit(damage(conversations), conversations)
+
+
 @query()
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
