@@ -34,6 +34,7 @@ class Merger:
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         self.special = {a["content"]: a["id"] for a in model["added_tokens"]}
         self.of_byte = np.array([vocab[c] for c in byte_characters()], np.int32)
+        self.tokens = [t for t, _ in sorted((vocab | self.special).items(), key=lambda x: x[1])]
         space = byte_characters()[32]
         self.space_first = np.array([i for t, i in vocab.items() if t.startswith(space)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]

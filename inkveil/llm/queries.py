@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from inkveil.llm.alignment import align_tokenizers
 from inkveil.llm.common import apply_settings
 from inkveil.llm.conversations import conversation_audit, damage
 from inkveil.llm.decontaminate import contamination
@@ -301,6 +302,11 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_audit(damage(conversations), conversations)
 
 
+@query()
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 @query()
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
