@@ -66,14 +66,14 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("one_before") % len(weights) + 1).cast("int"))
     numbered = numbered.select("nameless", "name", "size", turn.alias("weight"), (epochs * F.col("size")).alias("limit"))
     numbered = saved(numbered.withColumn("ratio", F.col("limit") / F.col("weight")), "sources")
-    whole = numbered.agg(F.sum("size").alias("all"), F.sum("weight").alias("weights"))
+    whole = numbered.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     by_ratio = numbered.groupBy("ratio").agg(F.sum("limit").alias("limits"), F.sum("weight").alias("weighing"))
-    left = (F.col("all") * F.lit(share) - F.col("limits_before")) / (F.col("weights") - F.col("weighing_before"))
-    levels = sums_before(by_ratio, ["ratio"], ["limits", "weighing"], []).join(F.broadcast(whole)).select("ratio", left.alias("level"))
-    level = levels.where("level <= ratio").agg(F.min_by("level", "ratio").alias("level"))
+    left = (F.lit(whole[0] * share) - F.col("limits_before")) / (F.lit(whole[1]) - F.col("weighing_before"))
+    levels = sums_before(by_ratio, ["ratio"], ["limits", "weighing"], []).select("ratio", left.alias("level"))
+    level = levels.where("level <= ratio").agg(F.min_by("level", "ratio")).first()[0]
     # Where all limits together are below the share no level is found: all are at their limit.
-    found = F.least(F.col("limit").cast("double"), F.col("weight") * F.col("level"))
-    return numbered.join(F.broadcast(level)).select("nameless", "name", "size", found.alias("target"))
+    found = F.least(F.col("limit").cast("double"), F.col("weight") * F.lit(float("inf") if level is None else level))
+    return numbered.select("nameless", "name", "size", found.alias("target"))
 
 
 def mix_sources(
