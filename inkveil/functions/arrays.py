@@ -22,7 +22,7 @@ def built_once(build):
 
     @wraps(build)
     def get(*key) -> Column:
-        context = id(SparkContext._active_spark_context)
+        context = SparkContext.getOrCreate().applicationId
         if (context, key) not in made:
             for old in [k for k in made if k[0] != context]:
                 del made[old]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import patterns as P
 from inkveil.functions.arrays import contains_any, let, lookup, lookup_table, scan, words
+from inkveil.functions.names import COMMON_WORDS
 from inkveil.functions.patterns import CLOSE, OPEN, Rule
 from inkveil.model import SPAN_TYPE
 
@@ -29,6 +30,8 @@ SENTENCE = ".."
 # Any code of a person rule, as it stands after OPEN.
 PERSON_CODES = [r.code for r in P.RULES if r.pii_type == "person_name"]
 PERSON_MARK = f"{OPEN}(?:{'|'.join(PERSON_CODES)})"
+# A company that ends in a legal form, its full stop and no sign of a new sentence.
+FORM_IN_MARK = f"{OPEN}(?:{'|'.join(r.code for r in P.RULES if r.pii_type == 'company')})[^{CLOSE}]*(?:Inc|Ltd|Corp|Co){CLOSE}\\.[ \\t]+(?![\\p{{Lu}}{OPEN}])"
 
 
 def protect(text: Column) -> Column:
@@ -168,45 +171,100 @@ def column_rule(name: str, types: Iterable[str]) -> tuple[Rule, str] | None:
 
 
 def mark_short_names(text: Column) -> Column:
-    """Mark bare first names of persons whose full name stands in the same text.
+    """Mark bare first names and surnames of persons who are named in full (or by title) in the same text.
 
-    The plain stretches are cut into capitalised words once; each word is looked
-    up among the first names, so the work grows with the words, not with names
-    times text.
+    The plain stretches are cut into capitalised words once; each word is looked up
+    among the names, so the work grows with the words, not with names times text. A
+    surname that is a common word, by a list or because the text has it in lower case,
+    does not count at the start of a sentence or before another capitalised word; no surname
+    counts behind one ("Nope Miller" is not the Miller of the text).
     """
-    full = PERSON_MARK + r"([\p{L}'’-]+) "
+    person = f"{OPEN}((?:{'|'.join(PERSON_CODES)})[^{CLOSE}]+){CLOSE}"
     word = rf"{P.NAME_LB}(\p{{Lu}}\p{{L}}*(?:['’-]\p{{L}}+)*){P.NAME_RB}"
-    open_ = OPEN + P.SHORT_PERSON.code
-
-    def in_plain(part: Column, known: Column) -> Column:
-        pieces = F.split(F.regexp_replace(part, word, f"{OPEN}$1{OPEN}"), OPEN)
-
-        def piece(w: Column, i: Column) -> Column:
-            # Of a compound (or a genitive) that is no name itself, the first part counts.
-            lead = F.regexp_extract(w, r"\A(\p{L}+)", 1)
-            return (
-                F.when(i % 2 == 0, w)
-                .when(is_known(known, w), F.concat(F.lit(open_), w, F.lit(CLOSE)))
-                .when(
-                    (lead != w) & is_known(known, lead),
-                    F.concat(F.lit(open_), lead, F.lit(CLOSE), F.substring(w, F.length(lead) + 1, F.length(w))),
+    sentence_start = r"(?:[.!?:]['’\")\]]*\s+|\n\s*)['’\"(\[]*\z"
+    first_code, last_code = OPEN + P.SHORT_PERSON.code, OPEN + P.SHORT_SURNAME.code
+
+    def known_words(t: Column, names: Column) -> Column:
+        """``(word, last, common)`` of the names, first names before surnames."""
+        value = lambda n: F.substring(n, CODE_LEN + 1, F.length(n))
+        full = F.transform(F.filter(names, lambda n: n.contains(" ")), value)
+        titled = F.transform(
+            F.filter(names, lambda n: n.startswith(P.HONORIFIC.code) & ~n.contains(" ")), value
+        )
+
+        def cased(parts: Column) -> Column:
+            """With the usual spelling of words in capitals."""
+            capitals = F.filter(parts, lambda w: (F.length(w) > 1) & (w == F.upper(w)))
+            return F.array_distinct(F.concat(parts, F.transform(capitals, lambda w: F.initcap(F.lower(w)))))
+
+        firsts = cased(F.transform(full, lambda v: F.substring_index(v, " ", 1)))
+        lasts = F.array_except(cased(F.concat(F.transform(full, lambda v: F.substring_index(v, " ", -1)), titled)), firsts)
+
+        def entries(x: Column) -> Column:
+            lower = F.concat(words(COMMON_WORDS), F.split(t, r"[^\p{Ll}]+"))
+            common = F.array_intersect(F.transform(x["lasts"], F.lower), lower)
+            return let(lookup_table(common, lambda c: c), lambda c: F.concat(
+                F.transform(x["firsts"], lambda w: entry(w, F.lit(False), F.lit(False))),
+                F.transform(x["lasts"], lambda w: entry(w, F.lit(True), lookup(c, lambda k: k, F.lower(w)).isNotNull())),
+            ))
+
+        return let(F.struct(firsts.alias("firsts"), lasts.alias("lasts")), entries)
+
+    def entry(word_: Column, last: Column, common: Column) -> Column:
+        return F.struct(word_.alias("word"), last.alias("last"), common.alias("common"))
+
+    def in_plain(part: Column, known: Column, at: Column) -> Column:
+        """A stretch between marks; ``at`` is its place, 0 for the start of the text."""
+        cut = F.split(F.regexp_replace(part, word, f"{OPEN}$1{OPEN}"), OPEN)
+
+        def over(pieces_: Column) -> Column:
+            def bare(e: Column, i: Column) -> Column:
+                def starts(k: Column) -> Column:
+                    before = F.get(pieces_, k - 1)
+                    return before.rlike(sentence_start) | ((k == 1) & (at == 0) & (F.trim(before) == ""))
+
+                # Behind a capitalised word that starts no sentence it is the surname of somebody else.
+                other = e["last"] & (i >= 3) & (F.get(pieces_, i - 1) == " ") & ~starts(i - 2)
+                follows = (F.get(pieces_, i + 1) == " ") & F.get(pieces_, i + 2).isNotNull()
+                return e["word"].isNotNull() & ~(e["common"] & (starts(i) | follows)) & ~other
+
+            def piece(w: Column, i: Column) -> Column:
+                # Of a genitive the name before it counts; of a compound that is no name, the first part if a first name.
+                base = F.regexp_replace(w, "['’]s$", "")
+                lead = F.regexp_extract(w, r"\A(\p{L}+)", 1)
+                found = F.struct(
+                    find(known, w).alias("whole"),
+                    F.when(base != w, find(known, base)).alias("base"),
+                    F.when(lead != w, find(known, lead)).alias("lead"),
                 )
-                .otherwise(w)
-            )
 
-        return F.array_join(F.transform(pieces, piece), "")
+                def marked_part(e: Column, name: Column) -> Column:
+                    code = F.when(e["last"], last_code).otherwise(first_code)
+                    return F.concat(code, name, F.lit(CLOSE), F.substring(w, F.length(name) + 1, F.length(w)))
+
+                return F.when(i % 2 == 0, w).otherwise(let(found, lambda x: (
+                    F.when(bare(x["whole"], i), marked_part(x["whole"], w))
+                    .when(bare(x["base"], i), marked_part(x["base"], base))
+                    .when(bare(x["lead"], i) & ~x["lead"]["last"], marked_part(x["lead"], lead))
+                    .otherwise(w)
+                )))
+
+            return F.array_join(F.transform(pieces_, piece), "")
+
+        return let(cut, over)
 
-    def is_known(known: Column, w: Column) -> Column:
-        return lookup(known, lambda x: x, w).isNotNull()
+    def find(known: Column, w: Column) -> Column:
+        return lookup(known, lambda x: x["word"], w)
 
     def over(t: Column) -> Column:
-        firsts = F.array_distinct(F.regexp_extract_all(t, F.lit(full), 1))
+        names = F.array_distinct(F.regexp_extract_all(t, F.lit(person), 1))
         # Between marks: plain text at even places, a mark's code and value at odd ones.
         parts = F.split(t, f"[{OPEN}{CLOSE}]")
-        marked_ = let(lookup_table(firsts, lambda x: x), lambda known: F.array_join(F.transform(
-            parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(in_plain(p, known))
+        table = lookup_table(let(names, lambda n: known_words(t, n)), lambda x: x["word"])
+        marked_ = let(table, lambda known: F.array_join(F.transform(
+            parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(in_plain(p, known, i))
         ), ""))
-        return F.when(t.contains(OPEN) & t.rlike(full), marked_).otherwise(t)
+        return F.when(t.contains(OPEN) & t.rlike(PERSON_MARK), marked_).otherwise(t)
 
     return let(text, over)
 
@@ -214,7 +272,7 @@ def mark_short_names(text: Column) -> Column:
 def mark_personal_amounts(text: Column) -> Column:
     """Mark money amounts standing in a sentence or line that names a person."""
     # A full stop after a title or a legal form does not end a sentence.
-    end = F.lit(f"({MARKED}|{P.LB}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Inc|Ltd|Corp|Co)\\.[ \\t]+)|([.!?][ \\t]+|\\n)")
+    end = F.lit(f"({FORM_IN_MARK}|{MARKED}|{P.LB}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Inc|Ltd|Corp|Co)\\.[ \\t]+)|([.!?][ \\t]+|\\n)")
 
     def over(t: Column) -> Column:
         ended = F.regexp_replace(t, end, F.lit(f"$1{OPEN}{SENTENCE}$2{CLOSE}"))

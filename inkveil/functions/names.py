@@ -14,6 +14,13 @@ FIRST_NAMES = (
     "Virginia Alice Bob Tom Jane Carlos Luis Ahmed Fatima Priya Hans Pierre Sofia"
 ).split()
 
+# Surnames that may also begin a sentence as a common word, without an article.
+COMMON_WORDS = (
+    "white black brown green gray grey young long short little best good rich strong wise early english small sharp "
+    "west north summer winter spring snow day love may mark will grant chase cross fall fish hunt march park price rice "
+    "power pace light gold stone wood banks waters"
+).split()
+
 # Company names known without a legal suffix.
 COMPANIES = (
     "Google,Microsoft,Amazon,Apple,Facebook,Netflix,Intel,Oracle,Siemens,Samsung,Toyota,Volkswagen,"

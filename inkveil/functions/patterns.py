@@ -64,6 +64,13 @@ CITY = "(?:[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2}|[A-Z]{3,20}(?: [A-Z]{3,20}
 ZIP = "[0-9]{5}(?:-[0-9]{4})?"
 CITY_STATE = f"{CITY},? (?:{STATES})(?: {ZIP})?{RB}"
 UNIT = "(?:Apt|Suite|Ste|Unit)\\.? [A-Za-z0-9-]{1,8}"
+# A unit before the street, and what stands behind a town in other countries.
+UNIT_FIRST = "(?:Flat|FLAT|Apartment|Apt|Suite|Unit|UNIT|Level|Shop)\\.? [A-Za-z0-9]{1,6}(?:,|/|,? )? ?"
+UK_CODE = "[A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}"
+CANADA_CODE = "(?:AB|BC|MB|NB|NL|NS|NT|NU|ON|PE|QC|SK|YT),? [A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]"
+AUSTRALIA_CODE = "(?:NSW|VIC|QLD|WA|SA|TAS|ACT|NT),? [0-9]{4}"
+OTHER_CODE = f"(?:{UK_CODE}|{CANADA_CODE}|{AUSTRALIA_CODE})"
+TOWN = f"(?:{CITY},? {OTHER_CODE}{RB}|{CITY_STATE})"
 
 MONTHS = (
     "January|February|March|April|May|June|July|August|September|October|November|December|"
@@ -74,6 +81,7 @@ DATE = (
     "|[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{4}|[0-9]{2})"
     f"|(?i:{MONTHS})\\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}"
     f"|[0-9]{{1,2}}(?:st|nd|rd|th)? (?:of )?(?i:{MONTHS})\\.?,? [0-9]{{4}}"
+    f"|[0-9]{{1,2}}[-/.](?i:{MONTHS})[-/.](?:[0-9]{{4}}|[0-9]{{2}})"
     f"|(?i:{MONTHS})\\.?,? [0-9]{{4}})"
 )
 # A birth cue may stand up to this far before its date, in the same line.
@@ -163,51 +171,60 @@ AGE_DOB = Rule(
     cue=f"{LB}(?:[Aa]ged?|AGED?)[ :][0-9]{{1,3}}[ ,(]{{1,3}}",
     hints=("ge ", "ged ", "ge:", "ged:", "GE ", "GED ", "GE:", "GED:"),
 )
-PHONE = Rule(
-    "ph", "phone", "phone", "+(0-9",
-    (
-        # international
-        "(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:(?:[ .-]?[0-9]{2}){4}|(?:[ .-]?[0-9]{3,4}){2})"
-        # area code in brackets
-        "|\\([0-9]{2,4}\\) ?[0-9]{3,4}[ .-][0-9]{4}"
-        # area code with separators, leading 1 allowed
-        f"|{LB}(?:1[ .-])?[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}"
-        f"|{LB}1[ .-]\\([0-9]{{3}}\\) ?[0-9]{{3}}[ .-][0-9]{{4}}"
-        # international with 00
-        f"|{LB}00[0-9]{{1,3}}[ .-]?[0-9]{{1,4}}(?:[ .-]?[0-9]{{3,4}}){{2}}"
-        # ten digits in a row, or a leading 0 and pairs
-        f"|{LB}(?:[2-9][0-9]{{9}}|0[1-9][0-9]{{8}})"
-        f"|{LB}0[1-9](?:[ .-][0-9]{{2}}){{4}}"
-        # leading 0
-        f"|{LB}0[0-9]{{1,4}}[ -][0-9]{{3,4}}[ -][0-9]{{3,4}}|{LB}0[0-9]{{3,4}}[ -][0-9]{{6}}"
-        # seven digits
-        f"|{LB}[0-9]{{3}}-[0-9]{{4}})"
-        f"{RB}"
-    ),
+# An age alone, where no date follows it.
+AGE = Rule(
+    "ga", "date_of_birth", "age", "Aa0-9",
+    f"(?:(?<=[ :])[0-9]{{1,3}}{RB}(?![ ,(]{{1,3}}{OPEN})|{LB}[0-9]{{1,3}}(?=(?: years old| years of age|-year-old){RB}))",
+    cue=f"(?:{LB}(?:[Aa]ged?|AGED?)(?: of)?[ :]{{1,2}}|{LB}(?=[0-9]{{1,3}}(?: years o|-year-o)))",
+    hints=("ge ", "ged ", "ge:", "ged:", "GE ", "GED ", "GE:", "GED:", " years o", "-year-o"),
 )
+_SEP = "[ .-]"
+PHONE_SHAPES = [
+    # international, the trunk zero in brackets
+    f"\\+[0-9]{{1,3}}{_SEP}?\\(0\\) ?[0-9]{{1,4}}(?:{_SEP}?[0-9]{{3,4}}){{2}}",
+    # international
+    f"\\+[0-9]{{1,3}}{_SEP}?(?:\\([0-9]{{1,4}}\\)|[0-9]{{1,4}})(?:(?:{_SEP}?[0-9]{{2}}){{4}}|(?:{_SEP}?[0-9]{{3,4}}){{2}})",
+    # area code in brackets
+    f"\\([0-9]{{2,4}}\\) ?[0-9]{{3,4}}{_SEP}[0-9]{{4}}",
+    # area code with separators, leading 1 allowed
+    f"{LB}(?:1{_SEP})?[0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}",
+    f"{LB}1{_SEP}\\([0-9]{{3}}\\) ?[0-9]{{3}}{_SEP}[0-9]{{4}}",
+    # international with 00: with one kind of separator throughout, or up to 12 digits in a row
+    *(f"{LB}00[0-9]{{1,3}}{sep}[0-9]{{1,4}}(?:{sep}[0-9]{{3,4}}){{2}}" for sep in (" ", "\\.", "-")),
+    f"{LB}00[0-9]{{8,10}}",
+    # ten digits in a row, or a leading 0 and pairs
+    f"{LB}(?:[2-9][0-9]{{9}}|0[1-9][0-9]{{8}})",
+    f"{LB}0[1-9](?:{_SEP}[0-9]{{2}}){{4}}",
+    # leading 0
+    f"{LB}0[0-9]{{1,4}}[ -][0-9]{{3,4}}[ -][0-9]{{3,4}}",
+    f"{LB}0[0-9]{{3,4}}[ -][0-9]{{6}}",
+    # seven digits
+    f"{LB}[0-9]{{3}}-[0-9]{{4}}",
+]
+PHONE = Rule("ph", "phone", "phone", "+(0-9", f"(?:{'|'.join(PHONE_SHAPES)}){RB}")
 STREET = Rule(
-    "st", "address", "street", "0-9",
+    "st", "address", "street", "0-9FASUL",
     (
-        f"{LB}[0-9]{{1,6}}[A-Za-z]? (?:(?:[A-Z][A-Za-z'’.-]{{0,20}}|[0-9]{{1,3}}(?:st|nd|rd|th|ST|ND|RD|TH)) ){{1,4}}"
+        f"{LB}(?:{UNIT_FIRST})?[0-9]{{1,6}}[A-Za-z]? (?:(?:[A-Z][A-Za-z'’.-]{{0,20}}|[0-9]{{1,3}}(?:st|nd|rd|th|ST|ND|RD|TH)) ){{1,4}}"
         f"(?:{STREET_WORDS}|{UPPER_STREET_WORDS}|{LOWER_STREET_WORDS}){RB}\\.?"
-        f"(?:,? {UNIT})?(?:,? {CITY_STATE})?"
+        f"(?:,? {UNIT})?(?:,? {TOWN})?"
     ),
     gate="[0-9][A-Za-z]? [A-Z0-9]",
 )
 PO_BOX = Rule(
     "po", "address", "po_box", "P",
-    f"{LB}P\\.?O\\.? ?(?:Box|BOX) [0-9]{{1,8}}{RB}(?:,? {CITY_STATE})?",
+    f"{LB}P\\.?O\\.? ?(?:Box|BOX) [0-9]{{1,8}}{RB}(?:,? {TOWN})?",
     hints=("Box ", "BOX "),
 )
 CITY_ZIP = Rule(
     "cz", "address", "city_zip", "A-Z",
-    f"{LB}{CITY},? (?:{STATES}) {ZIP}{RB}",
+    f"{LB}{CITY},? (?:(?:{STATES}) {ZIP}|{OTHER_CODE}){RB}",
 )
 
 COMPANY = Rule(
     "co", "company", "legal_form", r"\p{Lu}",
     (
-        f"{NAME_LB}(?:(?:{COMPANY_WORD} ){{0,3}}{COMPANY_WORD},? (?:{LEGAL_FORMS}){NAME_RB}"
+        f"{NAME_LB}(?:(?:{COMPANY_WORD} (?:& )?){{0,3}}{COMPANY_WORD},? (?:{LEGAL_FORMS}){NAME_RB}"
         f"|(?!{any_of(FIRST_NAMES)} )(?:{COMPANY_WORD} ){{1,4}}(?:{COMPANY_NOUNS}){NAME_RB}(?! (?:{OFFICES}){NAME_RB}))"
     ),
     gate=r"[\p{L}0-9&',-] \p{Lu}",
@@ -227,9 +244,14 @@ KNOWN_PERSON = Rule(
     "kp", "person_name", "first_name_list", "A-Z", person_target(any_of(FIRST_NAMES)),
     gate=r"\p{L} \p{Lu}",
 )
+# What may follow "Dear" and the like without being a name.
+NO_NAMES = (
+    "Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Sir|Sirs|Madam|All|Team|Customer|Customers|Colleague|Colleagues|Friend|Friends|"
+    "Everyone|Everybody|There|World|Reader|Readers|Hiring"
+)
 LABELLED_PERSON = Rule(
     "lp", "person_name", "label", "NnCADHTF*",
-    f"(?:{WORD}(?: (?:{WORD}|{INITIAL})){{0,2}}|{UPPER_NAME}){NAME_RB}",
+    f"(?!(?:{NO_NAMES}){NAME_RB})(?:{WORD}(?: (?:{WORD}|{INITIAL})){{0,2}}|{UPPER_NAME}){NAME_RB}",
     cue=(
         f"(?:{LB}(?:(?:[Nn]ame|NAME): ?|Contact: ?|Attn:? |Dear |Hello |Hi )"
         "|\\*\\*(?:From|To|Cc):\\*\\* \"?|(?:From|To|Cc): \"?)"
@@ -250,7 +272,7 @@ AMOUNT = Rule(
 AMOUNT_GATE = "(?:[$€£] ?|USD |EUR |GBP )[0-9]|[0-9](?: ?(?:million|thousand))? ?" + CURRENCY
 
 DIGIT_RULES = [
-    IBAN, CARD, ACCOUNT, SSN, CODED_ID, CUED_ID, DOB, AGE_DOB, PHONE, STREET, PO_BOX, CITY_ZIP,
+    IBAN, CARD, ACCOUNT, SSN, CODED_ID, CUED_ID, DOB, AGE_DOB, AGE, PHONE, STREET, PO_BOX, CITY_ZIP,
 ]
 COMPANY_RULES = [COMPANY, KNOWN_COMPANY]
 PERSON_RULES = [HONORIFIC, KNOWN_PERSON, LABELLED_PERSON]
@@ -265,12 +287,13 @@ TABLE_FINANCIAL = Rule("tf", "financial", "financial_column", "", "")
 TABLE_ID = Rule("ti", "id_numbers", "id_column", "", "")
 TABLE_DOB = Rule("td", "date_of_birth", "dob_column", "", "")
 SHORT_PERSON = Rule("sp", "person_name", "short_name", "", "")
+SHORT_SURNAME = Rule("sn", "person_name", "short_surname", "", "")
 GAZETTEER_PERSON = Rule("gp", "person_name", "gazetteer_person", "", "")
 GAZETTEER_COMPANY = Rule("gc", "company", "gazetteer_company", "", "")
 
 RULES = [
     EMAIL, *DIGIT_RULES, *COMPANY_RULES, GAZETTEER_COMPANY, *PERSON_RULES, GAZETTEER_PERSON,
-    TABLE_PERSON, SHORT_PERSON, AMOUNT,
+    TABLE_PERSON, SHORT_PERSON, SHORT_SURNAME, AMOUNT,
     TABLE_EMAIL, TABLE_PHONE, TABLE_COMPANY, TABLE_ADDRESS, TABLE_FINANCIAL, TABLE_ID, TABLE_DOB,
 ]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import names as N
 from inkveil.functions.arrays import let, lookup, lookup_table, words
-from inkveil.functions.patterns import CITY, STATES, STREET_WORDS, ZIP
+from inkveil.functions.patterns import CITY, OTHER_CODE, STATES, STREET_WORDS, UNIT_FIRST, ZIP
 from inkveil.model import REMOVED
 
 REDACTED = "[REDACTED]"
@@ -88,7 +88,7 @@ def phone_prefix(value: Column) -> Column:
 
     def over(v: Column) -> Column:
         spaced = F.regexp_extract(
-            v, "^((?:\\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\\([0-9]{1,4}\\)|[0-9]{1,4}[ .-]))", 1
+            v, "^((?:\\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\\(0\\) ?[0-9]{1,4}[ .-]|\\([0-9]{1,4}\\)|[0-9]{1,4}[ .-]))", 1
         )
         solid = F.regexp_extract(v, SOLID_COUNTRY + "[0-9]{3}", 0)
         return (
@@ -107,7 +107,7 @@ def keep_phone_area(value: Column) -> Column:
         def parts(x: Column) -> Column:
             rest = F.substring(x["p"], F.length(x["c"]) + 2, F.length(x["p"]))
             after_country = F.when(x["c"] != "", rest).otherwise(F.regexp_replace(x["p"], "^1[ .-]", ""))
-            area = F.regexp_replace(after_country, "[^0-9]", "")
+            area = F.regexp_replace(F.regexp_replace(after_country, "\\(0\\)", ""), "[^0-9]", "")
             return F.concat(
                 F.when(x["c"] != "", F.concat(F.lit("+"), x["c"], F.lit(" "))).otherwise(""),
                 F.when(area != "", F.concat(F.lit("("), area, F.lit(") "))).otherwise(""),
@@ -126,34 +126,39 @@ def invent_phone(value: Column, salt: Column) -> Column:
 # -- address ----------------------------------------------------------------
 
 def invent_address(value: Column, salt: Column) -> Column:
-    """Same shape: number, street, town, state and code each replaced in place."""
+    """Same shape: unit, number, street, town, state and code each replaced in place."""
     tail = f"({CITY})(,? )({STATES})((?: {ZIP})?)$"
-    street = f"^([0-9]+[A-Za-z]?) (.+?) ((?:{STREET_WORDS})\\.?(?:,.*| (?:Apt|Suite|Ste|Unit).*)?)$"
+    abroad = f"({CITY})(,? {OTHER_CODE})$"
+    street = f"^((?:{UNIT_FIRST})?)([0-9]+[A-Za-z]?) (.+?) ((?:{STREET_WORDS})\\.?(?:,.*| (?:Apt|Suite|Unit).*)?)$"
+    cities = [c for c, _ in N.INVENTED_CITIES]
 
     def over(x: Column) -> Column:
         v, h = x["v"], x["h"]
-        town = F.regexp_extract(v, tail, 0)
+        home, other = F.regexp_extract(v, tail, 0), F.regexp_extract(v, abroad, 0)
+        town = F.when(other != "", other).otherwise(home)
         front = F.substring(v, F.lit(1), F.length(v) - F.length(town))
 
         def rebuilt(y: Column) -> Column:
             f, t = y["f"], y["t"]
-            name = F.regexp_extract(f, street, 2)
+            name = F.regexp_extract(f, street, 3)
             new_name = pick(N.INVENTED_STREETS, h)
             # Never the street it was.
             new_name = F.when(new_name == name, pick(N.INVENTED_STREETS, h + 1)).otherwise(new_name)
             new_front = F.when(
                 name != "",
                 F.concat(
-                    fake_digits(F.regexp_extract(f, street, 1), salt), F.lit(" "), new_name, F.lit(" "),
-                    F.regexp_extract(f, street, 3),
+                    fake_digits(F.regexp_extract(f, street, 1), salt), fake_digits(F.regexp_extract(f, street, 2), salt),
+                    F.lit(" "), new_name, F.lit(" "), F.regexp_extract(f, street, 4),
                 ),
             ).otherwise(fake_digits(f, salt))
-            old_city = F.regexp_extract(t, tail, 1)
-            shift = F.when(pick([c for c, _ in N.INVENTED_CITIES], h) == old_city, 1).otherwise(0)
+            old_city = F.when(y["abroad"], F.regexp_extract(t, abroad, 1)).otherwise(F.regexp_extract(t, tail, 1))
+            shift = F.when(pick(cities, h) == old_city, 1).otherwise(0)
             new_town = F.when(
+                y["abroad"], F.concat(pick(cities, h + shift), fake_digits(F.regexp_extract(t, abroad, 2), salt))
+            ).when(
                 t != "",
                 F.concat(
-                    pick([c for c, _ in N.INVENTED_CITIES], h + shift),
+                    pick(cities, h + shift),
                     F.regexp_extract(t, tail, 2),
                     pick([s for _, s in N.INVENTED_CITIES], h + shift),
                     fake_digits(F.regexp_extract(t, tail, 4), salt),
@@ -161,7 +166,7 @@ def invent_address(value: Column, salt: Column) -> Column:
             ).otherwise("")
             return F.concat(new_front, new_town)
 
-        return let(F.struct(front.alias("f"), town.alias("t")), rebuilt)
+        return let(F.struct(front.alias("f"), town.alias("t"), (other != "").alias("abroad")), rebuilt)
 
     key = normal_key(value)
     return let(F.struct(value.alias("v"), hash_number(key, salt).alias("h")), over)
@@ -314,6 +319,38 @@ def person_entities(items: Column) -> Column:
     )
 
 
+def person_tables(entities: Column) -> Column:
+    """The persons of :func:`person_entities` by key, by first name and by last name; see :func:`resolved_person`."""
+    return F.struct(
+        lookup_table(entities, lambda x: x["key"]).alias("by_key"),
+        lookup_table(entities, lambda x: x["first"]).alias("by_first"),
+        lookup_table(entities, lambda x: last_word(x["key"])).alias("by_last"),
+    )
+
+
+def by_surname(rule: Column) -> Column:
+    """Whether a mention of this rule names a person by the surname."""
+    return rule.isin("honorific", "short_surname")
+
+
+def resolved_person(p: Column, tables: Column) -> Column:
+    """The person that a mention means, an entry of :func:`person_entities`.
+
+    That of its own key; else the first with its word as first or last name,
+    a title or the rule for surnames asking for the last name first.
+    """
+
+    def resolve(k: Column) -> Column:
+        by_first = lookup(tables["by_first"], lambda e: e["first"], k)
+        by_last = lookup(tables["by_last"], lambda e: last_word(e["key"]), k)
+        return F.coalesce(
+            lookup(tables["by_key"], lambda e: e["key"], k),
+            F.when(by_surname(p["rule"]), F.coalesce(by_last, by_first)).otherwise(F.coalesce(by_first, by_last)),
+        )
+
+    return let(person_key(p["value"]), resolve)
+
+
 def company_keys(items: Column) -> Column:
     """Distinct company keys of one document by first appearance."""
     found = F.filter(items, lambda p: p["pii_type"] == "company")
@@ -375,9 +412,7 @@ def entity_context(items: Column, actions: dict, salt: Column, doc_key: Column)
 
         def tables(e: Column) -> Column:
             return F.struct(
-                lookup_table(e, lambda x: x["key"]).alias("by_key"),
-                lookup_table(e, lambda x: x["first"]).alias("by_first"),
-                lookup_table(e, lambda x: last_word(x["key"])).alias("by_last"),
+                person_tables(e).alias("tables"),
                 F.when(
                     _action(person) == "invent",
                     invented_names(
@@ -404,27 +439,18 @@ def entity_context(items: Column, actions: dict, salt: Column, doc_key: Column)
 
 def person_replacement(p: Column, context: Column, action: Column) -> Column:
     removed = F.lit(REMOVED["person_name"])
-    titled = p["rule"] == "honorific"
     persons = context["persons"]
 
-    def resolve(k: Column) -> Column:
-        by_first = lookup(persons["by_first"], lambda e: e["first"], k)
-        by_last = lookup(persons["by_last"], lambda e: last_word(e["key"]), k)
-        return F.coalesce(
-            lookup(persons["by_key"], lambda e: e["key"], k),
-            F.when(titled, F.coalesce(by_last, by_first)).otherwise(F.coalesce(by_first, by_last)),
-        )
-
     def named(e: Column) -> Column:
-        # A lone surname after a title has no first name to keep.
-        surname_only = titled & ~is_full_name(e["key"])
+        # A lone surname has no first name to keep.
+        surname_only = by_surname(p["rule"]) & ~is_full_name(e["key"])
         return (
             F.when(action == "invent", F.initcap(F.get(persons["invented"], e["ord"] - 1)))
             .when(surname_only, removed)
             .otherwise(F.concat_ws(" ", e["shown"], e["num"].cast("string")))
         )
 
-    return F.when(action == "delete", removed).otherwise(let(resolve(person_key(p["value"])), named))
+    return F.when(action == "delete", removed).otherwise(let(resolved_person(p, persons["tables"]), named))
 
 
 def company_replacement(p: Column, context: Column, action: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
-from inkveil.operators.actions import replaced_spans
-from inkveil.operators.entities import entity_key
+from inkveil.functions.arrays import let
+from inkveil.operators.entities import resolved_keys
 
 # Structure marks: pattern per kind.
 STRUCTURE = {
@@ -34,19 +34,23 @@ def check_structure(df: DataFrame, before: str, after: str, id_col: str = "doc_i
     return out.withColumn("same", same[0] & same[1] & same[2] & same[3])
 
 
-def check_consistency(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Entities of a document with their number of different replacements (1 is right).
+def check_consistency(df: DataFrame, id_col: str = "doc_id", scope: str = "document") -> DataFrame:
+    """Entities with their number of different replacements (1 is right).
 
-    Takes documents with ``applied``; only span rows are shuffled.
+    Takes documents with ``applied``. Mentions are resolved as replacing does, so a
+    person whose surname alone was given another replacement is found; ``scope='corpus'``
+    counts over all documents. Only span rows are shuffled.
     """
+    spans = F.filter("applied", lambda p: p["pii_type"].isNotNull())
+    found = let(spans, lambda items: resolved_keys(items, lambda p, key, e, i: F.struct(
+        p["pii_type"].alias("pii_type"), key.alias("entity_key"), p["replacement"].alias("replacement")
+    )))
+    keys = ["pii_type", "entity_key"] if scope == "corpus" else [id_col, "pii_type", "entity_key"]
     return (
-        replaced_spans(df, [id_col])
-        .withColumn("entity_key", entity_key(F.col("pii_type"), F.col("value")))
-        .groupBy(id_col, "pii_type", "entity_key")
-        .agg(
-            F.countDistinct("replacement").alias("replacements"),
-            F.count("*").alias("mentions"),
-        )
+        df.select(id_col, F.explode(F.filter(found, lambda m: m.isNotNull())).alias("m"))
+        .select(id_col, "m.*")
+        .groupBy(*keys)
+        .agg(F.countDistinct("replacement").alias("replacements"), F.count("*").alias("mentions"))
     )
 
 

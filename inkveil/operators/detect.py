@@ -59,7 +59,7 @@ def detect_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def detect_dob(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return _detect_rules(df, [P.DOB, P.AGE_DOB], id_col, text_col)
+    return _detect_rules(df, [P.DOB, P.AGE_DOB, P.AGE], id_col, text_col)
 
 
 def passes_luhn(value: Column) -> Column:

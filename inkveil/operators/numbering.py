@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.scratch import new_folder
+
 RANGES = 256
 
 
@@ -30,3 +32,21 @@ def number_rows(df: DataFrame, order_col: str, start: int, out_col: str) -> Data
         .withColumn(out_col, (F.lit(start - 1) + F.col("_offset") + inside).cast("int"))
         .drop("_bucket", "_offset")
     )
+
+
+def number_within(df: DataFrame, groups: list[str], order: list[str], out_col: str) -> DataFrame:
+    """Number the rows of each group 1, 2, ... by ``order``, which no two rows of a group share.
+
+    For groups of any size: rows are dealt out by ranges of ``order`` and written down,
+    so that a range stays what it is when a task is run again; they are counted by range
+    and group, and only these counts are summed up along a group.
+    """
+    path = new_folder(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    keys = [*groups, "_range"]
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return ranged.join(offsets, keys).withColumn(out_col, F.col("_offset") + inside).drop("_range", "_offset")

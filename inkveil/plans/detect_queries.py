@@ -11,15 +11,22 @@ from inkveil.operators.actions import sanitize_documents
 from inkveil.model import DEFAULT_ACTIONS
 from inkveil.plans.inputs import LETTERS, letter_spans
 from inkveil.plans.registry import query, rows, table
+from inkveil.plans.sentences import FIRST_NAME, sentences, spans_of
 
 # The same shapes in RE2 notation; \b stands for the ASCII neighbour tests.
 RE2_EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,}"
-RE2_PHONE = (
-    r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:(?:[ .-]?[0-9]{2}){4}|(?:[ .-]?[0-9]{3,4}){2})"
-    r"|\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}"
-    r"|\b(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\b1[ .-]\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
-    r"|\b0[0-9]{1,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|\b0[0-9]{3,4}[ -][0-9]{6}|\b[0-9]{3}-[0-9]{4})\b"
-)
+_PHONES = [
+    r"\+[0-9]{1,3}[ .-]?\(0\) ?[0-9]{1,4}(?:[ .-]?[0-9]{3,4}){2}",  # +44 (0)20 7946 0958
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:(?:[ .-]?[0-9]{2}){4}|(?:[ .-]?[0-9]{3,4}){2})",  # +1 (555) 123-4567
+    r"\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}",  # (555) 123-4567
+    r"\b(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",  # 555.123.4567
+    r"\b1[ .-]\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}",  # 1 (555) 123-4567
+    r"\b00[0-9]{1,3}(?: [0-9]{1,4}(?: [0-9]{3,4}){2}|\.[0-9]{1,4}(?:\.[0-9]{3,4}){2}|-[0-9]{1,4}(?:-[0-9]{3,4}){2})",
+    r"\b00[0-9]{8,10}|\b[2-9][0-9]{9}|\b0[1-9][0-9]{8}",  # up to twelve digits in a row after 00, or ten
+    r"\b0[1-9](?:[ .-][0-9]{2}){4}",  # 01 23 45 67 89
+    r"\b0[0-9]{1,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|\b0[0-9]{3,4}[ -][0-9]{6}|\b[0-9]{3}-[0-9]{4}",
+]
+RE2_PHONE = f"(?:{'|'.join(_PHONES)})\\b"
 RE2_CARD = r"\b(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})\b"
 
 BAR = "chr(1)"
@@ -88,6 +95,30 @@ _on_letters(
 )
 
 
+def _on_sentences(detect, name: str, pii_type: str, key: str):
+    """Forty shapes of a type, of which each customer has one."""
+
+    @query(spans_of(name, pii_type), key)
+    def on_sentences(spark, sf_dir):
+        found = detect(rows(spark, sf_dir, sentences(name)))
+        return found.select("doc_id", "pii_type", "start", "value")
+
+
+for _detect, _type in (
+    (D.detect_person, "person_name"), (D.detect_email, "email"), (D.detect_phone, "phone"), (D.detect_company, "company"),
+    (D.detect_address, "address"), (D.detect_financial_numbers, "financial"), (D.detect_ids, "id_numbers"), (D.detect_dob, "date_of_birth"),
+):
+    _on_sentences(_detect, _type, _type, f"{_detect.__name__}_in_sentences")
+_on_sentences(D.detect_personal_amounts, "personal_amount", "financial", "detect_personal_amounts_in_sentences")
+
+
+# Whoever is named again by surname, first name or title keeps one replacement.
+@query(sentences("person_name", lambda p: f"{FIRST_NAME} || ' 1'", "content"))
+def keep_first_name_in_sentences(spark, sf_dir):
+    texts = rows(spark, sf_dir, sentences("person_name"))
+    return sanitize_documents(texts, {"person_name": "keep_part"}).select("doc_id", "content")
+
+
 @query(letter_spans(lambda p: True))
 def detect_all(spark, sf_dir):
     actions = {**DEFAULT_ACTIONS, "company": "invent"}

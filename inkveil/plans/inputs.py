@@ -113,8 +113,11 @@ def letter_text(replace=lambda part: part.sql) -> str:
 LETTERS = f"SELECT c_custkey AS doc_id, {letter_text()} AS text FROM customer"
 
 
-def letter_spans(wanted) -> str:
-    """Expected span rows of the letters: offsets are the lengths of what comes before."""
+def letter_spans(wanted, extra=lambda part: {}) -> str:
+    """Expected span rows of the letters: offsets are the lengths of what comes before.
+
+    ``extra(part)`` names further columns and their SQL.
+    """
     selects = []
     before = "0"
     for p in LETTER:
@@ -122,14 +125,22 @@ def letter_spans(wanted) -> str:
             rule = f"'{p.rule}'"
             if p.rule == "street":
                 rule = "CASE c_custkey % 2 WHEN 0 THEN 'street' ELSE 'po_box' END"
+            more = "".join(f", {sql} AS {name}" for name, sql in extra(p).items())
             selects.append(
                 f"SELECT c_custkey AS doc_id, '{p.pii_type}' AS pii_type, {rule} AS rule, "
-                f"CAST({before} AS INT) AS start, {p.sql} AS value FROM customer"
+                f"CAST({before} AS INT) AS start, {p.sql} AS value{more} FROM customer"
             )
         before += f" + length({p.sql})"
     return " UNION ALL ".join(selects)
 
 
+def letter_entity(part: Part) -> str:
+    """The entity a part of the letter means: a title or a bare name is the person of the first line."""
+    if part.entity is not None:
+        return f"lower({F} || ' ' || {L2 if part.entity == 'two' else L1})"
+    return f"lower({part.sql})"
+
+
 # -- files -------------------------------------------------------------------
 
 EXTENSIONS = [".txt", ".DOCX", ".pdf", ".xlsx", ".xls", ".csv", ".eml", ".xyz", "", ".tar.txt"]

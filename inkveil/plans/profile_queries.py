@@ -19,7 +19,7 @@ from inkveil.operators import profiles as P
 from inkveil.operators import uploads as U
 from inkveil.plans import inputs as I
 from inkveil.plans.registry import query, rows, table
-from inkveil.plans.scratch import new_folder
+from inkveil.scratch import new_folder
 
 NOW = dt.datetime(2024, 1, 15, 12, 0, 0)
 NOW_SQL = "TIMESTAMP '2024-01-15 12:00:00'"

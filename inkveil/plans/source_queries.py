@@ -10,7 +10,7 @@ from inkveil.plans import inputs as I
 from inkveil.plans import sample_files as S
 from inkveil.plans.action_queries import DEFAULT_DOCS
 from inkveil.plans.registry import query, rows, table
-from inkveil.plans.scratch import new_folder
+from inkveil.scratch import new_folder
 from inkveil.sources import docx, eml, intake, router, tables, text, xlsx
 from inkveil.streaming.expiry import expire_stream
 from inkveil.streaming.files import stream_files as run_stream
