@@ -15,6 +15,7 @@ from inkveil.functions import marks as M
 from inkveil.functions import patterns as P
 from inkveil.functions.arrays import built_once, let, scan, words
 from inkveil.model import PII_TYPES, SPAN_TYPE
+from inkveil.operators.gazetteer import text_words, with_names
 
 # Gazetteers up to this size go into the expression itself.
 INLINE_BYTES = 256 * 1024
@@ -90,7 +91,7 @@ def detect_company(
     """Company names by legal form and list; ``gazetteer`` (column ``name``) adds more."""
     words = None
     if gazetteer is not None:
-        df, words = gazetteer_words(df, gazetteer, id_col, text_col, "company_words")
+        df, words = gazetteer_words(df, gazetteer, text_col, "_company_words")
     return _detect(df, M.marked(F.col(text_col), ["company"], companies=words), ["company"], id_col)
 
 
@@ -103,7 +104,7 @@ def detect_person(
     """
     words = None
     if gazetteer is not None:
-        df, words = gazetteer_words(df, gazetteer, id_col, text_col, "first_name_words")
+        df, words = gazetteer_words(df, gazetteer, text_col, "_first_name_words")
     marked = M.marked(F.col(text_col), ["person_name"], first_names=words)
     return _detect(df, marked, ["person_name"], id_col)
 
@@ -115,18 +116,14 @@ def detect_personal_amounts(df: DataFrame, id_col: str = "doc_id", text_col: str
     return found.where(F.col("rule") == P.AMOUNT.name)
 
 
-def gazetteer_words(
-    df: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str, out_col: str
-) -> tuple[DataFrame, Column]:
+def gazetteer_words(df: DataFrame, gazetteer: DataFrame, text_col: str, out_col: str) -> tuple[DataFrame, Column]:
     """The gazetteer names to look for in each row, as a regex alternation.
 
-    A name is looked for where its first run of letters and digits is a word
-    of the text; so any script, any case and any number of words will do, and
-    what is found does not depend on the length of the list. A list of up to
-    ``INLINE_BYTES`` (its size is checked) stands in the expression, and no
-    row is shuffled. A longer one is joined with the distinct words of the
-    texts, and only the rows that have one of its words get names by a second
-    join on the id.
+    A name is looked for where all its words may stand; so any script, any case and
+    any number of words will do, and what is found does not depend on the length of the
+    list. A list of up to ``INLINE_BYTES`` (its size is checked) stands in the expression,
+    under the first word of each name, and no row is shuffled. A longer one is
+    an index by the rarest word; see :mod:`inkveil.operators.gazetteer`.
     """
     first = F.regexp_extract("name", r"([\p{L}\p{N}_]+)", 1)
     names = (
@@ -135,7 +132,6 @@ def gazetteer_words(
         .select("name", first.alias("first"))
         .where(F.col("first") != "")
     )
-    tokens = F.array_distinct(F.split(F.col(text_col), r"[^\p{L}\p{N}_]+"))
     size = names.agg(F.sum(F.octet_length("name") + F.octet_length("first"))).first()[0] or 0
     if size == 0:
         return df, F.lit(None).cast("string")
@@ -148,16 +144,13 @@ def gazetteer_words(
     if size <= INLINE_BYTES:
         listed = sorted(names.collect(), key=lambda r: (-len(r.name), r.name))
         all_names, firsts = words(r.name for r in listed), words(r.first for r in listed)
+        tokens = text_words(F.col(text_col))
         return df, let(F.array_intersect(tokens, words(sorted({r.first for r in listed}))), lambda seen: F.when(
             F.size(seen) > 0,
             pattern(F.filter(all_names, lambda n, i: F.array_contains(seen, F.get(firsts, i)))),
         ))
 
-    seen = df.select(id_col, F.explode(tokens).alias("first"))
-    hits = seen.join(names, "first").groupBy(id_col).agg(
-        F.sort_array(F.collect_set(F.struct((-F.length("name")).alias("n"), F.col("name").alias("name")))).alias("found")
-    ).select(id_col, pattern(F.transform("found", lambda x: x["name"])).alias(out_col))
-    return df.join(hits, id_col, "left"), F.col(out_col)
+    return with_names(df, names.select("name"), text_col, out_col), pattern(F.col(out_col))
 
 
 def active_types(actions: dict) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.scratch import new_folder
+from inkveil.scratch import written
 
 RANGES = 256
 
@@ -41,9 +41,7 @@ def number_within(df: DataFrame, groups: list[str], order: list[str], out_col: s
     so that a range stays what it is when a task is run again; they are counted by range
     and group, and only these counts are summed up along a group.
     """
-    path = new_folder(df.sparkSession, "ranges")
-    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     keys = [*groups, "_range"]
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))

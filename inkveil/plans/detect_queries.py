@@ -159,6 +159,27 @@ def detect_company_with_long_gazetteer(spark, sf_dir):
     return D.detect_company(rows(spark, sf_dir, COMPANY_TEXTS), names).select(SPAN_COLUMNS)
 
 
+# Every name begins with "The", every row has a null id, and the texts come from one table too.
+THE_TEXTS = (
+    "SELECT CAST(NULL AS BIGINT) AS doc_id, 'The note of the day: The River' || CAST(l_partkey AS STRING) || ' Works paid The Bill.' "
+    "AS text FROM lineitem"
+)
+
+
+@query(
+    "SELECT 'company' AS pii_type, CAST(21 AS INTEGER) AS start, 'The River' || CAST(l_partkey AS VARCHAR) || ' Works' AS value "
+    "FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)"
+)
+def detect_company_by_rarest_word(spark, sf_dir):
+    names = rows(
+        spark, sf_dir,
+        "SELECT 'The River' || CAST(p_partkey AS STRING) || ' Works' AS name FROM part WHERE p_partkey % 2 = 0 "
+        "UNION ALL SELECT 'The Firm of Order' || CAST(l_orderkey AS STRING) || ' and Line' || CAST(l_linenumber AS STRING) AS name FROM lineitem "
+        "UNION ALL SELECT 'The House of ' || c_name AS name FROM customer",
+    )
+    return D.detect_company(rows(spark, sf_dir, THE_TEXTS), names).select("pii_type", "start", "value")
+
+
 # Candidates that overlap: e-mails, phones, cards and, ranked last, any digits.
 DIGITS = P.Rule("cc", "id_numbers", "digits", "0-9", "[0-9]{3,}")
 _CANDIDATES = " UNION ALL ".join(
