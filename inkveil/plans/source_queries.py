@@ -12,7 +12,7 @@ from inkveil.plans.action_queries import DEFAULT_DOCS
 from inkveil.plans.registry import query, rows, table
 from inkveil.scratch import new_folder
 from inkveil.sources import docx, eml, intake, router, tables, text, xlsx
-from inkveil.streaming.expiry import expire_stream
+from inkveil.streaming.expiry import expire_stream, expire_uploads, expired_uploads, live_uploads
 from inkveil.streaming.files import stream_files as run_stream
 
 SUPPORTED = "(VALUES " + ", ".join(f"('{e}', '{t}')" for e, t in FORMATS) + ") AS f(ext, source_type)"
@@ -343,3 +343,41 @@ def expire_stream_uploads(spark, sf_dir):
     )
     done.awaitTermination()
     return spark.read.schema("file_id string, created_at timestamp, expired_at timestamp").parquet(f"{folder}/out")
+
+
+def _upload_batches(spark, sf_dir, folder):
+    """The events in ten files of no order, a file a batch."""
+    events = table(spark, sf_dir, "events")
+    events.repartition(10, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return stream.select(F.expr(I.uuid_of("event_id")).alias("file_id"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+@query(
+    f"SELECT file_id, created_at, created_at + INTERVAL 300 SECOND AS expired_at, true AS expired FROM ({I.UPLOADS}) "
+    "WHERE created_at + INTERVAL 300 SECOND <= (SELECT max(ts) FROM events) UNION ALL "
+    f"SELECT file_id, created_at, NULL, false FROM ({I.UPLOADS}) WHERE created_at + INTERVAL 300 SECOND > (SELECT max(ts) FROM events)"
+)
+def expire_unsorted_uploads(spark, sf_dir):
+    """Every upload once, expired or live, though nearly all arrive late."""
+    folder = new_folder(spark, "expiry")
+    expire_uploads(_upload_batches(spark, sf_dir, folder), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    over = expired_uploads(spark, f"{folder}/out").select("file_id", "created_at", "expired_at", F.lit(True).alias("expired"))
+    live = live_uploads(spark, f"{folder}/out")
+    return over.unionAll(live.select("file_id", "created_at", F.lit(None).cast("timestamp"), F.lit(False)))
+
+
+@query(
+    f"SELECT CASE WHEN strlen(text) + 1 > {FILE_LIMIT} THEN 'TOO_LARGE' END AS error_code, "
+    f"CASE WHEN strlen(text) + 1 <= {FILE_LIMIT} THEN text || chr(10) END AS content FROM documents"
+)
+def stream_files_under_limit(spark, sf_dir):
+    """The stream lists all files and reads those under the limit."""
+    folder = new_folder(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select("text")
+    docs.write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
+    run_stream(
+        spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint",
+        lambda d: d.select("error_code", "content"), max_bytes=FILE_LIMIT,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("error_code", "content")

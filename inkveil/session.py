@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The rules are one deep expression, which the analyzer resolves level by level.
+    "spark.sql.analyzer.maxIterations": "1000",
     # A row may hold a file of 10 MB; batches to Python must stay small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }

@@ -8,7 +8,8 @@ from inkveil.operators.actions import sanitize_text
 from inkveil.operators.output import frontmatter, rewrite_with
 from inkveil.operators.profiles import default_profile
 from inkveil.plans.sanitize import sanitize
-from inkveil.streaming.expiry import expire_stream
+from inkveil.streaming import expiry
+from inkveil.streaming.expiry import expire_stream, expire_uploads, expired_uploads, live_uploads
 from inkveil.streaming.files import stream_files
 
 
@@ -34,6 +35,69 @@ def test_files_once_and_deleted(spark, tmp_path):
     assert [r[1] for r in again if r[0] == "c.csv"] == ["| Name | Phone |\n|---|---|\n| Zoltan 1 | [PHONE_REMOVED] |"]
 
 
+def test_large_files_are_never_read(spark, tmp_path):
+    """A file that no row can hold, names that look like patterns, and one that is gone when its batch comes."""
+    source, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    source.mkdir()
+    (source / "a[1]{x}.txt").write_text("one")
+    (source / "b c*.txt").write_text("two")
+    with open(source / "huge.txt", "wb") as f:
+        f.truncate(3 << 30)
+    stream_files(spark, str(source), out, ckpt, process, max_bytes=100).awaitTermination()
+    got = sorted((r.filename, r.content, r.error_code) for r in spark.read.parquet(out).collect())
+    assert got == [("a[1]{x}.txt", "one", None), ("b c*.txt", "two", None), ("huge.txt", None, "TOO_LARGE")]
+    from inkveil.streaming.files import read_listed
+
+    listing = spark.createDataFrame([(f"file:{source}/gone.txt", 5), (f"file:{source}/huge.txt", 5)], "path string, length long")
+    rows = read_listed(listing.withColumn("modificationTime", F.current_timestamp()), 100).collect()
+    assert sorted((r.path.rsplit("/")[-1], r.length, r.content) for r in rows) == [("gone.txt", None, None), ("huge.txt", None, None)]
+
+
+BASE = dt.datetime(2024, 1, 1)
+
+
+def write_batch(spark, folder, rows):
+    rows = [(f, None if s is None else BASE + dt.timedelta(seconds=s)) for f, s in rows]
+    spark.createDataFrame(rows, "file_id string, created_at timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_expiry_loses_nothing(spark, tmp_path, monkeypatch):
+    """Rows out of order, repeated and without a time over several runs; a batch that fails half way is run again."""
+    source, out, ckpt = (str(tmp_path / x) for x in ("up", "out", "ckpt"))
+
+    def go():
+        stream = spark.readStream.schema("file_id string, created_at timestamp").parquet(source)
+        expire_uploads(stream, out, ckpt, ttl=300).awaitTermination()
+
+    def seen():
+        return sorted((r.file_id, r.late) for r in expired_uploads(spark, out).collect()), sorted(r.file_id for r in live_uploads(spark, out).collect())
+
+    write_batch(spark, source, [("a", 0), ("b", 250), ("c", 600), ("a", 0)])
+    go()
+    assert seen() == ([("a", False), ("b", False)], ["c"])
+    # behind the clock, known and over, known and live, just at the limit
+    write_batch(spark, source, [("d", 10), ("a", 0), ("c", 600), ("e", 300), ("f", 301), ("n", None)])
+    go()
+    assert seen() == ([("a", False), ("b", False), ("d", True), ("e", True), ("n", True)], ["c", "f"])
+    write_batch(spark, source, [("g", 1000)])
+    put, failed = expiry._put, []
+
+    def fail_once(df, folder):
+        if "/live/" in folder and not failed:
+            failed.append(folder)
+            raise RuntimeError("lost")
+        put(df, folder)
+
+    monkeypatch.setattr(expiry, "_put", fail_once)
+    try:
+        go()
+    except Exception:
+        assert failed
+    go()
+    assert seen() == ([("a", False), ("b", False), ("c", False), ("d", True), ("e", True), ("f", False), ("n", True)], ["g"])
+    assert expired_uploads(spark, out).count() == 7
+
+
 def test_expiry(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(f"f{i}", base + dt.timedelta(seconds=100 * i)) for i in range(10)]
