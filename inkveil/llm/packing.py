@@ -55,18 +55,29 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     for i, size in enumerate(sizes):
         totals = np.zeros(k, np.int64)
         totals[0] = size
-        heap.append((-size, i, totals, [[i]] + [[]] * (k - 1)))
+        heap.append((-size, i, totals))
     heapq.heapify(heap)
+    # A merge is remembered by the two partitions and the order of its groups.
+    merges = []
     for age in range(len(sizes), 2 * len(sizes) - 1):
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        totals = a + b[::-1]  # both descend
+        _, a, totals_a = heapq.heappop(heap)
+        _, b, totals_b = heapq.heappop(heap)
+        totals = totals_a + totals_b[::-1]  # both descend
         order = np.argsort(-totals, kind="stable")
         totals = totals[order]
-        groups = [x + y for x, y in zip(in_a, reversed(in_b), strict=True)]
-        groups = [groups[j] for j in order.tolist()]
-        heapq.heappush(heap, (int(totals[-1] - totals[0]), age, totals - totals[-1], groups))
-    return heap[0][3]
+        merges.append((a, b, order))
+        heapq.heappush(heap, (int(totals[-1] - totals[0]), age, totals - totals[-1]))
+    # From the last merge back: which group of the whole each group of a partition ends up in.
+    ends_in = {heap[0][1]: np.arange(k)}
+    for age in range(2 * len(sizes) - 2, len(sizes) - 1, -1):
+        a, b, order = merges.pop()
+        of_a = np.empty(k, np.int64)
+        of_a[order] = ends_in.pop(age)
+        ends_in[a], ends_in[b] = of_a, of_a[::-1]
+    groups: list[list[int]] = [[] for _ in range(k)]
+    for i in range(len(sizes)):
+        groups[ends_in[i][0]].append(i)
+    return groups
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -136,7 +147,7 @@ def pack(
             out.clear()
             return made
 
-        for docs_of, texts in text_batches(batches, 1 << 20):
+        for docs_of, texts in text_batches(batches):
             for doc, ids in zip(docs_of, encode([t.decode() for t in texts]), strict=True):
                 ids += stop
                 total = len(ids) // 4

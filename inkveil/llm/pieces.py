@@ -3,8 +3,8 @@
 A text is cut at single spaces and line ends that stand between two characters other
 than white space. No token crosses such a place, a space goes to the word behind it and
 a line end is a token of its own, so the ids of a text are the ids of its pieces in a
-row. Pieces are remembered per worker process, up to a fixed number, then forgotten
-together; texts with other runs of white space are split whole. The pieces that are new
+row. Pieces are remembered per worker process, up to a fixed number, then all but those
+of the texts at hand are forgotten; texts with other runs of white space are split whole. The pieces that are new
 are split by the vocabulary's pattern and merged as arrays (:mod:`bpe`).
 """
 
@@ -19,6 +19,7 @@ from inkveil.llm.bpe import merger
 REMEMBERED, REMEMBERED_TOKENS = 400_000, 100_000  # words, and what words are cut into
 OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or re.match(r"\s", c))]
 FIRST = "\x00"  # marks the first word of a text: no space stands before it
+ENDS = ",.;:!?"  # behind letters each of these is a piece of its own
 
 
 def words(text: str) -> list[str] | None:
@@ -85,25 +86,32 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list:
         """For each text its ids as little-endian unsigned 32-bit integers, or their number."""
-        for memory, most in ((self.of_word, REMEMBERED), (self.of_token, REMEMBERED_TOKENS)):
-            if len(memory) > most:
-                memory.clear()
         split = [words(t) if t else [] for t in texts]
         seen: set[str] = set()
         for p in split:
             seen.update(p or ())
-        new = list(seen.difference(self.of_word))
-        plain = [w for w in new if w.isalpha()]
+        if len(self.of_word) > REMEMBERED:
+            self.of_word = {w: ids for w in seen if (ids := self.of_word.get(w)) is not None}
+        if len(self.of_token) > REMEMBERED_TOKENS:
+            self.of_token.clear()
+        plain, ended, other = [], [], []
+        for w in seen.difference(self.of_word):
+            (plain if w.isalpha() else ended if w[-1] in ENDS and w[:-1].isalpha() else other).append(w)
+        # Letters and a mark: the ids of the letters, which other words may share, and the mark's.
+        bare = {w[:-1] for w in ended}.difference(self.of_word, plain)
+        plain += bare
         for k in range(0, len(plain), 20_000):
             some = plain[k : k + 20_000]
             self.of_word.update(zip(some, self.merge([" " + w for w in some]), strict=True))
-        cut = {w: self.pre_tokens(piece(w)) for w in new if not w.isalpha()}
+        cut = {w: self.pre_tokens(piece(w)) for w in other}
         whole = {k: self.pre_tokens(texts[k]) for k, p in enumerate(split) if p is None}
-        self.learn_tokens({t for some in (cut, whole) for p in some.values() for t in p})
-        self.of_word.update((w, self.total(p)) for w, p in cut.items())
-        of = self.of_word.__getitem__
+        self.learn_tokens({t for some in (cut, whole) for p in some.values() for t in p}.union(ENDS))
+        of = self.of_word
+        marks = {c: self.of_token[c] for c in ENDS}
+        of.update([(w, of[w[:-1]] + marks[w[-1]]) for w in ended])
+        of.update((w, self.total(p)) for w, p in cut.items())
         put = sum if self.count_only else b"".join
-        return [self.total(whole[k]) if p is None else put(map(of, p)) for k, p in enumerate(split)]
+        return [self.total(whole[k]) if p is None else put(map(of.__getitem__, p)) for k, p in enumerate(split)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
