@@ -78,6 +78,12 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) ->
         yield ids, texts
 
 
+def cut_batches(texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+    """As :func:`text_batches`, of texts at hand (ids are null)."""
+    whole = pa.record_batch([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    return text_batches(iter([whole]))
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch from lists or numpy arrays."""
     arrays = [

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batch_of, id_and_text, saved, text_batches
+from inkveil.llm.common import batch_of, cut_batches, id_and_text, map_texts, saved, text_batches
 from inkveil.llm.words import Words, shingle_sets, shingles, words_of
 
 PERCENT = 75
@@ -91,6 +92,23 @@ class Index:
                     yield d, k, shared
 
 
+def indexes(items: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> Iterator[Broadcast]:
+    """Broadcast indexes over the items, in blocks of about ``BLOCK_SHINGLES`` shingles; documents are read once for each."""
+    spark = items.sparkSession
+    sets = saved(
+        id_and_text(items, id_col, text_col)
+        .mapInArrow(item_sets(width), "item_id long, width int, n long, hashes binary")
+        .where("n > 0"),
+        "items",
+    )
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    n_blocks = max(1, -(-2 * total // BLOCK_SHINGLES))
+    for k in range(n_blocks if total else 0):
+        block = sets.where(F.pmod(F.xxhash64("hashes"), F.lit(n_blocks)) == k).collect()
+        if block:
+            yield spark.sparkContext.broadcast(Index(block, percent))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -110,21 +128,9 @@ def contamination(
     either side come out as often as they come in, null ids stay null.
     """
     spark = docs.sparkSession
-    sets = saved(
-        id_and_text(items, item_id_col, item_text_col)
-        .mapInArrow(item_sets(width), "item_id long, width int, n long, hashes binary")
-        .where("n > 0"),
-        "items",
-    )
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    n_blocks = max(1, -(-2 * total // BLOCK_SHINGLES))
     rows = id_and_text(docs, id_col, text_col)
     found = None
-    for k in range(n_blocks if total else 0):
-        block = sets.where(F.pmod(F.xxhash64("hashes"), F.lit(n_blocks)) == k).collect()
-        if not block:
-            continue
-        index = spark.sparkContext.broadcast(Index(block, percent))
+    for index in indexes(items, percent, width, item_id_col, item_text_col):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_batches(batches):
@@ -138,3 +144,32 @@ def contamination(
     if found is None:
         found = spark.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    percent: int = PERCENT,
+    width: int = WIDTH,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no item; see :func:`contamination`.
+
+    Every row is decided by its own text, where it is: ids do not matter (they may be null
+    or shared by other texts), repeated rows all stay or all go, null and empty texts stay,
+    and texts are not shuffled. Without items all rows stay.
+    """
+    for index in indexes(items, percent, width, item_id_col, item_text_col):
+
+        def clean(texts: list[str], index=index):
+            keep, first = np.ones(len(texts), bool), 0
+            for ids, some in cut_batches([t.encode() for t in texts]):
+                for d, _, _ in index.value.search(words_of(some), width):
+                    keep[first + d] = False
+                first += len(ids)
+            return keep, None
+
+        docs = map_texts(docs, text_col, clean)
+    return docs

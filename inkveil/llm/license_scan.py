@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -131,17 +132,19 @@ def scan(text: bytes, permitted: frozenset[str]) -> tuple:
     """One row of :func:`license_scan` but for the id."""
     words = text.translate(LOWER_WORDS).split()
     line = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # word k stands behind blank k
     starts, base, labels, weights, tagged = [], set(), set(), {}, False
     for end, meaning in automaton().iter(line.decode("latin-1")):
         for is_base, label, weight, size in meaning:
             if is_base:
-                starts.append(line.count(b" ", 0, end + 1 - size))
+                starts.append(end + 1 - size)
                 base.add(label)
             if label is None:
                 tagged = True
             else:
                 labels.add(label)
                 weights[label] = max(weight, weights.get(label, 0))
+    starts = np.searchsorted(blanks, starts).tolist()
     expressions, allowed = [], None
     for found in EXPRESSION.findall(text.decode()) if tagged else ():
         parsed = postfix(found)

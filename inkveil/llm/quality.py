@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import BATCH_BYTES, batch_of, crc_mod, id_and_text, map_texts, saved, text_batches
+from inkveil.llm.common import BATCH_BYTES, batch_of, crc_mod, cut_batches, id_and_text, map_texts, saved, text_batches
 from inkveil.llm.words import shingles, words_of
 
 THRESHOLD = 0.7
@@ -181,11 +181,6 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, r
 ROW = pa.schema([("doc_id", pa.int64()), ("statistics", pa.list_(pa.float64()))])
 
 
-def cut_batches(texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    whole = pa.record_batch([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
-    return text_batches(iter([whole]))
-
-
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_batches(batches, BATCH_BYTES):
         x = statistics(texts)

@@ -66,3 +66,20 @@ def test_rows(spark):
     assert (got[2].labels, got[2].first_word) == ("apache,apache-2.0", 3)
     assert (got[3].n_words, got[3].score, got[3].first_word) == (0, 0.0, None)
     assert (got[4].base_labels, got[4].first_word, got[4].last_word) == ("gpl,mit", 1, 6)
+
+
+def test_long_texts_stay_linear():
+    import time
+
+    from inkveil.llm.license_scan import PERMITTED, scan
+
+    def took(size):
+        text = b"mit license " * (size // 12)
+        begin = time.process_time()
+        out = scan(text, PERMITTED)
+        assert out[1] == size // 12 and out[2] == 0 and out[3] == 2 * (size // 12) - 2
+        return time.process_time() - begin
+
+    took(10_000)
+    small = took(1_000_000)
+    assert took(8_000_000) < 24 * small + 1

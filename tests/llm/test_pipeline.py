@@ -36,6 +36,37 @@ def tables(spark, sf_dir, tmp_path_factory):
     return str(d)
 
 
+def one_of_each(rows):
+    """By brute force: the row of the smallest id (null ids last) of each group."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    groups = brute({k: r[1] for k, r in enumerate(rows)})
+    return sorted(repr(rows[k]) for k, (_, c) in groups.items() if c == k)
+
+
+def test_rows_are_decided_by_their_own_text(spark, sf_dir):
+    """Null ids, two texts under one id, repeated rows, empty texts and no rows at all."""
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    rows = [
+        (1, f"some words before {item} and behind"), (1, "a clean second text under the id of a dirty one it is"),
+        (None, f"{item}"), (None, "clean words of a row without any id at all"), (2, "one two three four five six seven"),
+        (2, "another text of id two that is like no other here"), (3, "one two three four five six seven"),
+        (None, "one two three four five six seven"), (5, ""), (5, ""), (None, None), (6, "w"), (7, "w"),
+        (None, "only rows without an id have this text here"), (None, "only rows without an id have this text here"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = df.selectExpr("*", "1 AS __place", "'x' AS component_id", "2 AS n_shingles")
+    got = corpus_pipeline.near_duplicates(spark, df, sf_dir)
+    assert got.columns == df.columns
+    assert sorted(repr(tuple(r)[:2]) for r in got.collect()) == one_of_each(rows)
+    sets = [shingle_set(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    clean = [r for r in rows if not any(100 * len(shingle_set(r[1]) & s) >= 75 * len(s) for s in sets)]
+    got = corpus_pipeline.decontamination(spark, df, sf_dir).collect()
+    assert sorted(repr(tuple(r)[:2]) for r in got) == sorted(map(repr, clean))
+    assert {r for r in rows} - set(clean) == {rows[0], rows[2]}
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        assert stage(spark, df.limit(0), sf_dir).collect() == []
+
+
 def test_stages_as_brute_force(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     kept = {}
@@ -55,16 +86,14 @@ def test_stages_as_brute_force(spark, tables):
     assert 0 < len(after) < len(before)
 
     before, after = kept["near_duplicates"]
-    groups = brute({r[0]: r[1] for r in before if r[0] is not None})
-    stay = {i for i, (_, c) in groups.items() if c == i}
-    assert sorted(r[0] for r in after if r[0] is not None) == sorted(stay)
-    assert 9001 not in stay
+    assert sorted(map(repr, after)) == one_of_each(before)
+    assert 9001 not in {r[0] for r in after}
 
     before, after = kept["decontamination"]
     sets = [shingle_set(r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
-    dirty = {r[0] for r in before if any(100 * len(shingle_set(r[1]) & s) >= 75 * len(s) for s in sets)}
-    assert dirty
-    assert sorted(map(repr, after)) == sorted(repr(r) for r in before if r[0] not in dirty)
+    clean = [r for r in before if not any(100 * len(shingle_set(r[1]) & s) >= 75 * len(s) for s in sets)]
+    assert 0 < len(clean) < len(before)
+    assert sorted(map(repr, after)) == sorted(map(repr, clean))
 
     before, after = kept["pii"]
     assert [r[0] for r in sorted(after, key=repr)] == [r[0] for r in sorted(before, key=repr)]
