@@ -9,50 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import apply_settings, saved, without_ids
-from inkveil.llm.decontaminate import contamination
-from inkveil.llm.ngram_join import ngram_components
+from inkveil.llm.common import apply_settings, saved
+from inkveil.llm.decontaminate import keep_clean
+from inkveil.llm.ngram_join import keep_one
 from inkveil.llm.packing import pack
 from inkveil.llm.pii import mask_pii
 from inkveil.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject, each decided by its own text.
+
+    Null and empty texts are scored like any other; rows of a null id are decided too, but
+    train nothing; repeated rows all stay or all go; an empty table stays empty.
+    """
     apply_settings(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of similar ones.
+    """One document, that of the smallest id, of each group of similar texts.
 
-    Of repeated rows (one id and text) one stays. Rows of a null id are in no group.
+    Decided row by row: two texts under one id are two documents, a row of a null id is in
+    a group like others (and stays only if the group has no id), of repeated rows one
+    stays. Null and empty texts are in no group and stay; an empty table stays empty.
     """
     apply_settings(spark)
-    groups = saved(ngram_components(docs), "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = saved(gone, "gone")
-    kept = without_ids(docs, gone)
-    again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    again = saved(again.join(gone, "doc_id", "left_anti"), "repeated")
-    if not again.head(1):
-        return kept
-    rest = without_ids(kept, again)
-    texts = kept.join(again, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
-    once = texts.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
-    return rest.unionAll(once)
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, each decided by its own text, whatever its id.
+
+    Null and empty texts hold none and stay; repeated rows all stay or all go; an empty
+    table stays empty, and without items all rows stay.
+    """
     apply_settings(spark)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = saved(found.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return without_ids(docs, gone)
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked; ``n_chars`` counts the new text."""
+    """All documents, personal data masked; ``n_chars`` counts the new text.
+
+    Null texts stay null (so does their ``n_chars``), empty ones empty; ids do not matter,
+    repeated rows come out as often as they come in; an empty table stays empty.
+    """
     apply_settings(spark)
     out = mask_pii(docs)
     if "n_chars" in out.columns:
@@ -61,7 +62,11 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of token ids."""
+    """Pieces of documents in sequences of token ids.
+
+    Null and empty texts give one piece, the end token; null ids stay null; repeated rows
+    are packed as often as they come; an empty table gives no pieces.
+    """
     apply_settings(spark)
     return pack(docs)
 
