@@ -200,15 +200,25 @@ def score_rows(forest: Trees):
     return run
 
 
-def fit(
-    found: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality"
-) -> Trees:
-    """Trees from measured documents and their labels, on at most ``sample`` rows of the training folds."""
+def training_labels(
+    ids: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality"
+) -> DataFrame:
+    """``(doc_id, y)`` of the training folds whose hash is small enough that about ``1.2 * sample`` rows of ``ids`` have one.
+
+    So what is sorted for the sample does not grow with the labels.
+    """
     label = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    label = label.where("doc_id is not null and y in (0, 1)").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
+    n = ids.join(label, "doc_id").count()
+    part = min(1.0, (1.2 * sample + 1000) / max(1, n))
+    return label.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)) < int(part * (1 << 32)))
+
+
+def fit(found: DataFrame, label: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Trees from measured documents and :func:`training_labels`, on at most ``sample`` rows, those of the smallest hash."""
     chosen = (
-        found.join(label.where("doc_id is not null and y in (0, 1)"), "doc_id")
-        .where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "statistics")
+        found.join(label, "doc_id")
+        .orderBy(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)), "doc_id", "y", "statistics")
         .limit(sample)
         .select("statistics", "y")
         .toPandas()
@@ -242,7 +252,7 @@ def quality_scores(
     kinds every document gets the smoothed share of label 1.
     """
     found = measured(docs, id_col, text_col)
-    forest = fit(found, labels, sample, id_col, label_col)
+    forest = fit(found, training_labels(found.select("doc_id"), labels, sample, id_col, label_col), sample)
     return found.mapInArrow(score_rows(forest), "doc_id long, score double").select(
         "doc_id",
         (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
@@ -261,10 +271,14 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text scores at least ``threshold``.
 
-    Fitted as in :func:`quality_scores`. Every row is decided by its own text, where it
-    is: texts are not shuffled, repeated rows and null ids need no care.
+    Fitted as in :func:`quality_scores`, on documents that are measured for it: those of
+    the training labels, at most about ``1.2 * sample`` unless ids repeat. Every row is decided by
+    its own text, where it is: texts are not shuffled, repeated rows and null ids need no care.
     """
-    forest = fit(measured(docs, id_col, text_col), labels, sample, id_col)
+    rows = id_and_text(docs, id_col, text_col)
+    label = saved(training_labels(rows.select("doc_id"), labels, sample, id_col), "training")
+    some = rows.join(F.broadcast(label.select("doc_id").distinct()), "doc_id", "left_semi")
+    forest = fit(measured(some), label, sample)
 
     def good(texts: list[str]):
         data, out = [t.encode() for t in texts], []

@@ -54,3 +54,25 @@ def test_held_out_labels_do_not_matter(spark, sf_dir):
     )
     key = lambda r: r.doc_id
     assert sorted(quality_scores(docs, labels).collect(), key=key) == sorted(quality_scores(docs, turned).collect(), key=key)
+
+
+def test_sample_is_bounded_before_it_is_sorted(spark):
+    """Of many labels only about the sample is looked at; both ways to fit choose the same rows."""
+    from pyspark.sql import functions as F
+
+    from inkveil.llm.quality import fit, keep_good, measured, quality_scores, training_labels
+
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, "Some plain words stand here and there.").otherwise("x9 {} 77 ;; == 0x1").alias("text"),
+    )
+    labels = spark.range(6000).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))
+    label = training_labels(docs.select("doc_id"), labels, 300)
+    assert 1000 < label.count() < 1700
+    assert training_labels(docs.select("doc_id"), labels, 10_000).count() > 4000
+    kept = {r.doc_id for r in keep_good(docs, labels, sample=300).collect()}
+    assert kept == {r.doc_id for r in quality_scores(docs, labels, sample=300).collect() if r.predicted}
+    assert kept == set(range(0, 6000, 2))
+    found = measured(docs)
+    assert (fit(found, label, 300).probability(np.zeros((1, len(found.first().statistics)))) == fit(found.repartition(9), label, 300).probability(
+        np.zeros((1, len(found.first().statistics))))).all()
