@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import batch_of, id_and_text, mix, packed, saved, text_batches, unpacked, without_ids
@@ -430,22 +430,33 @@ def ngram_components(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = PERCENT,
+    row: Column | None = None,
+) -> DataFrame:
     """The rows of ``docs``, with all columns, one of each group of similar texts: that of the smallest id.
 
-    Rows are told apart by a number written down with them, so two texts under one id are
-    two documents, and rows of a null id count like others (of a group they stay only if it
-    has no id). Repeated rows are a group. Null and empty texts are in no group: all stay.
-    Texts are shuffled only where a row may have to go.
+    Rows are told apart by ``row``, a non-negative number that is theirs in every run; without one the
+    rows are written down with a number. So two texts under one id are two documents, and rows
+    of a null id count like others (of a group they stay only if it has no id). Repeated rows
+    are a group. Null and empty texts are in no group: all stay. Texts are shuffled only
+    where a row may have to go.
     """
-    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    if row is None:
+        numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    else:
+        numbered = docs.withColumn("__row", row)
     found = ngram_components(numbered.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), width=width, percent=percent)
-    of_row = numbered.select(F.col("__row").alias("row"), F.col(id_col).alias("id"))
     groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     groups = saved(groups, "groups")
     many = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     # Only rows of groups of several are looked at again.
+    of_row = numbered.select(F.col("__row").alias("row"), F.col(id_col).alias("id"))
     members = saved(groups.join(many, "group").join(of_row, "row"), "members")
     first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first"))
     gone = members.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
-    return without_ids(numbered, saved(gone, "gone"), "__row").drop("__row")
+    return without_ids(numbered, saved(gone, "gone"), "__row").select(docs.columns)
