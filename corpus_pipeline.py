@@ -6,6 +6,7 @@ to the shared folder and read again as the next stage's ``docs``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays. Null and empty texts are in no group and stay; an empty table stays empty.
     """
     apply_settings(spark)
-    return keep_one(docs)
+    # A row of a file is known by its place (up to collisions of 63-bit hashes), other rows are written down.
+    place = F.expr("shiftrightunsigned(xxhash64(_metadata.file_path, _metadata.row_index), 1)")
+    try:
+        docs.select(place)
+    except AnalysisException:
+        place = None
+    return keep_one(docs, row=place)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
