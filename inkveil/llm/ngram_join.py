@@ -111,6 +111,15 @@ def sections_of(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def runs(of: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``of`` that occurs, with its places; ``order`` sorts ``of``. The work does not
+    depend on how many values there could be."""
+    if len(order):
+        sorted_ = of[order]
+        starts = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1))
+        yield from zip(sorted_[starts].tolist(), np.split(order, starts[1:]), strict=True)
+
+
 def sketch(n_buckets: int, percent: int, width: int):
     """Rows of elements by bucket, and rows of documents."""
 
@@ -131,12 +140,8 @@ def sketch(n_buckets: int, percent: int, width: int):
             em, key, of, lower, spare = elements(doc[kept], h[kept], np.where(stands, n, 0), percent)
             bucket = (key >> U8(33)) % U8(n_buckets)
             order = np.argsort(bucket.astype(np.uint16) if n_buckets < 65536 else bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             rows = [(-1 - int(sets[0] % U8(n_buckets)), b"", b"", docs.tobytes())]
-            for k in range(n_buckets):
-                some = order[ends[k] : ends[k + 1]]
-                if not len(some):
-                    continue
+            for k, some in runs(bucket, order):
                 # Elements stand in the order of their sets, so a set needs only say how many it has.
                 mine, count = np.unique(em[some], return_counts=True)
                 heads = sections(sets[of[mine]] | lower[mine].astype(U8), packed(spare[mine]), packed(count))
@@ -179,14 +184,11 @@ def counted(n_buckets: int):
         key, head, size = key[size > 1], head[size > 1], size[size > 1]
         to = (mix(set_of[head]) >> U8(20)) % U8(n_buckets)
         order = np.lexsort((set_of[head], to))
-        ends = np.searchsorted(to[order], np.arange(n_buckets + 1))
         rows = []
-        for k in range(n_buckets):
-            some = order[ends[k] : ends[k + 1]]
-            if len(some):
-                mine, first, count = np.unique(set_of[head[some]], return_index=True, return_counts=True)
-                row = sections(mine, packed(spare[head[some[first]]]), packed(count), packed(np.array([bucket])))
-                rows.append((k, row, sections(key[some], packed(size[some])), None))
+        for k, some in runs(to, order):
+            mine, first, count = np.unique(set_of[head[some]], return_index=True, return_counts=True)
+            row = sections(mine, packed(spare[head[some[first]]]), packed(count), packed(np.array([bucket])))
+            rows.append((k, row, sections(key[some], packed(size[some])), None))
         return pa.Table.from_batches([batch_of(ROWS, *map(list, zip(*rows, strict=True)))] if rows else [], ROWS)
 
     return run
@@ -214,8 +216,7 @@ def kept(t: pa.Table) -> pa.Table:
     sets, keys, buckets = sets[stays], keys[stays], buckets[stays]
     order = np.argsort(buckets, kind="stable")
     rows = []
-    for k in np.unique(buckets).tolist():
-        some = order[slice(*np.searchsorted(buckets[order], [k, k + 1]))]
+    for k, some in runs(buckets, order):
         mine, count = np.unique(sets[some], return_counts=True)
         rows.append((k, sections(mine, packed(count)), keys[some].tobytes(), None))
     return pa.Table.from_batches([batch_of(ROWS, *map(list, zip(*rows, strict=True)))] if rows else [], ROWS)
