@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.bpe import byte_characters, merger
 from inkveil.llm.common import batch_of, id_and_text, packed, saved, text_batches, unpacked
-from inkveil.llm.pieces import FIRST, OTHER_SPACES
 from inkveil.llm.token_counts import VOCABULARY, vocabulary_path
 
 OTHER_VOCABULARY = "piece_bpe_32k.model"
 BLANK = "▁"  # stands for a space in the pieces of B
 REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 16_000_000
 AT_ONCE = 20_000
-ODD = [*OTHER_SPACES, BLANK]
+FIRST = "\x00"  # marks a word at the start of a text
+ODD = [c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or re.match(r"\s", c))] + [BLANK]
 _INNER = "[^ \n" + re.escape("".join(ODD)) + "]"
 CUT = re.compile(f"(?<={_INNER})(?: (?={_INNER})|(?=\n{_INNER}))")
 

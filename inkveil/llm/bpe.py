@@ -71,8 +71,13 @@ class Merger:
 
     def encode(self, pre_tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, number of ids of each pre-token)``."""
-        sizes = np.array([len(p) for p in pre_tokens], np.int64)
-        symbols = self.of_byte[np.frombuffer(b"".join(pre_tokens), np.uint8)]
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in pre_tokens])))
+        return self.merge(np.frombuffer(b"".join(pre_tokens), np.uint8), offsets.astype(np.int64))
+
+    def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, of pre-tokens one after another in an array."""
+        sizes = np.diff(offsets)
+        symbols = self.of_byte[data]
         seq = np.repeat(np.arange(len(sizes)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):

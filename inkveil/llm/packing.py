@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from inkveil.llm.common import batch_of, id_and_text, text_batches
-from inkveil.llm.pieces import encoder
+from inkveil.llm.pieces import ENCODE_BYTES, encoder
 from inkveil.llm.token_counts import VOCABULARY, vocabulary_path
 
 CAPACITY = 2048
@@ -147,8 +147,8 @@ def pack(
             out.clear()
             return made
 
-        for docs_of, texts in text_batches(batches):
-            for doc, ids in zip(docs_of, encode([t.decode() for t in texts]), strict=True):
+        for docs_of, texts in text_batches(batches, ENCODE_BYTES):
+            for doc, ids in zip(docs_of, encode(texts), strict=True):
                 ids += stop
                 total = len(ids) // 4
                 whole = total // capacity * capacity

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkveil.llm.common import batch_of, id_and_text, text_batches
-from inkveil.llm.pieces import encoder
+from inkveil.llm.pieces import ENCODE_BYTES, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = pa.schema(
@@ -38,8 +38,8 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path(vocabulary), count_only=True)
-        for ids, texts in text_batches(batches):
-            n = encode([t.decode() for t in texts])
+        for ids, texts in text_batches(batches, ENCODE_BYTES):
+            n = encode(texts)
             yield batch_of(SCHEMA, ids, [len(t) for t in texts], n, [k > limit for k in n])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
