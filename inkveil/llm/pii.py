@@ -4,8 +4,11 @@ Fixed rules give the base spans, which always stay. Wider rules propose further
 candidates. Five labelers (shape, validity, gazetteer, context, borders) vote for,
 against or not at all on every candidate. Expectation-maximisation over the counts of vote
 patterns estimates how reliable each labeler is and how likely each pattern marks
-personal data; a logistic classifier over the candidates' features is trained on these
-probabilities and decides which candidates become spans.
+personal data; a logistic classifier is trained on these probabilities. It does not see the
+votes but what the labelers do not look at: how long a candidate is, what characters it is
+made of and what stands right before and behind it. Its odds over the average ones are
+multiplied with those of the votes and decide which candidates become spans; where
+accepted ones overlap, the first and longest stays.
 
 Votes and features take few values, so what goes to the driver is a table of patterns
 with counts, of a size that the rules bound (``MAX_PATTERNS``), whatever the corpus.
@@ -14,6 +17,7 @@ with counts, of a size that the rules bound (``MAX_PATTERNS``), whatever the cor
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +32,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "national_id", "secret")
 LABELERS = ("shape", "validity", "gazetteer", "context", "borders")
 LENGTHS = (8, 12, 16, 20, 32)
-MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * (len(LENGTHS) + 1)
+BORDERS = (" \t\r\n", "=:", "\"'`", "()[]{}<>", ",.;!?")  # classes of characters beside a candidate; also others, none
+MADE_OF = ("digits", "letters", "both", "with marks")
+TRAITS = (len(LENGTHS) + 1, len(MADE_OF), len(BORDERS) + 2, len(BORDERS) + 2)  # length, characters, before, behind
+MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * math.prod(TRAITS)
 THRESHOLD = 0.5
 
 # The base rules.
@@ -42,7 +49,7 @@ NOT_DIGITS = re.compile(r"[^0-9]")
 
 # Wider rules: what stands where only a part of a base rule holds.
 AT = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?"
     r"[A-Za-z0-9-]+(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]+)+",
     re.IGNORECASE | re.ASCII,
 )
@@ -163,22 +170,39 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     return (1 if base else 0, valid, listed, context, 1 if inner else -1)
 
 
-def pattern(kind: str, vote: tuple[int, ...], length: int) -> int:
-    """Kind, votes and length class as one number below ``MAX_PATTERNS``."""
+def border(c: str) -> int:
+    """The class of a character beside a candidate, empty at an end of the text."""
+    return next((k for k, some in enumerate(BORDERS) if c in some), len(BORDERS)) if c else len(BORDERS) + 1
+
+
+def traits(text: str, start: int, end: int) -> tuple[int, ...]:
+    """What the classifier sees of a candidate beside the votes, each below its number in ``TRAITS``."""
+    value = text[start:end]
+    digits, letters = bool(DIGIT.search(value)), any(map(str.isalpha, value))
+    made = 3 if not value.isalnum() else 2 if digits and letters else 1 if letters else 0
+    return sum(end - start >= x for x in LENGTHS), made, border(text[start - 1 : start] if start else ""), border(text[end : end + 1])
+
+
+def pattern(kind: str, vote: tuple[int, ...], trait: tuple[int, ...]) -> int:
+    """Kind, votes and traits as one number below ``MAX_PATTERNS``."""
     p = KINDS.index(kind)
     for v in vote:
         p = 3 * p + v + 1
-    return p * (len(LENGTHS) + 1) + sum(length >= x for x in LENGTHS)
+    for t, size in zip(trait, TRAITS, strict=True):
+        p = size * p + t
+    return p
 
 
 def parts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(kind, votes, length class)`` of patterns."""
-    p, size = np.divmod(p, len(LENGTHS) + 1)
-    out = []
+    """``(kind, votes, traits)`` of patterns."""
+    trait, vote = [], []
+    for size in TRAITS[::-1]:
+        p, t = np.divmod(p, size)
+        trait.append(t)
     for _ in LABELERS:
         p, v = np.divmod(p, 3)
-        out.append(v - 1)
-    return p, np.stack(out[::-1], 1), size
+        vote.append(v - 1)
+    return p, np.stack(vote[::-1], 1), np.stack(trait[::-1], 1)
 
 
 def expectation_maximisation(vote: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -205,24 +229,26 @@ def expectation_maximisation(vote: np.ndarray, count: np.ndarray, rounds: int =
 
 
 def features(p: np.ndarray) -> np.ndarray:
-    kind, vote, size = parts(p)
+    kind, _, trait = parts(p)
     return np.concatenate(
         (
             np.ones((len(p), 1)),
             kind[:, None] == np.arange(len(KINDS)),
-            (vote[:, :, None] == np.array([-1, 1])).reshape(len(p), -1),
-            size[:, None] == np.arange(len(LENGTHS) + 1),
+            *(trait[:, k, None] == np.arange(size) for k, size in enumerate(TRAITS)),
         ),
         axis=1,
         dtype=float,
     )
 
 
-def train(p: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Weights of the span classifier, by Newton steps on the EM probabilities."""
-    if not len(p):
-        return np.zeros(features(np.zeros(1, np.int64)).shape[1])
-    target, _ = expectation_maximisation(parts(p)[1], count)
+def odds(chance: np.ndarray) -> np.ndarray:
+    """Logarithms of odds, bounded."""
+    chance = np.clip(chance, 1e-6, 1 - 1e-6)
+    return np.log(chance / (1 - chance))
+
+
+def train(p: np.ndarray, count: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Weights of the span classifier, by Newton steps on the EM probabilities of patterns."""
     x, w = features(p), np.zeros(features(p[:1]).shape[1])
     share = count / count.sum()
     for _ in range(30):
@@ -234,6 +260,14 @@ def train(p: np.ndarray, count: np.ndarray) -> np.ndarray:
     return w
 
 
+def chances(p: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each pattern the probability of personal data, by its votes and by the classifier fitted on all."""
+    target, _ = expectation_maximisation(parts(p)[1], count)
+    by_traits = features(p) @ train(p, count, target)
+    total = odds(target) + by_traits - odds((count * target).sum() / count.sum())
+    return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
+
+
 FOUND = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -244,13 +278,17 @@ FOUND = pa.schema(
         ("base", pa.list_(pa.bool_())),
     ]
 )
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())])
+SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(SPAN))])
+SPANS_DDL = "doc_id long, spans array<struct<kind: string, start: int, stop: int, base: boolean>>"
 FOUND_DDL = (
     "doc_id long, kind array<tinyint>, start array<int>, stop array<int>, pattern array<int>, base array<boolean>"
 )
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
-    """``(kind, start, stop, pattern, is base)``; a wider candidate that meets a base span is left out."""
+    """``(kind, start, stop, pattern, is base)``; a wider candidate that meets a base span is left out,
+    other candidates may overlap."""
     out = []
     for kind, spans in zip(BASE_KINDS, base_spans(text), strict=True):
         out += [(kind, a, b, True) for a, b in spans]
@@ -265,17 +303,23 @@ def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
             if k == 0 or reach[k - 1] <= a:
                 clear.append((kind, a, b))
         wider = clear
-    last = -1
-    for kind, a, b in sorted(wider, key=lambda c: (c[1], -c[2])):
-        if a >= last:
-            out.append((kind, a, b, False))
-            last = b
+    out += [(kind, a, b, False) for kind, a, b in wider]
     return [
-        (KINDS.index(kind), a, b, pattern(kind, votes(text, kind, a, b, base), b - a), base)
+        (KINDS.index(kind), a, b, pattern(kind, votes(text, kind, a, b, base), traits(text, a, b)), base)
         for kind, a, b, base in out
     ]
 
 
+def settled(found: list[tuple], accepted: frozenset[int]) -> list[tuple]:
+    """Candidates that become spans, by kind and start: base ones, and accepted ones that do not overlap."""
+    out, last = [c for c in found if c[4]], -1
+    for c in sorted((c for c in found if not c[4] and c[3] in accepted), key=lambda c: (c[1], -c[2], c[0])):
+        if c[1] >= last:
+            out.append(c)
+            last = c[2]
+    return sorted(out)
+
+
 def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_batches(batches):
         rows = [list(zip(*c, strict=True)) or [()] * 5 for c in (candidates(t.decode()) for t in texts)]
@@ -293,9 +337,7 @@ def accepted_patterns(found: DataFrame, threshold: float = THRESHOLD) -> list[in
     if not counts:
         return []
     p = np.array([r["pattern"] for r in counts], np.int64)
-    weights = train(p, np.array([r["count"] for r in counts], float))
-    chance = 1 / (1 + np.exp(-(features(p) @ weights)))
-    return p[chance >= threshold].tolist()
+    return p[chances(p, np.array([r["count"] for r in counts], float)) >= threshold].tolist()
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,38 +345,29 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
     ordered by kind as in :data:`KINDS`, then start; offsets in code points, stop exclusive.
 
     Base spans always stay; candidates of the wider rules are added where the classifier
-    gives at least ``threshold``, and overlap no base span. Null and empty texts have no
+    gives at least ``threshold`` and neither a base span nor an accepted one is in the way. Null and empty texts have no
     spans; null ids stay null, repeated rows come out as often as they come in, other
     columns are ignored. The classifier is fitted on all candidates of the input.
     """
     found = proposed(docs, id_col, text_col)
-    accepted = accepted_patterns(found, threshold)
-    names = F.array(*map(F.lit, KINDS))
-    stays = F.filter(
-        F.arrays_zip("kind", "start", "stop", "base", "pattern"),
-        lambda s: s["base"] | (s["pattern"].isin(accepted) if accepted else F.lit(False)),
-    )
-    ordered = F.array_sort(F.transform(stays, lambda s: F.struct(s["kind"], s["start"], s["stop"], s["base"])))
-    return found.select(
-        "doc_id",
-        F.transform(
-            ordered,
-            lambda s: F.struct(
-                F.get(names, s["kind"].cast("int")).alias("kind"),
-                s["start"].alias("start"),
-                s["stop"].alias("stop"),
-                s["base"].alias("base"),
-            ),
-        ).alias("spans"),
-    )
+    accepted = frozenset(accepted_patterns(found, threshold))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(1, 6)]
+            spans = [
+                [{"kind": KINDS[k], "start": a, "stop": b, "base": base} for k, a, b, _, base in settled(rows, accepted)]
+                for rows in (list(zip(*c, strict=True)) for c in zip(*columns, strict=True))
+            ]
+            yield batch_of(SPANS, batch.column(0), spans)
+
+    return found.mapInArrow(settle, SPANS_DDL)
 
 
 def masked(text: str, accepted: frozenset[int]) -> str:
     """A text with every span that stays replaced by its kind in brackets; spans that overlap become one."""
     out, last = [], 0
-    for kind, a, b, pattern_, base in sorted(candidates(text), key=lambda c: (c[1], -c[2])):
-        if not base and pattern_ not in accepted:
-            continue
+    for kind, a, b, _, _ in sorted(settled(candidates(text), accepted), key=lambda c: (c[1], -c[2])):
         if a >= last:
             out += [text[last:a], f"[{KINDS[kind].upper()}]"]
         last = max(last, b)
