@@ -306,6 +306,59 @@ def extract_broken_files(spark, sf_dir):
     )
 
 
+# A workbook per customer, a row per order: the customer's even number means the calendar of 1904, every 100th has a cell far right.
+# Nine digits of a day are well within a second.
+_SECOND = "((o_orderkey * 37) % 86400)"
+_DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+_TIME = f"strftime(TIMESTAMP '2000-01-01 00:00:00' + INTERVAL 1 SECOND * CAST({_SECOND} AS INT), '%H:%M:%S')"
+_SERIAL = (
+    "(CAST(date_diff('day', CASE o_custkey % 2 WHEN 0 THEN DATE '1904-01-01' ELSE DATE '1899-12-30' END, CAST(o_orderdate AS DATE)) AS BIGINT))"
+)
+_FRACTION = f"lpad(CAST(({_SECOND} * 1000000000) // 86400 AS VARCHAR), 9, '0')"
+_FAR = "o_custkey % 100 = 0"
+CELL_LIMIT = 300_000
+
+
+def _dated_row(gap):
+    return (
+        f"string_agg(chr(10) || '| ' || CAST(o_orderkey AS VARCHAR) || ' | ' || {_DAY} || ' 00:00:00 | ' || {_DAY} || ' ' || {_TIME} || ' | ' || "
+        f"CAST({_SERIAL} AS VARCHAR) || '.' || {_FRACTION} || ' | ' || {_TIME} || ' | 36:00:00' || {gap} || ' |', '' ORDER BY o_orderkey)"
+    )
+
+
+@query(
+    "SELECT o_custkey, CASE WHEN error_code IS NULL THEN strlen(content) ELSE 0 END AS length, "
+    "CASE WHEN error_code IS NULL THEN md5(content) END AS digest, error_code FROM ("
+    f"SELECT o_custkey, CASE WHEN {_FAR} AND (count(*) + 1) * 16384 > {CELL_LIMIT} THEN 'XLSX_READ' END AS error_code, "
+    f"'## Sheet: Dates' || {_BLANK} || '| key | date | moment | days | time | hours' || "
+    f"CASE WHEN {_FAR} THEN repeat(' | ', 16384 - 6) || 'far' ELSE '' END || ' |' || chr(10) || "
+    f"'|' || repeat('---|', CASE WHEN {_FAR} THEN 16384 ELSE 6 END) || "
+    f"CASE WHEN {_FAR} THEN {_dated_row("repeat(' | ', 16384 - 6)")} ELSE {_dated_row("''")} END AS content "
+    "FROM orders GROUP BY o_custkey)"
+)
+def extract_dated_workbooks(spark, sf_dir):
+    """Dates, times and durations by style and calendar; sheets with a cell in the last column, some over the limit on cells."""
+    second = F.col("o_orderkey") * 37 % 86400
+    first_day = F.when(F.col("o_custkey") % 2 == 0, F.lit("1904-01-01")).otherwise(F.lit("1899-12-30")).cast("date")
+    line = F.concat(
+        F.col("o_orderkey").cast("string"), F.lit(","), F.datediff(F.col("o_orderdate").cast("date"), first_day).cast("string"),
+        F.lit("."), F.lpad(F.floor(second * 1000000000 / 86400).cast("string"), 9, "0"),
+    )
+    lines = F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
+    head = F.concat(
+        F.when(F.col("o_custkey") % 2 == 0, "1904").otherwise("1900"), F.when(F.col("o_custkey") % 100 == 0, ",far").otherwise(","),
+    )
+    # Few bytes become much text: a number of partitions that is given is not made smaller again.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    books = table(spark, sf_dir, "orders").repartition(tasks, "o_custkey").groupBy("o_custkey").agg(lines.alias("lines")).select(
+        "o_custkey",
+        S.dated_xlsx_file(F.concat(head, F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))).alias("content"),
+    )
+    return xlsx.extract_xlsx(books, CELL_LIMIT).select(
+        "o_custkey", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("length"), F.md5("content").alias("digest"), "error_code"
+    )
+
+
 # -- streams -----------------------------------------------------------------
 
 @query(f"SELECT {DEFAULT_DOCS} || chr(10) AS content, 'text' AS source_type FROM documents")

@@ -4,6 +4,7 @@ import base64
 import email
 import io
 import zipfile
+from datetime import datetime, timedelta
 from email import policy
 from email.message import EmailMessage
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.plans.sample_files import docx_of, xlsx_of
-from inkveil.sources import intake
+from inkveil.sources import intake, xlsx
 from inkveil.sources.router import extract
 
 
@@ -194,3 +195,68 @@ def test_eml_like_the_standard_parser(spark):
         head = "".join(f"**{h}:** {msg[h]}\n" for h in ("From", "To", "Cc", "Subject", "Date") if msg.get(h))
         assert got.content == "## Email Headers\n\n" + head + "\n## Email Body\n\n" + reference_body(msg), i
         assert got.subject == msg.get("Subject", "")
+
+
+def sheet_of(cells, styles="", calendar="", workbook=None):
+    """A workbook of one sheet whose rows are given as XML."""
+    x = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    parts = {
+        "xl/workbook.xml": f'<workbook {x} {r}>{calendar}<sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {x}><sheetData>{cells}</sheetData></worksheet>",
+    }
+    if styles:
+        parts["xl/styles.xml"] = f"<styleSheet {x}>{styles}</styleSheet>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    return out.getvalue()
+
+
+def test_format_kinds(spark):
+    codes = {
+        "General": None, "0.00": None, "@": None, "#,##0": None, "yyyy-mm-dd": "date", "D.M.YY": "date", "h:mm AM/PM": "date",
+        '0.00" days"': None, '0" "\\d': None, "[Red]0.00": None, "[$-409]d/m/yy;@": "date", "[h]:mm:ss": "duration", "[mm]:ss": "duration",
+        "0;dd": None, "0_d": None, '"a;b"yyyy': "date", "": None, "[>=100]0": None,
+    }
+    df = spark.createDataFrame([(c,) for c in [*codes, None]], "code string")
+    got = {r.code: r.kind for r in df.select("code", xlsx.format_kind(F.col("code")).alias("kind")).collect()}
+    assert got == codes | {None: None}
+
+
+def test_serials(spark):
+    start = {False: datetime(1899, 12, 30), True: datetime(1904, 1, 1)}
+    values = ["0", "0.5", "0.999999", "1", "59", "60", "61", "1.75", "45306.4375", "45306.99999999", "2958465", "2958466", "-1", "x", "", "NaN", "1e3", None]
+    df = spark.createDataFrame([(v, b) for v in values for b in (False, True)], "v string, b boolean")
+    for r in df.select("v", "b", xlsx.serial_text(F.col("v"), F.lit("date"), F.col("b")).alias("got")).collect():
+        try:
+            seconds = round(float(r.v) * 86400)
+            day = seconds // 86400
+            early = 1 if not r.b and day < 60 else 0
+            want = start[r.b] + timedelta(days=day + early, seconds=seconds % 86400)
+            want = None if seconds < 0 else str(want.time()) if seconds < 86400 else str(want)
+        except (ValueError, TypeError, OverflowError):
+            want = None
+        assert r.got == want, (r.v, r.b)
+
+
+def test_dates_sparse_rows_and_the_bound(spark):
+    styles = '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="46"/></cellXfs>'
+    rows = (
+        '<row><c r="A1" t="inlineStr"><is><t>a</t></is></c><c r="C1" t="d"><v>2024-01-15T10:00:00Z</v></c></row>'
+        '<row><c r="C2" s="2"><v>1.5</v></c><c r="A2" s="1"><v>45306</v></c><c r="A2"><v>twice</v></c></row>'
+        '<row><c s="9"><v>45306</v></c><c s="x"><v>7</v></c><c t="s"><v>99</v></c><c r="E3" s="1"><v>no</v></c></row><row/>'
+    )
+    wide = '<row><c r="A1"><v>1</v></c></row>' * 400 + '<row><c r="XFD2"><v>2</v></c></row>'
+    out = run(spark, [
+        ("a.xlsx", sheet_of(rows, styles)), ("b.xlsx", sheet_of(rows, styles, '<workbookPr date1904="1"/>')),
+        ("none.xlsx", sheet_of(rows)), ("cut.xlsx", sheet_of(rows, "<cellXfs><xf")), ("wide.xlsx", sheet_of(wide)),
+    ])
+    table = "## Sheet: S\n\n| a |  | 2024-01-15 10:00:00 |  |  |\n|---|---|---|---|---|\n| {} |  | {} |  |  |\n| 45306 | 7 |  |  | no |\n|  |  |  |  |  |"
+    assert out["a.xlsx"].content == table.format("2024-01-15 00:00:00", "36:00:00")
+    assert out["b.xlsx"].content == table.format("2028-01-16 00:00:00", "36:00:00")
+    assert out["none.xlsx"].content == table.format("45306", "1.5")
+    assert out["cut.xlsx"].error_code == "XLSX_READ" and "styles.xml" in out["cut.xlsx"].error
+    assert out["wide.xlsx"].error_code == "XLSX_READ" and "more than 5000000 cells" in out["wide.xlsx"].error
