@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from inkveil.functions import marks as M
 from inkveil.functions.arrays import let
 from inkveil.operators.entities import resolved_keys
 
+# The counting function travels with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Structure marks: pattern per kind.
 STRUCTURE = {
     "headings": "(?m)^#{1,6} ",
@@ -54,23 +61,67 @@ def check_consistency(df: DataFrame, id_col: str = "doc_id", scope: str = "docum
     )
 
 
+def _action_columns(actions: dict) -> dict[str, Column]:
+    return {t: F.lit(a) if isinstance(a, str) else a for t, a in actions.items()}
+
+
+def _action_of(kind: Column, columns: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(kind == t, a) for t, a in columns.items()], F.lit(None).cast("string"))
+
+
 def check_leaks(df: DataFrame, actions: dict, text_col: str = "content", id_col: str = "doc_id") -> DataFrame:
     """Spans of types to be deleted that the detectors still find in the output (expect none).
 
     A removal can put two stretches next to each other; what stands between
-    them is looked at again here as plain text.
+    them is looked at again here as plain text. ``actions`` may hold columns (one
+    rule set per row): a type counts in the rows that delete it.
     """
-    types = [t for t, a in actions.items() if isinstance(a, str) and a == "delete"]
-    marked = M.marked(F.col(text_col), types)
+    columns = {t: a for t, a in _action_columns(actions).items() if not isinstance(actions[t], str) or actions[t] == "delete"}
+    marked = M.marked(F.col(text_col), list(columns))
     spans = M.piece_spans(M.pieces(marked))
     return (
-        df.select(id_col, F.explode(spans).alias("s"))
+        df.select(id_col, *[a.alias(f"_{t}") for t, a in columns.items()], F.explode(spans).alias("s"))
+        .where(_action_of(F.col("s.pii_type"), {t: F.col(f"_{t}") for t in columns}) == "delete")
         .select(id_col, "s.pii_type", "s.rule", "s.start", "s.value")
-        .where(F.col("pii_type").isin(types))
         .where(~F.col("value").rlike("REMOVED|REDACTED"))
     )
 
 
+def _more_often(after: str, plain: str, values: list[str]) -> list[int]:
+    """How often each value stands in ``after`` beyond ``plain``, overlaps with itself not counted; both read once."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for v in values:
+        automaton.add_word(v, v)
+    automaton.make_automaton()
+    left = dict.fromkeys(values, 0)
+    for text, sign in ((after, 1), (plain, -1)):
+        free = dict.fromkeys(values, 0)
+        for end, v in automaton.iter(text):
+            if end + 1 - len(v) >= free[v]:
+                free[v] = end + 1
+                left[v] += sign
+    return [left[v] for v in values]
+
+
+def times_left(after: Column, plain: Column, values: Column) -> Column:
+    """``ARRAY<BIGINT>``: for each of the ``values``, none empty, its count in ``after`` less that in ``plain``.
+
+    Linear in the texts and the values together; null without values, and such texts stay in the JVM.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def count(afters: pa.Array, plains: pa.Array, many: pa.Array) -> pa.Array:
+        rows = zip(afters, plains, many)
+        return pa.array(
+            [_more_often(a.as_py() or "", p.as_py() or "", v.as_py()) if v.is_valid else None for a, p, v in rows], pa.list_(pa.int64())
+        )
+
+    asked = F.size(values) > 0
+    return count(F.when(asked, after), F.when(asked, plain), F.when(asked, values))
+
+
 def check_values(
     df: DataFrame, actions: dict, before: str = "text", after: str = "content", id_col: str = "doc_id"
 ) -> DataFrame:
@@ -81,43 +132,34 @@ def check_values(
     equal text that was no personal data does not count. ``actions`` may hold
     columns (one rule set per row). What an action keeps is not looked at:
     companies under keep_part and single names of persons under keep_part.
+    All values of a document are counted in one pass over its texts; only what is left becomes rows.
     """
-    columns = {t: F.lit(a) if isinstance(a, str) else a for t, a in actions.items()}
+    columns = _action_columns(actions)
     items = M.pieces(M.marked(F.col(before), list(actions)))
-
-    def times(text: Column, value: Column) -> Column:
-        return F.regexp_count(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")))
-
-    def action_of(kind: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for t, a in columns.items():
-            out = F.when(kind == t, a).otherwise(out)
-        return out
-
-    found = (
-        df.select(id_col, F.col(after).alias("_after"), *[a.alias(f"_{t}") for t, a in columns.items()], items.alias("_items"))
+    found = df.select(
+        id_col, F.col(after).alias("_after"), *[a.alias(f"_{t}") for t, a in columns.items()], items.alias("_items")
     )
     columns = {t: F.col(f"_{t}") for t in columns}
     plain = F.array_join(F.transform(F.filter("_items", lambda p: p["pii_type"].isNull()), lambda p: p["value"]), "\n")
+
+    def looked_at(p: Column) -> Column:
+        action = _action_of(p["pii_type"], columns)
+        kept = (action == "keep_part") & (
+            (p["pii_type"] == "company") | ((p["pii_type"] == "person_name") & (F.instr(p["value"], " ") == 0))
+        )
+        return p["pii_type"].isNotNull() & action.isNotNull() & (p["value"] != "") & ~kept
+
     values = F.array_distinct(F.transform(
-        F.filter("_items", lambda p: p["pii_type"].isNotNull()),
-        lambda p: F.struct(p["pii_type"].alias("pii_type"), p["value"].alias("value")),
+        F.filter("_items", looked_at), lambda p: F.struct(p["pii_type"].alias("pii_type"), p["value"].alias("value"))
     ))
-    rows = (
-        found.withColumn("_plain", plain)
-        .withColumn("_v", F.explode(F.filter(values, lambda v: v.isNotNull())))
-        .select("*", F.col("_v.pii_type").alias("pii_type"), F.col("_v.value").alias("value"))
-        .withColumn("_action", action_of(F.col("pii_type")))
+    counted = found.select(id_col, "_after", plain.alias("_plain"), values.alias("_values")).withColumn(
+        "_left", times_left(F.col("_after"), F.col("_plain"), F.transform("_values", lambda v: v["value"]))
     )
-    kept = (F.col("_action") == "keep_part") & (
-        (F.col("pii_type") == "company") | ((F.col("pii_type") == "person_name") & (F.instr("value", " ") == 0))
-    )
-    left = times(F.col("_after"), F.col("value")) - times(F.col("_plain"), F.col("value"))
-    return (
-        rows.where(F.col("_action").isNotNull() & ~kept)
-        .select(id_col, "pii_type", "value", left.alias("left"))
-        .where("left > 0")
+    left = F.filter(
+        F.zip_with("_values", "_left", lambda v, n: F.struct(v["pii_type"].alias("pii_type"), v["value"].alias("value"), n.alias("left"))),
+        lambda x: x["left"] > 0,
     )
+    return counted.select(id_col, F.explode(left).alias("x")).select(id_col, "x.*")
 
 
 def check_output_only(df: DataFrame, before: str = "text", after: str = "content", id_col: str = "doc_id") -> DataFrame:

@@ -22,7 +22,9 @@ def number_rows(df: DataFrame, order_col: str, start: int, out_col: str) -> Data
     steps = [k / RANGES for k in range(1, RANGES)]
     marks = df.agg(F.percentile_approx(F.col(order_col).cast("long"), steps, 100_000)).first()[0] or []
     bounds = F.array(*[F.lit(m).cast("long") for m in sorted(set(marks))]).cast("array<long>")
-    bucketed = df.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < F.col(order_col))))
+    # The place of the value among the bounds; without a lambda, which the optimizer loses sight of across the join.
+    value = F.col(order_col).cast("long")
+    bucketed = df.withColumn("_bucket", F.coalesce(F.array_position(F.sort_array(F.array_append(bounds, value)), value), F.lit(0)))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

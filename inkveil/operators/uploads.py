@@ -1,4 +1,7 @@
-"""The upload registry as a table: ``uploads(file_id, filename, size, created_at, path)``."""
+"""The upload registry as a table: ``uploads(file_id, filename, size, created_at, path)``.
+
+The files themselves are under ``path``; see :mod:`inkveil.operators.storage` for reading and removing them.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.model import UPLOAD_TTL_SECONDS
+from inkveil.operators.storage import write_files
+from inkveil.scratch import written
 from inkveil.sources.intake import extension
 
 UUID = "\\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\z"
 
 
 def register_uploads(df: DataFrame, path: str, storage_dir: str = "") -> DataFrame:
-    """Give every file ``(filename, content)`` an id and append it to the registry at ``path``.
+    """Store every file ``(filename, content)`` under an id and append it to the registry at ``path``.
 
-    Ids are random, so they are written once and read back; what is returned
-    is the registry as it stands on disk.
+    The contents go to ``storage_dir`` (without one, beside the registry, to a folder of its name and ``-files``),
+    as ``<file_id><extension>``. Ids are random, so they are written to a table of their own
+    first and a task that runs again writes the same file. Files come before rows: every registered path exists, and what a
+    job that failed leaves is found by :func:`orphans`. A null content has a row with null ``size`` and ``path``.
+    Returns the registry as it stands on disk.
     """
-    new = df.select(
-        F.uuid().alias("file_id"),
-        "filename",
-        F.length("content").cast("long").alias("size"),
-        F.current_timestamp().alias("created_at"),
-        "content",
+    folder = storage_dir or f"{path.rstrip('/')}-files"
+    name = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("file_id"), F.coalesce(extension(F.col("filename")), F.lit("")))
+    new = written(
+        df.select(F.uuid().alias("file_id"), "filename", F.current_timestamp().alias("created_at"), "content"), "uploads"
     ).select(
-        "file_id", "filename", "size", "created_at",
-        F.concat(F.lit(storage_dir), F.col("file_id"), extension(F.col("filename"))).alias("path"),
-        "content",
+        "file_id", "filename", F.length("content").cast("long").alias("size"), "created_at",
+        F.when(F.col("content").isNotNull(), name).alias("path"), "content",
     )
-    new.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    stored = write_files(new)
+    stored.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(stored.schema).parquet(path)
 
 
 def is_file_id(file_id: Column) -> Column:
@@ -70,7 +76,10 @@ def expire(uploads: DataFrame, now: Column, ttl: int = UPLOAD_TTL_SECONDS) -> tu
 
 
 def orphans(listing: DataFrame, uploads: DataFrame, now: Column, ttl: int = UPLOAD_TTL_SECONDS) -> DataFrame:
-    """Files on disk ``(path, modificationTime)`` no upload knows and older than ``ttl``."""
+    """Files on disk ``(path, modificationTime)`` no upload knows and older than ``ttl``.
+
+    A listing by Spark passes over files without any bytes.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(name, "(?<=[^.])\\.[^.]*\\z", "")
     return (

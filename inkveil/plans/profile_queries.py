@@ -17,9 +17,10 @@ from inkveil.model import (
 )
 from inkveil.operators import profiles as P
 from inkveil.operators import uploads as U
+from inkveil.operators.storage import read_contents, remove_files
 from inkveil.plans import inputs as I
 from inkveil.plans.registry import query, rows, table
-from inkveil.scratch import new_folder
+from inkveil.scratch import new_folder, written
 
 NOW = dt.datetime(2024, 1, 15, 12, 0, 0)
 NOW_SQL = "TIMESTAMP '2024-01-15 12:00:00'"
@@ -288,7 +289,28 @@ def register_uploads(spark, sf_dir):
     kept = U.register_uploads(docs, new_folder(spark, "uploads"))
     return kept.select(
         "filename", "size", U.is_file_id(F.col("file_id")).alias("has_id"),
-        F.replace("path", F.col("file_id"), F.lit("")).alias("stored_as"),
+        F.regexp_replace(F.element_at(F.split("path", "/"), -1), F.col("file_id"), F.lit("")).alias("stored_as"),
+    )
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) || '.TXT' AS filename, doc_id % 3 = 0 AS orphan, "
+    "CASE WHEN doc_id % 3 <> 0 THEN text END AS text FROM documents"
+)
+def stored_uploads(spark, sf_dir):
+    """Files on disk: a third lose their row, are found by listing the folder and removed; the others are read back."""
+    folder = new_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".TXT")).alias("filename"), F.encode("text", "UTF-8").alias("content")
+    )
+    uploads = U.register_uploads(docs, new_folder(spark, "uploads"), folder)
+    forgotten = F.regexp_extract("filename", "[0-9]+", 0).cast("long") % 3 == 0
+    listing = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
+    tomorrow = F.current_timestamp() + F.expr("INTERVAL 1 DAY")
+    gone = written(remove_files(U.orphans(listing, uploads.where(~forgotten), tomorrow)), "removed").where("removed")
+    left = read_contents(uploads).join(gone.select("file_id", F.lit(True).alias("gone")), "file_id", "left")
+    return left.select(
+        "filename", F.coalesce("gone", F.lit(False)).alias("orphan"), F.col("content").cast("string").alias("text")
     )
 
 

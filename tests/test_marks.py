@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import marks as M
 from inkveil.functions import patterns as P
 from inkveil.model import DEFAULT_ACTIONS, PII_TYPES
+from inkveil.operators import checks as C
 from inkveil.operators import detect as D
 from inkveil.operators.actions import sanitize_documents
 
@@ -203,3 +204,37 @@ def test_tables_with_several_name_columns_and_many_cells(spark, sanitize_texts):
     out = sanitize_texts([wide + row, two], {"person_name": "delete"})
     assert out[0] == wide + row.replace("Ildi", "[NAME_REMOVED]")
     assert out[1] == "| First name | Last name | City |\n|---|---|---|\n| [NAME_REMOVED] | [NAME_REMOVED] | Györ |"
+
+
+def test_values_are_counted_as_written_and_near_linear(spark):
+    rows = [
+        ("aaaa ab.b abab", "aa a.b", ["aa", "a", "a.b", "abab", "zz", "\\E"]), ("", "x", ["x"]), ("é中é中é", "中", ["é中é", "中"]), ("abc", "", []), (None, None, ["a"]),
+        ("John Smith, John Smithson", "", ["John Smith", "Smithson", "John Smithson"]), ("a", "b", None),
+    ]
+    df = spark.createDataFrame(rows, "after string, plain string, vals array<string>")
+    got = df.select(C.times_left(F.col("after"), F.col("plain"), F.col("vals")).alias("n")).collect()
+    assert [r.n for r in got] == [[(a or "").count(v) - (p or "").count(v) for v in vs] if vs else None for a, p, vs in rows]
+
+    def seconds(n):
+        values = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("person number "), i.cast("string"), F.lit("!")))
+        one = spark.range(1).select(values.alias("v")).select("v", F.array_join("v", " and then some more words about ").alias("t"))
+        begin = time.time()
+        assert one.select(F.aggregate(C.times_left(F.col("t"), F.lit(""), F.col("v")), F.lit(0).cast("long"), lambda a, x: a + x)).first()[0] == n
+        return time.time() - begin
+
+    seconds(1000)
+    assert seconds(100_000) < 20
+
+
+def test_checks_with_actions_by_row(spark):
+    df = spark.createDataFrame(
+        [(1, "mail a@b.co", "mail a@b.co", "delete"), (2, "mail a@b.co", "mail a@b.co", "keep_part"), (3, "mail a@b.co", "mail a@b.co", None),
+         (4, "a@b.co a@b.co", "a@b.co", "delete"), (None, "a@b.co", "a@b.co", "delete"), (6, None, None, "delete")],
+        "doc_id int, text string, content string, act string",
+    )
+    leaks = C.check_leaks(df, {"email": F.col("act"), "phone": "keep_part"}).collect()
+    assert sorted((r.doc_id or 0, r.value) for r in leaks) == [(0, "a@b.co"), (1, "a@b.co"), (4, "a@b.co")]
+    left = C.check_values(df, {"email": F.col("act")}).collect()
+    assert sorted((r.doc_id or 0, r.pii_type, r.value, r.left) for r in left) == [
+        (0, "email", "a@b.co", 1), (1, "email", "a@b.co", 1), (2, "email", "a@b.co", 1), (4, "email", "a@b.co", 1)
+    ]

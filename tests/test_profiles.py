@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkveil.model import DEFAULT_ACTIONS, NAME_BAD_CHARS, NAME_EMPTY, NAME_TOO_LONG
 from inkveil.operators import profiles as P
+from inkveil.operators import storage
 from inkveil.operators import uploads as U
 from inkveil.operators.numbering import number_rows
 
@@ -204,9 +205,9 @@ def test_number_rows_over_many_ranges(spark):
 def test_uploads(spark, tmp_path):
     files = spark.createDataFrame([("a.TXT", bytearray(b"abc")), ("noext", bytearray(b"")), (".txt", bytearray(b"x"))], "filename string, content binary")
     path = str(tmp_path / "uploads")
-    kept = U.register_uploads(files, path, "store/")
+    kept = U.register_uploads(files, path, f"{tmp_path}/store/")
     rows = {r.filename: r for r in kept.collect()}
-    assert rows["a.TXT"].size == 3 and rows["a.TXT"].path == f"store/{rows['a.TXT'].file_id}.txt"
+    assert rows["a.TXT"].size == 3 and rows["a.TXT"].path == f"{tmp_path}/store/{rows['a.TXT'].file_id}.txt"
     assert rows["noext"].path.endswith(rows["noext"].file_id) and rows[".txt"].path.endswith(rows[".txt"].file_id)
     assert {r.file_id for r in kept.collect()} == {r.file_id for r in spark.read.parquet(path).collect()}
 
@@ -224,3 +225,28 @@ def test_uploads(spark, tmp_path):
     listing = made.select(F.concat(F.lit("/x/"), "path").alias("path"), F.col("created_at").alias("modificationTime"))
     assert U.orphans(listing, made, at(1)).count() == 0
     assert U.orphans(listing, made.where(F.col("filename") != "a.TXT"), at(1)).count() == 1
+
+
+def test_files_of_uploads(spark, tmp_path):
+    files = [("a b.TXT", b"abc"), ("noext", b""), (None, b"x" * 100_000), ("gone.csv", None)]
+    df = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in files], "filename string, content binary")
+    path = f"{tmp_path}/up loads"
+    kept = U.register_uploads(df, path)
+    again = U.register_uploads(df.where("filename = 'noext'"), path)
+    assert again.count() == 5 and set(again.columns) == {"file_id", "filename", "size", "created_at", "path"}
+    on_disk = {p.name for p in (tmp_path / "up loads-files").iterdir()}
+    assert on_disk == {r.path.split("/")[-1] for r in again.collect() if r.path}
+    got = sorted((r.filename or "", None if r.content is None else bytes(r.content), r.size) for r in storage.read_contents(again).collect())
+    assert got == sorted([(n or "", c, None if c is None else len(c)) for n, c in files] + [("noext", b"", 0)], key=lambda x: x[0])
+
+    # A task that runs again: the same file once more, nothing beside it.
+    twice = kept.where("size = 3").withColumn("content", F.lit(b"abc"))
+    assert storage.write_files(twice.unionAll(twice)).count() == 2
+    assert {p.name for p in (tmp_path / "up loads-files").iterdir()} == on_disk
+
+    listed = spark.read.format("binaryFile").load(f"{path}-files").select("path", "modificationTime")
+    late = F.current_timestamp() + F.expr("INTERVAL 1 DAY")
+    lost = U.orphans(listed, kept.where("size = 3"), late)
+    assert [r.removed for r in storage.remove_files(lost).collect()] == [True]
+    assert [r.removed for r in storage.remove_files(kept.where("size > 3 or path is null")).collect()] == [False, False]
+    assert storage.read_contents(kept).where("content is not null").count() == 2
