@@ -65,3 +65,24 @@ def test_one_map_over_sections(spark):
     assert got[2].response is None and got[2].error == "Error calling model: busy"
     assert (got[3].response, got[3].error) == (None, None)
     assert (got[4].response, got[4].error) == ("", None)
+
+
+def test_sections_carry_the_names_of_a_document_once(spark):
+    """What stands above the sections is a list of names, not all that was replaced."""
+    applied = [("person_name", "x", "Ann Lee", "Ann 1")] * 500 + [("email", "x", "a@b.org", "gone"), ("company", "x", "Acme", "Acme")]
+    df = spark.createDataFrame(
+        [(1, "Ann Lee wrote. " * 40, applied)],
+        "doc_id int, text string, applied array<struct<pii_type:string,rule:string,value:string,replacement:string>>",
+    )
+    def make_model():
+        return lambda prompt, options: str(prompt.count(f"Ann Lee{ARROW}Ann 1"))
+
+    out = rewrite_long(df, make_model, F.lit("rules"), 60)
+    row = out.first()
+    assert row.sections > 5 and row.response == "1" * row.sections
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = plan[next(i for i, line in enumerate(plan) if "posexplode" in line) + 1]
+    assert "_names" in below and "applied" in below
+    assert not any("applied" in line for line in plan if "posexplode" in line)
+    carried = plan[next(i for i, line in enumerate(plan) if "posexplode" in line) - 1]
+    assert "applied" not in carried
