@@ -137,6 +137,18 @@ def test_base64(spark):
         assert (None if r.content is None else bytes(r.content)) == want, cases[r.i]
 
 
+def test_base64_is_cleaned_once_and_not_matched_in_groups(spark):
+    long = base64.b64encode(b"x" * 300_001).decode()
+    cases = [long, long[:-2], long[:-1] + "\n" + long[-1:], "AAA==", "AAA=A=", "AA=A=", "AA==A", "=", "==", "AAAA=", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, payload string")
+    done = intake.from_base64(df)
+    got = {r.i: None if r.content is None else bytes(r.content) for r in done.collect()}
+    data = b"x" * 300_001
+    assert [got[i] for i in range(len(cases))] == [data, None, data, None, b"\0\0", None, b"\0", b"", b"", b"\0\0\0", None]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9+/=]") == 1 and "{4}" not in plan
+
+
 def test_extensions(spark):
     names = {"a.TXT": ".txt", "x.tar.gz": ".gz", ".txt": "", "noext": "", "a.b/c": "", "trailing.": "", "..txt": ".txt"}
     df = spark.createDataFrame([(n,) for n in names], "filename string")
