@@ -272,3 +272,16 @@ def test_dates_sparse_rows_and_the_bound(spark):
     assert out["none.xlsx"].content == table.format("45306", "1.5")
     assert out["cut.xlsx"].error_code == "XLSX_READ" and "styles.xml" in out["cut.xlsx"].error
     assert out["wide.xlsx"].error_code == "XLSX_READ" and "more than 5000000 cells" in out["wide.xlsx"].error
+
+
+def test_cells_between_are_not_made(spark):
+    rows = '<row><c r="A1"><v>1</v></c><c r="XFD1"><v>a|b</v></c></row><row/><row><c r="C3"><v>7</v></c><c r="C3"><v>8</v></c></row>'
+    bars = " | " * 16383
+    files = files_df(spark, [("a.xlsx", sheet_of(rows)), ("one.xlsx", sheet_of("<row/><row/>")), ("head.xlsx", sheet_of("<row><c><v>1</v></c></row>"))])
+    done = xlsx.extract_xlsx(files)
+    out = {r.doc_id: r.content for r in done.collect()}
+    assert out["a.xlsx"] == (
+        f"## Sheet: S\n\n| 1{bars}a\\|b |\n|" + "---|" * 16384 + f"\n| {bars} |\n|  |  | 7" + " | " * 16381 + " |"
+    )
+    assert out["one.xlsx"] == "## Sheet: S\n\n|  |\n|\n|  |" and out["head.xlsx"] == ""
+    assert "array_repeat" not in done._jdf.queryExecution().optimizedPlan().toString()
