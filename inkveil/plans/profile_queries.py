@@ -308,7 +308,8 @@ def stored_uploads(spark, sf_dir):
     listing = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
     tomorrow = F.current_timestamp() + F.expr("INTERVAL 1 DAY")
     gone = written(remove_files(U.orphans(listing, uploads.where(~forgotten), tomorrow)), "removed").where("removed")
-    left = read_contents(uploads).join(gone.select("file_id", F.lit(True).alias("gone")), "file_id", "left")
+    # Joined before the contents are read, so that they are not shuffled.
+    left = read_contents(uploads.join(gone.select("file_id", F.lit(True).alias("gone")), "file_id", "left"))
     return left.select(
         "filename", F.coalesce("gone", F.lit(False)).alias("orphan"), F.col("content").cast("string").alias("text")
     )

@@ -227,6 +227,37 @@ def test_uploads(spark, tmp_path):
     assert U.orphans(listing, made.where(F.col("filename") != "a.TXT"), at(1)).count() == 1
 
 
+def test_contents_are_sent_on_together_up_to_a_bound(spark, tmp_path, monkeypatch):
+    files = [(str(i), bytearray(b"x" * (i * 100))) for i in range(40)] + [("none", None)]
+    df = spark.createDataFrame(files, "filename string, content binary").coalesce(1)
+    kept = U.register_uploads(df, f"{tmp_path}/u").coalesce(1)
+    for held, most in ((4 << 20, 2), (1, 41)):  # arrow batches hold 64 rows
+        monkeypatch.setattr(storage, "HELD", held)
+        frame = storage.read_contents(kept)
+        assert {r.filename: r.content and len(r.content) for r in frame.collect()} == {n: c and len(c) for n, c in files}
+        sent = []
+
+        class Caught(Exception):
+            pass
+
+        def catch(self, get, schema):
+            sent.append(get)
+            raise Caught
+
+        with monkeypatch.context() as m:
+            m.setattr(type(kept), "mapInArrow", catch)
+            with pytest.raises(Caught):
+                storage.read_contents(kept)
+        assert 1 <= len(list(sent[0](iter(kept.toArrow().to_batches())))) <= most
+
+
+def test_stored_uploads_are_read_after_the_join(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["stored_uploads"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+
+
 def test_files_of_uploads(spark, tmp_path):
     files = [("a b.TXT", b"abc"), ("noext", b""), (None, b"x" * 100_000), ("gone.csv", None)]
     df = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in files], "filename string, content binary")
