@@ -65,3 +65,34 @@ def test_texts_without_names_are_not_shuffled(spark, monkeypatch):
     union = plan.index("Union")
     first_branch = plan[union : plan.index("SortMergeJoin" if "SortMergeJoin" in plan[union:] else "BroadcastHashJoin [_key", union)]
     assert "Exchange hashpartitioning" not in first_branch.split("BroadcastExchange")[0]
+
+
+def test_names_without_a_chance_are_not_shuffled(spark, tmp_path):
+    """A name with a word that no text has goes before it is cut into words: the lists here would write 60,000 rows."""
+    words = spark.createDataFrame([("The",), ("River",)], "word string")
+    names = spark.range(20_000).select(F.concat(F.lit("The Firm"), F.col("id").cast("string"), F.lit(" Works")).alias("name"))
+    names = names.unionAll(spark.createDataFrame([("The River",), ("The River",), ("...",)], "name string"))
+    found = G.names_by_rarest_word(words, names)
+    assert [tuple(r) for r in found.collect()] == [("The River", "The", 1)] or [tuple(r) for r in found.collect()] == [("The River", "River", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    generate = plan[plan.index("Generate") :]
+    assert "BroadcastNestedLoopJoin" in generate and "LeftSemi" in generate
+
+
+def test_bit_table(spark, monkeypatch):
+    """Every value's bit is found at any size; few others are, unless the table is full."""
+    values = spark.range(50_000).select(F.concat(F.lit("w"), "id").alias("word"))
+    asked = spark.range(100_000).select(F.concat(F.lit("w"), "id").alias("word")).unionAll(spark.createDataFrame([(None,)], "word string"))
+    small = G.BitTable(values)
+    assert 50_000 <= asked.where(small.may_have(F.col("word"))).count() < 56_000
+    monkeypatch.setattr(G, "MOST_BITS", 1 << 16)
+    full = G.BitTable(values)
+    assert full.bits < small.bits and asked.where(full.may_have(F.col("word"))).count() >= 50_000
+    none = G.BitTable(values.limit(0))
+    assert asked.where(none.may_have(F.col("word"))).count() == 0
+
+
+def test_words_of_a_text(spark):
+    row = spark.createDataFrame([("  St. Jude_2, 金山 办公—St. áb",), ("",), ("..",), (None,)], "t string")
+    got = [r.w for r in row.select(G.text_words(F.col("t")).alias("w")).collect()]
+    assert got == [["St", "Jude_2", "金山", "办公", "a", "b"], [], [], None]
