@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import marks as M
 from inkveil.functions import patterns as P
+from inkveil.functions.arrays import let
 from inkveil.model import DEFAULT_ACTIONS, PII_TYPES
 from inkveil.operators import checks as C
 from inkveil.operators import detect as D
@@ -238,3 +239,31 @@ def test_checks_with_actions_by_row(spark):
     assert sorted((r.doc_id or 0, r.pii_type, r.value, r.left) for r in left) == [
         (0, "email", "a@b.co", 1), (1, "email", "a@b.co", 1), (2, "email", "a@b.co", 1), (4, "email", "a@b.co", 1)
     ]
+
+
+def test_let_hands_values_on(spark):
+    """``transform`` would copy the result at each level; the value is still computed once."""
+    out = let(F.rand(), lambda r: F.struct(r.alias("a"), r.alias("b")))
+    assert "transform" not in str(out)
+
+
+def test_let_computes_once(spark):
+    rows = spark.range(50).select(let(F.rand(), lambda r: let(r, lambda q: F.struct(r.alias("a"), q.alias("b")))).alias("x")).collect()
+    assert all(r.x.a == r.x.b for r in rows) and len({r.x.a for r in rows}) > 1
+    assert spark.range(1).select(let(F.lit(None).cast("string"), lambda v: v.isNull()).alias("x")).first().x
+
+
+def test_words_of_a_list_by_first_letter():
+    """As the plain alternation, also where one word begins another."""
+    names = ["Al", "Alice", "Bob", "A", "Goldman Sachs", "Bo"]
+    text = "Alice Bob Al Bo A Goldman Sachs Goldman Alicea"
+    plain = "(?:" + "|".join(names) + ")"
+    for tail in ("", " ", r"\b"):
+        assert re.findall(P.any_of(names) + tail, text) == re.findall(plain + tail, text)
+    assert P.any_of(names).count("A") == 1
+
+
+def test_town_gate_lets_all_codes_pass(spark):
+    texts = ["in Perth WA 6000 now", "Seattle, WA 98101", "Leeds LS1 4AP", "Toronto, ON M5V 2T6", "Reno NV 89501-1234", "Nowhere 12"]
+    marked = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(M.mark(F.col("t"), P.CITY_ZIP).alias("t")).collect()]
+    assert [P.OPEN in t for t in marked] == [True, True, True, True, True, False]
