@@ -156,3 +156,17 @@ def test_amount_behind_a_legal_form(sanitize_texts):
         assert sanitize_texts(texts, actions) == [
             "[NAME_REMOVED] of Acme Inc. got [FINANCIAL_REMOVED].", "[NAME_REMOVED] left Acme Inc. Sales were $5,000."
         ]
+
+
+def test_map_and_text_detect_once(spark, sf_dir, monkeypatch):
+    """One detection serves the three sets of actions; only the written pieces are read behind it."""
+    from inkveil.operators import actions
+    from inkveil.plans import action_queries
+
+    def again(*_):
+        raise AssertionError("the text is gone over again")
+
+    monkeypatch.setattr(actions, "detect_all", again)
+    rows = action_queries.entity_map_and_text(spark, sf_dir).collect()
+    assert {r.action for r in rows} == {"delete", "invent", "keep_part"}
+    assert sum(r.other_than_in_text for r in rows) == 0
